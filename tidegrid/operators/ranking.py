@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.calendar import days_in_month, days_in_year
 from ..functions.wording import month_name, partial_note
+from .stats import with_single_row
 
 
 def archive_edges(daily: DataFrame) -> DataFrame:
@@ -58,9 +59,9 @@ def ranked_periods(
     ).otherwise(
         (same_month(first) & (F.day(first) > 1)) | (same_month(last) & (F.day(last) < days_in_month(last)))
     )
+    ranked = means.withColumn("rank", F.row_number().over(within))
     return (
-        means.withColumn("rank", F.row_number().over(within))
-        .join(F.broadcast(edges))  # a single row
+        with_single_row(ranked, edges)
         .withColumn("partial", F.coalesce(partial, F.lit(False)))
         .withColumn("is_top", F.col("rank") <= top)
         .select(*keys, "month", "year", "mean", "sd", "n", "rank", "partial", "is_top")

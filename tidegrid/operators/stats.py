@@ -21,9 +21,16 @@ def _points(series: DataFrame, keys: list[str]) -> DataFrame:
     return series.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, "bucket", "value")
 
 
+def with_single_row(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (NULLs if it is empty), as a scalar
+    subquery that is evaluated once, so that no join is needed."""
+    packed = facts.select(F.struct(*facts.columns).alias("f")).scalar()
+    return df.withColumn("_f", packed).select(*df.columns, *[F.col(f"_f.{c}").alias(c) for c in facts.columns])
+
+
 def _attach(points: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """Join one-row-per-series facts back. Without keys there is a single row."""
-    return points.join(facts, keys) if keys else points.join(F.broadcast(facts))
+    return points.join(facts, keys) if keys else with_single_row(points, facts)
 
 
 def _earliest_where_largest(value: Column) -> Column:
@@ -100,6 +107,7 @@ def value_rank(series: DataFrame, keys: list[str], selected: dt.date | DataFrame
     current = current.select(*keys, F.col("bucket").alias("current_bucket"), F.col("value").alias("current_value"))
     return (
         _attach(points, current, keys)
+        .filter(F.col("current_bucket").isNotNull())
         .groupBy(*keys, "current_bucket", "current_value")
         .agg(
             (F.count_if(F.col("value") > F.col("current_value")) + 1).alias("rank"),
@@ -126,7 +134,7 @@ def summarise(
     are NULL there; the count of active buckets takes their place.
     """
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, keys, "left") if keys else left.join(F.broadcast(right), how="left")
+        return left.join(right, keys, "left") if keys else with_single_row(left, right)
 
     out = beside(extremes(series, keys), recent(series, keys))
     out = beside(out, trend_per_decade(series, keys))
