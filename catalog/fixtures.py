@@ -262,3 +262,30 @@ def with_views(body: str, *names: str, grid: str = "compact", extra: str = "") -
 
 def day(text: str) -> dt.date:
     return dt.date.fromisoformat(text)
+
+
+# A 4 x 8 grid for the file-shaped operators: (column, aggregate, fill value)
+SMALL_LAYERS = {
+    "sst": ("max(case when l_tax > 0.01 then cast(l_quantity as int)*60 - 200 end)", -32768),
+    "code": ("max(cast(round(l_discount*100) as int) - 5)", -127),
+    "mask": ("max(case when l_quantity >= 49 then 2 else 0 end)", 1),
+}
+
+
+def small_rows(fx: Fixture, layer: str, key: str = "date") -> DataFrame:
+    """(key, row, values): whole-grid rows of one layer, gaps as the fill value."""
+    agg, fill = SMALL_LAYERS[layer]
+    day_ = F.col("l_shipdate").cast("date")
+    lines = fx.table("lineitem").select(
+        "*", (day_ if key == "date" else mmdd(day_)).alias(key), F.expr("cast(l_suppkey % 4 as int)").alias("row"),
+        F.expr("cast(l_partkey % 8 as int)").alias("col"),
+    )
+    cells = lines.groupBy(key, "row", "col").agg(F.expr(agg).alias("v"))
+    slots = [F.coalesce(F.max(F.when(F.col("col") == i, F.col("v"))), F.lit(fill)).cast("short") for i in range(8)]
+    return cells.groupBy(key, "row").agg(F.array(*slots).alias("values"))
+
+
+SMALL_SQL = "small as (select cast(l_shipdate as date) as date, cast(l_suppkey % 4 as int) as row," \
+    " cast(l_partkey % 8 as int) as col, " + ", ".join(
+        f"{agg} as {name}" for name, (agg, _) in SMALL_LAYERS.items()
+    ) + " from lineitem group by 1, 2, 3)"

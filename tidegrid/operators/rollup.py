@@ -83,6 +83,20 @@ def region_daily(
     )
 
 
+def refresh(archive: Archive, dim: RegionRows, changed: DataFrame) -> DataFrame:
+    """`region_daily` for the changed dates only, whichever product changed.
+
+    The span of the dates (one row, fetched here) prunes partitions; within it a
+    semi join keeps just the dates, which are at most the archive's days.
+    """
+    dates = changed.select("date").distinct()
+    start, end = dates.agg(F.min("date"), F.max("date")).first()
+    if start is None:
+        return region_daily(archive, dim).filter(F.lit(False))
+    only = lambda df: None if df is None else date_range(df, start, end).join(F.broadcast(dates), "date", "left_semi")
+    return region_daily(Archive(only(archive.sst), archive.clim, only(archive.mhw)), dim)
+
+
 def region_clim(clim: DataFrame, dim: RegionRows) -> DataFrame:
     """(region, mmdd, mean_clim, n_cells)."""
     return (
