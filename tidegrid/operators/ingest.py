@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import bucket_end, bucket_start, mmdd, mmdd_calendar
-from ..schema import FAILED, SUCCESS, Archive
+from ..schema import FAILED, INGESTING, SUCCESS, Archive
 from .stats import with_single_row
 
 VARIABLES = ("sst", "anom", "mhw")
@@ -109,7 +109,7 @@ def revised_dates(status: DataFrame, remote: DataFrame) -> DataFrame:
 def ingest_plan(files: DataFrame, status: DataFrame, *, force: bool = False) -> DataFrame:
     """(product, date, filename, action): load, replace or skip.
 
-    Where the listing carries the remote `size` and `modified`, a loaded day
+    A day left in the middle of being loaded counts as one to replace. Where the listing carries the remote `size` and `modified`, a loaded day
     that was revised there is replaced.
     """
     mine = status.select("product", "date", "status", "remote_size", "remote_modified")
@@ -121,7 +121,8 @@ def ingest_plan(files: DataFrame, status: DataFrame, *, force: bool = False) ->
         )
     else:
         current = loaded
-    action = F.when(loaded, "replace").otherwise("load")
+    begun = loaded | F.coalesce(F.col("status") == INGESTING, F.lit(False))
+    action = F.when(begun, "replace").otherwise("load")
     if not force:
         action = F.when(current, "skip").otherwise(action)
     return both.select("product", "date", "filename", action.alias("action"))
