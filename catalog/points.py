@@ -237,7 +237,7 @@ def whole_classes(fx):
 # probes: every event's instant moved into the series' years, at every cell
 @query("nearest_bucket", with_views(f"""
     select x, arg_min(bucket, (abs(epoch_us(x) - epoch_us(cast(bucket as timestamp))), bucket)) as bucket
-    from (select distinct ts - interval 24 year as x from events), s group by x""", "fx_anom",
+    from (select event_id, ts - interval 24 year as x from events), s group by event_id, x""", "fx_anom",
     extra=f"s as (select distinct {MONTH} as bucket from fx_anom where {AT})"))
 def nearest_bucket(fx):
     one = se.point_series(fx.archive, *POINT, "anom", "monthly").select("bucket")

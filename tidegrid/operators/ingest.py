@@ -18,15 +18,16 @@ PERIODS = ("daily", "weekly", "monthly")
 # ------------------------------------------------------------------- climatology
 
 
-def flag_climatology(days: DataFrame, clim: DataFrame) -> DataFrame:
+def flag_climatology(days: DataFrame, clim: DataFrame, mmdds: list[int] | None = None) -> DataFrame:
     """Add `has_clim`: whether the cell has a climatology on that calendar day.
 
     Decided when a day is loaded, because the ice edge moves through the year.
-    The climatology is cut to the batch's calendar days first (at most 366).
+    A batch knows its calendar days; listing them cuts the climatology to them.
     """
+    if mmdds is not None:
+        clim = clim.filter(F.col("mmdd").isin(mmdds))
+    known = clim.select("gy", "gx", "mmdd", F.lit(True).alias("known"))
     keyed = days.withColumn("mmdd", mmdd("date"))
-    wanted = F.broadcast(keyed.select("mmdd").distinct())
-    known = clim.join(wanted, "mmdd", "left_semi").select("gy", "gx", "mmdd", F.lit(True).alias("known"))
     return keyed.join(known, ["gy", "gx", "mmdd"], "left").select(
         *days.columns, F.coalesce("known", F.lit(False)).alias("has_clim")
     )

@@ -121,17 +121,16 @@ def extent_state(rollup: DataFrame, years: tuple[int, int] = NORMAL_YEARS) -> Da
     The normal takes all days of the base years within seven days of the date's
     day of the year, around the turn of the year; it is NULL without such days.
     """
-    series = region_values(rollup, None, "mhw").select("region", "date", F.col("value").alias("extent"))
-    newest = series.groupBy("region").agg(
-        F.max("date").alias("last_date"), F.max_by("extent", "date").alias("last_extent")
-    )
-    near = F.year("date").between(*years) & (doy_gap("date", "last_date") <= NORMAL_WINDOW_DAYS)
+    whole = W.partitionBy("region")  # a row per day of the archive
+    series = region_values(rollup, None, "mhw").select("region", "date", F.col("value").alias("v")).withColumns({
+        "last": F.max("date").over(whole), "extent": F.max_by("v", "date").over(whole),
+    })
+    near = F.year("date").between(*years) & (doy_gap("date", "last") <= NORMAL_WINDOW_DAYS)
     return (
-        series.join(newest, "region")
-        .groupBy("region", F.col("last_date").alias("date"), F.col("last_extent").alias("extent"))
+        series.groupBy("region", F.col("last").alias("date"), "extent")
         .agg(
-            F.avg(F.when(near, F.col("extent"))).alias("normal"),
-            (F.count_if(F.col("extent") > F.col("last_extent")) + 1).alias("rank"),
+            F.avg(F.when(near, F.col("v"))).alias("normal"),
+            (F.count_if(F.col("v") > F.col("extent")) + 1).alias("rank"),
             F.count(F.lit(1)).alias("of"),
         )
         .withColumn("ratio", F.when(F.col("normal") != 0, F.col("extent") / F.col("normal")))

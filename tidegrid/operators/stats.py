@@ -1,8 +1,9 @@
 """Summary numbers of a series, for any number of series at once.
 
-A series is (keys..., bucket, value). NULL and NaN values are gaps and never
-count. Everything is an aggregate with map-side combine: no operator here puts
-a whole series, however long, into one task.
+A series is (keys..., bucket, value), with each bucket once. NULL and NaN values
+are gaps and never count. Windows run over one series at a time, which has at
+most a row per day of the archive however many cells there are; without keys
+there is one series, and what a window would add comes as a scalar subquery.
 """
 
 from __future__ import annotations
@@ -17,10 +18,6 @@ DAYS_PER_DECADE = 3652.5
 RECENT_DAYS = 365
 
 
-def _points(series: DataFrame, keys: list[str]) -> DataFrame:
-    return series.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, "bucket", "value")
-
-
 def with_single_row(df: DataFrame, facts: DataFrame) -> DataFrame:
     """Add the columns of a one-row table (NULLs if it is empty), as a scalar
     subquery that is evaluated once, so that no join is needed."""
@@ -28,49 +25,80 @@ def with_single_row(df: DataFrame, facts: DataFrame) -> DataFrame:
     return df.withColumn("_f", packed).select(*df.columns, *[F.col(f"_f.{c}").alias(c) for c in facts.columns])
 
 
-def _attach(points: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Join one-row-per-series facts back. Without keys there is a single row."""
-    return points.join(facts, keys) if keys else with_single_row(points, facts)
+def _points(series: DataFrame, keys: list[str]) -> DataFrame:
+    return series.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, "bucket", "value")
+
+
+def _per_series(points: DataFrame, keys: list[str], **facts: Column) -> DataFrame:
+    """Each point with facts about its whole series."""
+    if keys:
+        return points.withColumns({n: c.over(W.partitionBy(*keys)) for n, c in facts.items()})
+    return with_single_row(points, points.agg(*[c.alias(n) for n, c in facts.items()]))
+
+
+def _last_bucket(points: DataFrame, keys: list[str]) -> DataFrame:
+    return _per_series(points, keys, last_bucket=F.max("bucket"))
 
 
-def _earliest_where_largest(value: Column) -> Column:
+def _current(points: DataFrame, keys: list[str], selected: dt.date | DataFrame) -> DataFrame:
+    """Each point with its series' selected bucket and the value there."""
+    if isinstance(selected, DataFrame):
+        chosen = selected.select(*keys, F.col("bucket").alias("_at"))
+        points = points.join(chosen, keys, "left") if keys else with_single_row(points, chosen)
+    else:
+        points = points.withColumn("_at", F.lit(selected))
+    here = F.col("bucket") == F.col("_at")
+    return _per_series(
+        points, keys,
+        current_bucket=F.max(F.when(here, F.col("bucket"))), current_value=F.max(F.when(here, F.col("value"))),
+    ).drop("_at")
+
+
+def _first_with_largest(value: Column) -> Column:
     """The (bucket, value) with the largest `value`; ties go to the first bucket."""
     age = F.datediff(F.lit(dt.date(1900, 1, 1)), F.col("bucket"))
     return F.max_by(F.struct("bucket", "value"), F.struct(value, age))
 
 
+def _extremes() -> dict[str, Column]:
+    return {
+        "n": F.count(F.lit(1)), "mean": F.avg("value"), "last_bucket": F.max("bucket"),
+        "max_bucket": _first_with_largest(F.col("value"))["bucket"], "max_value": F.max("value"),
+        "min_bucket": _first_with_largest(-F.col("value"))["bucket"], "min_value": F.min("value"),
+    }
+
+
+def _trend() -> dict[str, Column]:
+    day = F.datediff(F.col("bucket"), F.lit(dt.date(1970, 1, 1))).cast("double")
+    slope = F.regr_slope(F.col("value"), day) * DAYS_PER_DECADE
+    return {"trend_per_decade": F.when(F.min("bucket") < F.max("bucket"), slope)}
+
+
+def _recent(last: str = "last_bucket") -> dict[str, Column]:
+    inside = F.col("bucket") > F.date_sub(last, RECENT_DAYS)
+    return {
+        "recent_mean": F.avg(F.when(inside, F.col("value"))),
+        "active_hits": F.count_if(inside & (F.col("value") >= 1)),
+        "active_of": F.count_if(inside),
+    }
+
+
+def _rank() -> dict[str, Column]:
+    return {"rank": F.count_if(F.col("value") > F.col("current_value")) + 1, "of": F.count(F.lit(1))}
+
+
+def _aggregate(points: DataFrame, by: list[str], parts: dict[str, Column]) -> DataFrame:
+    return points.groupBy(*by).agg(*[c.alias(n) for n, c in parts.items()])
+
+
 def extremes(series: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, and the first occurrence of the largest and smallest value."""
-    return (
-        _points(series, keys)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("value").alias("mean"),
-            _earliest_where_largest(F.col("value")).alias("hi"),
-            _earliest_where_largest(-F.col("value")).alias("lo"),
-            F.max("bucket").alias("last_bucket"),
-        )
-        .select(
-            *keys, "n", "mean", "last_bucket",
-            F.col("hi.bucket").alias("max_bucket"), F.col("hi.value").alias("max_value"),
-            F.col("lo.bucket").alias("min_bucket"), F.col("lo.value").alias("min_value"),
-        )
-    )
+    return _aggregate(_points(series, keys), keys, _extremes())
 
 
 def trend_per_decade(series: DataFrame, keys: list[str]) -> DataFrame:
     """Least-squares slope on the date; NULL below two points or for one date."""
-    day = F.datediff(F.col("bucket"), F.lit(dt.date(1970, 1, 1))).cast("double")
-    return (
-        _points(series, keys)
-        .groupBy(*keys)
-        .agg(
-            F.when(F.min("bucket") < F.max("bucket"), F.regr_slope(F.col("value"), day) * DAYS_PER_DECADE).alias(
-                "trend_per_decade"
-            )
-        )
-    )
+    return _aggregate(_points(series, keys), keys, _trend())
 
 
 def recent(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,127 +106,89 @@ def recent(series: DataFrame, keys: list[str]) -> DataFrame:
 
     The window ends at the series' own last bucket, not at today.
     """
-    points = _points(series, keys)
-    last = points.groupBy(*keys).agg(F.max("bucket").alias("last_bucket"))
-    inside = F.col("bucket") > F.date_sub("last_bucket", RECENT_DAYS)
-    return (
-        _attach(points, last, keys)
-        .filter(inside)
-        .groupBy(*keys)
-        .agg(
-            F.avg("value").alias("recent_mean"),
-            F.count_if(F.col("value") >= 1).alias("active_hits"),
-            F.count(F.lit(1)).alias("active_of"),
-        )
-    )
+    return _aggregate(_last_bucket(_points(series, keys), keys), keys, _recent())
 
 
 def value_rank(series: DataFrame, keys: list[str], selected: dt.date | DataFrame) -> DataFrame:
     """Rank of the selected bucket's value, largest first, ties sharing the better.
 
-    `selected` is one date, or a table (keys..., bucket). Counting the larger
-    values needs no ordering, so it stays a plain aggregate.
+    `selected` is one date, or a table (keys..., bucket). Series without that
+    bucket have no row. Counting the larger values needs no ordering.
     """
-    points = _points(series, keys)
-    if isinstance(selected, DataFrame):
-        current = points.join(selected.select(*keys, "bucket"), [*keys, "bucket"], "left_semi")
-    else:
-        current = points.filter(F.col("bucket") == F.lit(selected))
-    current = current.select(*keys, F.col("bucket").alias("current_bucket"), F.col("value").alias("current_value"))
-    return (
-        _attach(points, current, keys)
-        .filter(F.col("current_bucket").isNotNull())
-        .groupBy(*keys, "current_bucket", "current_value")
-        .agg(
-            (F.count_if(F.col("value") > F.col("current_value")) + 1).alias("rank"),
-            F.count(F.lit(1)).alias("of"),
-        )
-    )
+    points = _current(_points(series, keys), keys, selected).filter(F.col("current_bucket").isNotNull())
+    return _aggregate(points, [*keys, "current_bucket", "current_value"], _rank())
 
 
 def whole_classes(series: DataFrame, keys: list[str]) -> DataFrame:
     """Whether all values are whole, so that they can be named as classes."""
-    return (
-        series.groupBy(*keys).agg(
-            F.bool_and(F.col("value").isNull() | (F.col("value") == F.floor("value"))).alias("whole_classes")
-        )
-    )
+    whole = F.bool_and(F.col("value").isNull() | (F.col("value") == F.floor("value")))
+    return series.groupBy(*keys).agg(whole.alias("whole_classes"))
 
 
 def summarise(
     series: DataFrame, keys: list[str], selected: dt.date | DataFrame | None = None, *, categorical: bool = False
 ) -> DataFrame:
-    """All of the above in one row per series.
+    """All of the above in one row per series, from one pass over it.
 
     Lowest bucket, recent mean and trend mean nothing for ordinal classes and
     are NULL there; the count of active buckets takes their place.
     """
-    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, keys, "left") if keys else with_single_row(left, right)
-
-    out = beside(extremes(series, keys), recent(series, keys))
-    out = beside(out, trend_per_decade(series, keys))
+    points = _last_bucket(_points(series, keys), keys).withColumnRenamed("last_bucket", "_last")
+    parts = {**_extremes(), **_trend(), **_recent("_last")}
     if selected is None:
-        out = out.withColumns(
-            {"current_bucket": F.lit(None).cast("date"), "current_value": F.lit(None).cast("double"),
-             "rank": F.lit(None).cast("long")}
-        )
-    else:
-        out = beside(out, value_rank(series, keys, selected).drop("of"))
-    if categorical:
-        gone = ["min_bucket", "min_value", "recent_mean", "trend_per_decade"]
-        out = out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in gone})
+        out = _aggregate(points, keys, parts).withColumns({
+            "current_bucket": F.lit(None).cast("date"), "current_value": F.lit(None).cast("double"),
+            "rank": F.lit(None).cast("long"),
+        })
     else:
-        out = out.withColumns({c: F.lit(None).cast("long") for c in ("active_hits", "active_of")})
+        current = {"current_bucket": F.max("current_bucket"), "current_value": F.max("current_value")}
+        rank = F.when(F.max("current_value").isNotNull(), _rank()["rank"])
+        out = _aggregate(_current(points, keys, selected), keys, {**parts, **current, "rank": rank})
+    unused = ["min_bucket", "min_value", "recent_mean", "trend_per_decade"] if categorical else ["active_hits", "active_of"]
+    out = out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in unused})
     return out.withColumn("recent_vs_mean", F.col("recent_mean") - F.col("mean"))
 
 
 def nearest_bucket(series: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
     """For each probe (keys..., x) the series bucket nearest in time.
 
-    `x` is a date or timestamp; an exact middle goes to the earlier bucket.
-    Series and probes meet in windows per (series, year), so that one series
-    asked for by everybody does not become one task; where a year holds no
-    bucket on one side, the neighbouring years' outermost buckets stand in.
-    Repeated probes are looked up once.
+    `x` is a date or timestamp; an exact middle goes to the earlier bucket. All
+    probes of one day have the same neighbours, the last bucket up to that day
+    and the first one after it. So these are found once per series and day, in
+    windows of a year at most, and the probes, however many fall on one day,
+    meet them in a plain equi-join that adaptive execution can split.
     """
-    stamp = "bucket"
-    asked = probes.select(*keys, "x").distinct().withColumn("at", F.col("x").cast("timestamp"))
-    marks = series.select(*keys, stamp).distinct().withColumn("at", F.col(stamp).cast("timestamp"))
-    asked = asked.withColumn("yr", F.year("at"))
-    marks = marks.withColumn("yr", F.year("at"))
+    asked = probes.withColumn("_day", F.col("x").cast("date"))
+    days = asked.select(*keys, F.col("_day").alias("day")).distinct()
+    marks = series.select(*keys, F.col("bucket").cast("date").alias("bucket")).distinct()
 
     cut = [*keys, "yr"]
-    edge = marks.groupBy(*cut).agg(F.min(stamp).alias("yr_first"), F.max(stamp).alias("yr_last"))
-    # one row per series and year: a few dozen per series
-    years = asked.select(*cut).distinct().join(edge, cut, "full")
-    by_series = W.partitionBy(*keys).orderBy("yr") if keys else W.partitionBy(F.lit(0)).orderBy("yr")
-    before = by_series.rowsBetween(W.unboundedPreceding, -1)
-    after = by_series.rowsBetween(1, W.unboundedFollowing)
+    days, marks = days.withColumn("yr", F.year("day")), marks.withColumn("yr", F.year("bucket"))
+    # per series and year: the outermost buckets, to look across the turn of years
+    edge = marks.groupBy(*cut).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
+    years = days.select(*cut).distinct().join(edge, cut, "full")
+    by_series = W.partitionBy(*keys).orderBy("yr") if keys else W.orderBy("yr")
     years = years.select(
         *cut,
-        F.last("yr_last", ignorenulls=True).over(before).alias("from_before"),
-        F.first("yr_first", ignorenulls=True).over(after).alias("from_after"),
+        F.last("last", True).over(by_series.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", True).over(by_series.rowsBetween(1, W.unboundedFollowing)).alias("later"),
     )
-
-    merged = asked.select(*cut, "at", "x", F.lit(None).cast("date").alias(stamp)).unionByName(
-        marks.select(*cut, "at", F.lit(None).cast(asked.schema["x"].dataType).alias("x"), stamp)
+    both = days.select(*cut, "day", F.lit(None).cast("date").alias("bucket")).unionByName(
+        marks.select(*cut, F.col("bucket").alias("day"), "bucket")
     )
-    # the default frame runs up to and including equal instants
-    up, down = (W.partitionBy(*cut).orderBy(o) for o in (F.col("at").asc(), F.col("at").desc()))
-    found = merged.select(
-        *cut, "at", "x",
-        F.last(stamp, ignorenulls=True).over(up).alias("prev"),
-        F.last(stamp, ignorenulls=True).over(down).alias("next"),
-    ).filter(F.col("x").isNotNull())
-    found = found.join(years, cut, "left").select(
-        *keys, "x", "at",
-        F.coalesce("prev", "from_before").alias("prev"),
-        F.coalesce("next", "from_after").alias("next"),
+    walk = W.partitionBy(*cut).orderBy("day")
+    around = both.groupBy(*cut, "day").agg(F.max("bucket").alias("bucket"))
+    around = around.select(
+        *cut, "day",
+        F.last("bucket", True).over(walk.rowsBetween(W.unboundedPreceding, 0)).alias("prev"),
+        F.first("bucket", True).over(walk.rowsBetween(1, W.unboundedFollowing)).alias("next"),
     )
-    to_prev = F.unix_micros("at") - F.unix_micros(F.col("prev").cast("timestamp"))
-    to_next = F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros("at")
-    best = F.when(F.col("prev").isNull(), F.col("next")).when(F.col("next").isNull(), F.col("prev")).otherwise(
-        F.when(to_next < to_prev, F.col("next")).otherwise(F.col("prev"))
+    around = around.join(years, cut).select(
+        *keys, F.col("day").alias("_day"),
+        F.coalesce("prev", "earlier").alias("prev"), F.coalesce("next", "later").alias("next"),
     )
-    return found.select(*keys, "x", best.alias("bucket"))
+
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    closer = at("next") - at("x") < at("x") - at("prev")
+    best = F.when(F.col("prev").isNull() | closer, F.col("next")).otherwise(F.col("prev"))
+    return asked.join(around, [*keys, "_day"]).select(*keys, "x", best.alias("bucket"))

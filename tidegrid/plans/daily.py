@@ -78,12 +78,15 @@ def build_region_daily(
     store.append("region_daily", out.withColumn("updated_at", F.lit(updated_at)))
 
 
-def _cells_of(store: Store, product: str, rows: DataFrame, box: Box, grid: Grid) -> tuple[DataFrame, DataFrame]:
+def _cells_of(
+    store: Store, product: str, rows: DataFrame, batch: list[dt.date], box: Box, grid: Grid
+) -> tuple[DataFrame, DataFrame]:
     """A product's cells from its file rows, and the days that cannot be used."""
     problems = gf.shape_problems(rows, grid)
     usable = rows.join(F.broadcast(problems.select("date")), "date", "left_anti")
     if product == "sst":
-        cells = ig.flag_climatology(gf.sst_cells(usable, box, grid), store.read("sst_clim"))
+        mmdds = sorted({d.month * 100 + d.day for d in batch})
+        cells = ig.flag_climatology(gf.sst_cells(usable, box, grid), store.read("sst_clim"), mmdds)
         return cells, problems
     cells = gf.class_cells(usable, box, grid)
     if "mask" in rows.columns:
@@ -129,7 +132,7 @@ def _ingest_batch(store, product, rows, listed, batch, actions, updated_at, box,
     record(none, problem, updated_at - dt.timedelta(microseconds=1), sc.INGESTING)
     landed: list[dt.date] = []
     try:
-        cells, problems = _cells_of(store, product, rows.filter(F.col("date").isin(batch)), box, grid)
+        cells, problems = _cells_of(store, product, rows.filter(F.col("date").isin(batch)), batch, box, grid)
         bad = {r.date: r.problem for r in problems.collect()}  # days of this batch
         good = [d for d in batch if d not in bad]
         again = [d for d in good if actions[d] == "replace"]

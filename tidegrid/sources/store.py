@@ -125,6 +125,15 @@ class Store:
             self._delete(f"{self.path(table)}/part={part}")
         self._delete(staged)
 
+    def recluster(self, product: str, parts: list[int]) -> None:
+        """Merge the files that daily appends have left in some partitions."""
+        table = DAILY[product]
+        staged = self._staging(table)
+        self._write_daily(self.read(table).filter(F.col("part").isin(parts)), staged, "overwrite")
+        fresh = self.spark.read.schema(SCHEMAS[table] + ", part int").parquet(staged)
+        self._write_daily(fresh, self.path(table), "overwrite", partitionOverwriteMode="dynamic")
+        self._delete(staged)
+
     def append(self, table: str, rows: DataFrame) -> None:
         conform(rows, SCHEMAS[table]).write.mode("append").parquet(self.path(table))
 
