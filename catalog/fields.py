@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid.domain import VARIABLES, Subset
 from tidegrid.functions import packing as pk
 from tidegrid.operators import raster as ra
+from tidegrid.plans import pictures as pc
 
 from .areas import rounded
 from .fixtures import with_views
@@ -89,9 +90,9 @@ GRID_SQL = """
             left join tall q on q.bucket = g.bucket and q.y = g.y and q.x = ct.b)"""
 
 
-def _picture(fx):
+def _picture(fx, unit="week"):
     return fx.table("lineitem").select(
-        F.trunc(F.col("l_shipdate").cast("date"), "week").alias("bucket"),
+        F.trunc(F.col("l_shipdate").cast("date"), unit).alias("bucket"),
         F.expr("cast(l_suppkey % 20 as int)").alias("y"), F.expr("cast(l_partkey % 24 as int)").alias("x"),
         F.expr("l_quantity*0.6D - 2").alias("value"),
         F.expr("cast(round(l_discount*100) as int) - 5").alias("cat"),
@@ -160,20 +161,21 @@ def _fill_sql(height: int, width: int, passes: int = 8) -> str:
             where not exists (select 1 from k{i - 1} k where k.bucket = n.bucket and k.y = n.y and k.x = n.x)
             group by 1, 2, 3)""")
     return f"""
-        with {PICTURE_SQL},
+        with {PICTURE_SQL.replace("'week'", "'month'")},
         k0 as materialized (select bucket, y, x, cast(round_even((value + 5.0::double)/0.01::double, 0) as int) as code
-                            from pic where cat >= 4),
+                            from pic where cat = 5),
         med as (select bucket, cast(floor(quantile_cont(code, 0.5)) as int) as code from k0 group by 1), {', '.join(steps)}
-        select m.bucket, g.y, g.x, coalesce(k.code, m.code) as code
+        select m.bucket, g.y, g.x, coalesce(k.code, m.code) as code, o.code is not null as known
         from med m cross join (select cast(unnest(generate_series(0, {height - 1})) as int) as y) g0
              cross join (select cast(unnest(generate_series(0, {width - 1})) as int) as x) g1
              cross join lateral (select g0.y as y, g1.x as x) g
-        left join k{passes} k on k.bucket = m.bucket and k.y = g.y and k.x = g.x"""
+        left join k{passes} k on k.bucket = m.bucket and k.y = g.y and k.x = g.x
+        left join k0 o on o.bucket = m.bucket and o.y = g.y and o.x = g.x"""
 
 
 @query("neighbour_fill", _fill_sql(20, 24))
 def neighbour_fill(fx):
-    known = _picture(fx).filter("cat >= 4").select("bucket", "y", "x", pk.quantise("value", SST).alias("code"))
+    known = _picture(fx, "month").filter("cat = 5").select("bucket", "y", "x", pk.quantise("value", SST).alias("code"))
     return ra.neighbour_fill(known, ["bucket"], 20, 24, tile=16)
 
 
@@ -186,3 +188,24 @@ def encode_field(fx):
     field = _picture(fx)
     values = field.select("bucket", "y", "x", (F.col("value") - 12.0).alias("value"))
     return ra.encode_field(values, ["bucket"], ANOM, field.filter("cat <= 0").select("bucket", "y", "x"))
+
+
+# anomaly against a flat normal; cells whose class is 0 have no normal
+_SIDE = GRID_SQL.replace("full_grid", "{0}_grid").replace("tall", "{0}_tall").replace("big", "{0}_big").replace("src p", "{0}_src p").replace("src q", "{0}_src q")
+
+
+@query("picture_codes", f"""
+    with {PICTURE_SQL}, v_src as (select bucket, y, x, value*1.0137::double - 12.3456789::double as value from pic where cat <> 0),
+    m_src as (select g.bucket, g.y, g.x, case when pic.cat = 0 then 1.0::double else 0.0::double end as value
+      from (select bucket, y, x from (select distinct bucket from pic),
+             (select cast(unnest(generate_series(0, 19)) as int) as y), (select cast(unnest(generate_series(0, 23)) as int) as x)) g
+      left join pic on pic.bucket = g.bucket and pic.y = g.y and pic.x = g.x), {TAPS_SQL}, {_SIDE.format("v")}, {_SIDE.format("m")}
+    select v.bucket, v.y, v.x, case when m.value > 0.5 then 0
+             else cast(least(greatest(round_even((v.value + 12.8::double)/0.1::double, 0), 1), 255) as int) end as code
+    from v_big v join m_big m on m.bucket = v.bucket and m.y = v.y and m.x = v.x
+    where v.value is not null or m.value > 0.5""")
+def picture_codes(fx):
+    field = _picture(fx)
+    no_clim = F.col("cat") == 0
+    field = field.select("bucket", "y", "x", F.when(~no_clim, F.col("value") * 1.0137 - 12.3456789).alias("value"), no_clim.alias("no_clim"))
+    return pc.codes(field, "anom", WIDTH, PICTURE)

@@ -115,3 +115,72 @@ def test_bucket_field(spark, frame, day):
     assert out == {(1, 1): (4.0, False, 3), (1, 2): (0.5, False, 3)}
     assert tuple(ra.bucket_field(arc, "mhw", "weekly").first())[3:] == (4.0, False, 2)
     assert ra.anomaly_field(arc).filter(F.col("no_clim") & F.col("raw").isNull()).count() == 2
+
+
+def test_pictures_match_a_numpy_model(spark, day):
+    """Reduce, regrid, mask, pack and fill, all in one."""
+    from tidegrid.domain import VARIABLES, Grid
+    from tidegrid.plans import pictures as pc
+
+    grid = Grid(resolution=20.0, lat0=-50.0, lon0=10.0, nlat=6, nlon=18)
+    subset = Subset("s", lat=(-50.0, 50.0), lon=(30.0, 130.0), nlat=6, nlon=6)
+    rng = np.random.default_rng(9)
+    days = [day("2024-01-01"), day("2024-01-03")]
+    sst, clim, mhw = [], [], []
+    for d in days:
+        for y, x in np.ndindex(6, 18):
+            if (y + x) % 5 == 0:
+                continue
+            sst.append((d, y, x, int(rng.integers(0, 3000)), True))
+            if (y, x) != (2, 3):
+                clim.append((d.month * 100 + d.day, y, x, int(rng.integers(1000, 2000))))
+            if rng.random() < 0.4:
+                mhw.append((d, y, x, int(rng.integers(1, 6))))
+    arc = Archive(
+        spark.createDataFrame(sst, "date date, gy int, gx int, sst_raw int, has_clim boolean"),
+        spark.createDataFrame(clim, "mmdd int, gy int, gx int, clim_raw int"),
+        spark.createDataFrame(mhw, "date date, gy int, gx int, cat int"),
+    )
+    width = 11
+    src_y = sources(ra.row_sources(spark, width, subset))
+    src_x = sources(ra.col_sources(spark, width, subset))
+
+    def model(name):
+        total, count = np.zeros((6, 6)), np.zeros((6, 6))
+        seen = np.zeros((6, 6), bool)
+        normal = {(m, y, x): c for m, y, x, c in clim}
+        if name == "mhw":
+            field = np.full((6, 6), np.nan)
+            for _, y, x, c in mhw:
+                if 1 <= x <= 6:
+                    field[y, x - 1] = np.fmax(field[y, x - 1], c)
+            bare = None
+        else:
+            for d, y, x, raw, _ in sst:
+                if 1 <= x <= 6:
+                    seen[y, x - 1] = True
+                    base = 0 if name == "sst" else normal.get((d.month * 100 + d.day, y, x))
+                    if base is not None:
+                        total[y, x - 1] += raw - base
+                        count[y, x - 1] += 1
+            field = np.where(count > 0, total / np.maximum(count, 1) * 0.01, np.nan)
+            bare = (seen & (count == 0)) if name == "anom" else None
+        p = VARIABLES[name].packing
+        if name == "mhw":
+            pic = field[np.clip(np.rint(src_y).astype(int), 0, 5)][:, np.clip(np.rint(src_x).astype(int), 0, 5)]
+        else:
+            pic = bilinear(bilinear(field, src_y, 0), src_x, 1)
+        mask = np.zeros(pic.shape, bool) if bare is None else bilinear(bilinear(bare.astype(float), src_y, 0), src_x, 1) > 0.5
+        known = np.isfinite(pic) | mask
+        code = np.clip(np.rint((np.nan_to_num(pic) - p.offset) / p.scale), p.low_code, p.top_code).astype(int)
+        code = np.where(mask, 0, code)
+        return fill_model(code, known, 8), known
+
+    for name in ("sst", "anom", "mhw"):
+        want, known = model(name)
+        out = pc.pictures(arc, name, "weekly", width=width, subset=subset, grid=grid)
+        assert out.first().bucket == days[0]
+        np.testing.assert_array_equal(to_array(out, want.shape, "code"), want)
+        np.testing.assert_array_equal(to_array(out, want.shape, "opaque").astype(bool), known)
+    made = spark.createDataFrame([("sst", "weekly", day("2023-12-25"))], "variable string, period string, bucket date")
+    assert pc.pictures(arc, "sst", "weekly", made, width, subset=subset, grid=grid).count() == 0

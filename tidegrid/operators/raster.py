@@ -232,7 +232,7 @@ def _grow(code: np.ndarray, known: np.ndarray, passes: int) -> tuple[np.ndarray,
 
 
 def neighbour_fill(codes: DataFrame, frame: list[str], height: int, width: int, *, passes: int = PASSES, tile: int = TILE) -> DataFrame:
-    """(frame..., y, x, code) for every cell of each frame, gaps filled.
+    """(frame..., y, x, code, known) for every cell of each frame, gaps filled.
 
     A gap takes its value from known cells at most `passes` steps away, across
     the picture's edges; farther gaps take the frame's median code. So each
@@ -288,14 +288,16 @@ def neighbour_fill(codes: DataFrame, frame: list[str], height: int, width: int,
         at = (body["y"].to_numpy(dtype=np.int64) - y0 + passes, body["x"].to_numpy(dtype=np.int64) - x0 + passes)
         code[at] = body["code"].to_numpy(dtype=np.int64)
         seen[at] = True
-        code, seen = _grow(code, seen, passes)
         inner = (slice(passes, passes + rows), slice(passes, passes + cols))
+        known_before = seen[inner]
+        code, seen = _grow(code, seen, passes)
         out = np.where(seen, code, int(head["median"]))[inner]
         yy, xx = np.indices(out.shape)
         keys = {c: [head[c]] * out.size for c in frame}
-        return pd.DataFrame({**keys, "y": yy.ravel() + y0, "x": xx.ravel() + x0, "code": out.ravel()})
+        cells = {"y": yy.ravel() + y0, "x": xx.ravel() + x0, "code": out.ravel(), "known": known_before.ravel()}
+        return pd.DataFrame({**keys, **cells})
 
     kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in frame] + ["y int", "x int", "code int"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in frame] + ["y int", "x int", "code int", "known boolean"])
     return placed.unionByName(markers).groupBy(*frame, "ty", "tx").applyInPandas(fill, schema)
 
