@@ -369,3 +369,41 @@ def test_ranking_csv(spark, tmp_path, frame):
     with pytest.raises(ValueError):
         ex.ranking_rows(rk, "anom", "week")
     ex.write_csv(month, str(tmp_path / "r"), ["month", "rank"])
+
+
+def test_leap_days_are_loaded_again(spark, store, day):
+    leap = day("2024-02-29")
+    load(store, "sst", grid_rows(spark, leap, lambda r, c: 1 if c < 4 else -32768), [leap], T0)
+    load(store, "mhw", grid_rows(spark, leap, lambda r, c: 5, mask=lambda r, c: 2), [leap], T0)  # an older, wrong load
+    assert store.read("mhw_daily").count() == 32
+    rows = grid_rows(spark, leap, lambda r, c: 5, mask=lambda r, c: 0)
+    out = pl.repair_leap_days(store, rows, files_of(spark, "mhw", [leap]), T0 + dt.timedelta(1), ALL, regions=REGIONS, grid=G)
+    assert [r.outcome for r in out.collect()] == ["ingested"]
+    assert store.read("mhw_daily").count() == 16 and rolled(store)["half", "2024-02-29"].mhw_area_frac == pytest.approx(1.0)
+
+
+def test_landed_files_carry_their_facts(spark, store, day, tmp_path):
+    grid_rows(spark, day("2024-02-28")).coalesce(1).write.parquet(str(tmp_path / "sst"))
+    rows, files = pl.landed(store, str(tmp_path), "sst")
+    f = files.first()
+    assert rows.count() == 4 and f.filename.endswith(".parquet") and f["size"] > 0 and f["modified"].startswith("20")
+
+
+def test_command_line(spark, store, day, tmp_path, capsys):
+    from tidegrid.__main__ import main, parser
+
+    landing = tmp_path / "landing"
+    for p, extra in (("sst", {}), ("mhw", {"mask": lambda r, c: 2})):
+        grid_rows(spark, day("2024-02-28"), **extra).coalesce(1).write.parquet(str(landing / p))
+    grid_rows(spark, day("2024-02-28")).select(F.lit(228).alias("mmdd"), "row", "values").write.parquet(str(landing / "clim"))
+    root = ["--root", store.root, "--landing", str(landing)]
+    assert main([*root, "status"]) == 0
+    assert main([*root, "scan"]) == 0
+    assert main([*root, "verify-clim"]) == 1
+    text = capsys.readouterr().out
+    assert "0101  missing" in text and "0228  expected a 3600 x 7200 grid" in text
+    assert main([*root, "init"]) == 1  # partial climatology
+    # a 4 x 8 file is not the global grid: recorded as failed, and the command says so
+    assert main([*root, "backfill", "--product", "sst"]) == 1
+    assert store.status().first().status == "failed_ingest"
+    assert parser().parse_args([*root, "run", "--max-days", "2"]).recheck_days == 3

@@ -208,3 +208,27 @@ def run(
     done = process_days(store, incoming, updated_at, box, regions=regions, grid=grid)
     waiting = store.spark.createDataFrame([(d, "unpublished") for d in dates], "date date, outcome string")
     return ig.date_outcome(done.unionByName(waiting))
+
+
+def landed(store: Store, landing: str, product: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of a product's decoded day files, one parquet file per day."""
+    ddl = f"{sc.GRID_ROWS}, mask array<tinyint>" if product == "mhw" else sc.GRID_ROWS
+    rows = store.spark.read.schema(ddl).parquet(f"{landing}/{product}")
+    files = rows.groupBy("date").agg(
+        F.max("_metadata.file_name").alias("filename"), F.max("_metadata.file_size").alias("size"),
+        F.date_format(F.max("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss").alias("modified"),
+    )
+    return rows, files.withColumn("product", F.lit(product))
+
+
+def repair_leap_days(
+    store: Store, rows: DataFrame, files: DataFrame, updated_at: dt.datetime, box: Box, *,
+    regions: dict[str, Region] | None = None, grid: Grid = GLOBAL,
+) -> DataFrame:
+    """Load the classes of every stored 29 February again, with the land repaired,
+    and rebuild the rollup of those dates. Returns (date, outcome)."""
+    leaps = [r.leap_day for r in ig.leap_repair_plan(store.status()).select("leap_day").distinct().collect()]
+    chosen = lambda df: df.filter(F.col("date").isin(leaps))
+    return process_days(
+        store, {"mhw": (chosen(rows), chosen(files))}, updated_at, box, regions=regions, force=True, grid=grid
+    )

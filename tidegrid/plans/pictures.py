@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import GLOBAL, PACIFIC, Box, Grid, Subset, variable
+from ..functions.calendar import bucket_end, date_range
 from ..functions.grid import in_box
 from ..operators import raster as ra
 from ..schema import Archive
@@ -58,9 +59,15 @@ def pictures(
     what is made; their number is that of the archive's buckets at most.
     """
     var = variable(name)
-    cells = ra.bucket_field(archive, name, period)
+    wanted = None
     if buckets is not None:
         wanted = buckets.filter((F.col("variable") == name) & (F.col("period") == period)).select("bucket").distinct()
+        # the span, one row, prunes partitions; the semi join below keeps the buckets
+        first, last = wanted.agg(F.min("bucket"), F.max(bucket_end("bucket", period))).first()
+        cut = lambda df: None if df is None else date_range(df, first, last)
+        archive = Archive(cut(archive.sst), archive.clim, cut(archive.mhw))
+    cells = ra.bucket_field(archive, name, period)
+    if wanted is not None:
         cells = cells.join(F.broadcast(wanted), "bucket", "left_semi")
     ocean = codes(_placed(cells, subset_box(subset, grid)), name, width, subset)
     full = ra.neighbour_fill(ocean, FRAME, ra.picture_height(width, subset), width)
