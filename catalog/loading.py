@@ -47,7 +47,7 @@ def archive_listing(fx):
 
 
 @query("grid_to_cells", f"""
-    with {SMALL_SQL} select date, row as gy, cast((col + 4) % 8 as int) as gx, sst as sst_raw from small
+    with {SMALL_SQL} select date, row as gy, cast((col + 4) % 8 as int) as gx, cast(sst as smallint) as sst_raw from small
     where row between 1 and 3 and (col + 4) % 8 between 2 and 6 and sst is not null""")
 def grid_to_cells(fx):
     return gf.sst_cells(small_rows(fx, "sst"), CUT, SMALL)
@@ -62,7 +62,7 @@ def shape_problems(fx):
 
 
 @query("mhw_valid_range", f"""
-    with {SMALL_SQL} select date, row as gy, cast((col + 4) % 8 as int) as gx, code as cat from small
+    with {SMALL_SQL} select date, row as gy, cast((col + 4) % 8 as int) as gx, cast(code as smallint) as cat from small
     where row between 1 and 3 and (col + 4) % 8 between 2 and 6 and code between 1 and 5""")
 def mhw_valid_range(fx):
     return gf.class_cells(small_rows(fx, "code"), CUT, SMALL)
@@ -71,7 +71,7 @@ def mhw_valid_range(fx):
 @query("mhw_land_repair", f"""
     with {SMALL_SQL},
     land as (select date, bool_or(mask = 2) as has_land from small group by date)
-    select s.date, row as gy, cast((col + 4) % 8 as int) as gx, code as cat from small s join land l on l.date = s.date
+    select s.date, row as gy, cast((col + 4) % 8 as int) as gx, cast(code as smallint) as cat from small s join land l on l.date = s.date
     where row between 1 and 3 and (col + 4) % 8 between 2 and 6 and code between 1 and 5
       and (has_land or sst is not null)""")
 def mhw_land_repair(fx):
@@ -82,7 +82,7 @@ def mhw_land_repair(fx):
 
 CLIM_SMALL = """select cast(month(l_shipdate)*100 + day(l_shipdate) as int) as mmdd,
     cast(3 - l_suppkey % 4 as int) as gy, cast((l_partkey % 8 + 4) % 8 as int) as gx,
-    max(case when l_tax > 0.01 then cast(l_quantity as int)*60 - 200 end) as clim_raw
+    cast(max(case when l_tax > 0.01 then cast(l_quantity as int)*60 - 200 end) as smallint) as clim_raw
     from lineitem group by 1, 2, 3"""
 
 

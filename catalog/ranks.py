@@ -26,7 +26,7 @@ def _ranking_sql(source: str, keys: str = "", scale: str = "1", total: str = "su
     return f"""
         select {k}cast(month as int) as month, cast(year as int) as year, round(mean, 6) as mean,
                round(sd, 6) as sd, n,
-               row_number() over (partition by {k}month order by mean desc, year) as rank,
+               cast(row_number() over (partition by {k}month order by mean desc, year) as int) as rank,
                {PARTIAL} as partial,
                row_number() over (partition by {k}month order by mean desc, year) <= 10 as is_top
         from (select {k}case when grouping(month) = 1 then 0 else month end as month, year,
@@ -142,7 +142,7 @@ def episode_run(fx):
 
 @query("same_month_rank", with_views("""
     select region, month, round(anom, 6) as anom, n_days, n_days < day(last_day(month)) as partial,
-           rank() over (partition by region, month(month) order by anom desc) as rank,
+           cast(rank() over (partition by region, month(month) order by anom desc) as int) as rank,
            count(*) over (partition by region, month(month)) as "of"
     from fx_monthly""", "fx_monthly"))
 def same_month_rank(fx):
@@ -152,7 +152,7 @@ def same_month_rank(fx):
 @query("index_state", with_views("""
     select r.region, round(r.idx, 6) as "index", cast(r.n as bigint) as seasons, m.month as latest_month,
            round(m.anom, 6) as latest_value, m.n_days as latest_days,
-           (select 1 + count(*) from fx_monthly x where x.region = m.region and month(x.month) = month(m.month)
+           (select cast(1 + count(*) as int) from fx_monthly x where x.region = m.region and month(x.month) = month(m.month)
               and x.anom > m.anom) as latest_rank,
            (select count(*) from fx_monthly x where x.region = m.region and month(x.month) = month(m.month)) as latest_of
     from runs r join fx_monthly m on m.region = r.region

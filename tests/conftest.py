@@ -12,7 +12,8 @@ from tidegrid.session import build  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+        "spark.default.parallelism": "2", "spark.sql.sources.parallelPartitionDiscovery.threshold": "1000",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -256,6 +256,8 @@ def test_skip_replace_and_parts(spark, store, day):
     assert load(store, "sst", revised, [d1], T0 + dt.timedelta(2), files={"size": 6, "modified": "b"}) == {"2024-02-28": "ingested"}
     counts = {str(r.date): r["count"] for r in store.read("sst_daily").groupBy("date").count().collect()}
     assert counts == {"2024-02-28": 28, "2019-02-28": 32}
+    store.recluster("sst", [2024, 2010])
+    assert store.read("sst_daily").count() == 60
     # replacing with nothing empties the day, and its partition
     store.replace_days("sst", store.read("sst_daily").filter("false"), [d1])
     assert {str(r.date) for r in store.read("sst_daily").collect()} == {"2019-02-28"}
@@ -295,6 +297,7 @@ def test_run(spark, store, day):
     out = pl.run(store, listings, rows, d3, T0 + dt.timedelta(1), ALL, recheck_days=3, regions=REGIONS, grid=G)
     assert {str(r.date): r.outcome for r in out.collect()}["2024-02-29"] == "ingested"
     assert {str(r.date): r.outcome for r in out.collect()}["2024-03-01"] == "unpublished"
+    assert [str(v) for v in store.edges().first()] == ["2024-02-28", "2024-02-29"]
     cover = ig.coverage(store.archive(), store.status()).first()
     assert (cover.rows, cover.days, cover.mhw_days, cover.mhw_complete, cover.clim_complete) == (64, 2, 2, True, False)
     assert {r.variable: r.ready for r in ig.readiness(ig.coverage(store.archive(), store.status())).collect()} == {

@@ -92,7 +92,8 @@ def render(store: Store, args) -> int:
     todo = session.checkpoint(ig.pending_buckets(closed, made, tuple(names), force=args.force))
     for name in names:
         for period in periods:
-            out = pictures.pictures(store.archive(), name, period, todo, args.width)
+            loaded = store.loaded_days("mhw" if name == "mhw" else "sst")
+            out = pictures.pictures(store.archive(), name, period, todo, args.width, loaded=loaded)
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                 "variable", "period", "bucket").parquet(path)
     print(f"{todo.filter(F.col('period').isin(periods)).count()} picture(s)")

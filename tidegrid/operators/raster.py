@@ -33,12 +33,13 @@ def anomaly_field(archive: Archive) -> DataFrame:
     return joined.select("date", "gy", "gx", raw.alias("raw"), F.col("clim_raw").isNull().alias("no_clim"))
 
 
-def bucket_field(archive: Archive, name: str, period: str) -> DataFrame:
+def bucket_field(archive: Archive, name: str, period: str, loaded: DataFrame | None = None) -> DataFrame:
     """(bucket, gy, gx, value, no_clim, n_days) for every bucket at once.
 
     Mean over the days a cell was present, or the maximum for classes. A cell
     has `no_clim` only if none of its days had an anomaly. `n_days` says on how
-    many days of the archive the bucket rests.
+    many days of the archive the bucket rests; where the loaded dates are known
+    (from the status table), passing them saves a second look at the facts.
     """
     variable(name)
     if name == "anom":
@@ -54,7 +55,7 @@ def bucket_field(archive: Archive, name: str, period: str) -> DataFrame:
         F.when(F.count("raw") > 0, value).alias("value"), no_clim.alias("no_clim")
     )
     # distinct dates first, so that the count works on days instead of cells
-    source = archive.mhw if name == "mhw" else archive.sst
+    source = loaded if loaded is not None else archive.mhw if name == "mhw" else archive.sst
     present = source.select("date").distinct().groupBy(bucket).agg(F.count(F.lit(1)).alias("n_days"))
     # one row per bucket: never more than the archive has days
     return cells.join(F.broadcast(present), "bucket")

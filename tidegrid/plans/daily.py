@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as sc
 from ..domain import GLOBAL, REGIONS, Box, Grid, Region
-from ..functions.calendar import part_of
 from ..operators import ingest as ig
 from ..operators import regions as rg
 from ..operators import rollup as ru
@@ -80,20 +79,25 @@ def build_region_daily(
 
 def _cells_of(
     store: Store, product: str, rows: DataFrame, batch: list[dt.date], box: Box, grid: Grid
-) -> tuple[DataFrame, DataFrame]:
-    """A product's cells from its file rows, and the days that cannot be used."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A product's table rows from its file rows, the rows per day, and the days
+    that cannot be used. Counting needs the batch only, not the stored table."""
     problems = gf.shape_problems(rows, grid)
     usable = rows.join(F.broadcast(problems.select("date")), "date", "left_anti")
     if product == "sst":
         mmdds = sorted({d.month * 100 + d.day for d in batch})
-        cells = ig.flag_climatology(gf.sst_cells(usable, box, grid), store.read("sst_clim"), mmdds)
-        return cells, problems
+        ocean = gf.sst_cells(usable, box, grid)
+        return ig.flag_climatology(ocean, store.read("sst_clim"), mmdds), _per_day(ocean, product), problems
     cells = gf.class_cells(usable, box, grid)
     if "mask" in rows.columns:
         land = gf.carries_land(usable.select("date", F.col("mask").alias("values")))
         cells, stuck = gf.repair_land(cells, land, store.read("sst_daily"))
         problems = problems.unionByName(stuck)
-    return cells, problems
+    return cells, _per_day(cells, product), problems
+
+
+def _per_day(cells: DataFrame, product: str) -> DataFrame:
+    return cells.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("product", F.lit(product))
 
 
 def ingest_product(
@@ -132,7 +136,7 @@ def _ingest_batch(store, product, rows, listed, batch, actions, updated_at, box,
     record(none, problem, updated_at - dt.timedelta(microseconds=1), sc.INGESTING)
     landed: list[dt.date] = []
     try:
-        cells, problems = _cells_of(store, product, rows.filter(F.col("date").isin(batch)), batch, box, grid)
+        cells, counts, problems = _cells_of(store, product, rows.filter(F.col("date").isin(batch)), batch, box, grid)
         bad = {r.date: r.problem for r in problems.collect()}  # days of this batch
         good = [d for d in batch if d not in bad]
         again = [d for d in good if actions[d] == "replace"]
@@ -142,13 +146,6 @@ def _ingest_batch(store, product, rows, listed, batch, actions, updated_at, box,
             landed = new
         if again:
             store.replace_days(product, cells.filter(F.col("date").isin(again)), again)
-        written = store.read(DAILY[product])
-        parts = sorted({part_of(d) for d in good})
-        counts = (
-            written.filter(F.col("part").isin(parts) & F.col("date").isin(good))
-            .groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
-            .select(F.lit(product).alias("product"), "date", "n_rows")
-        )
         reasons = spark.createDataFrame(
             [(product, d, p) for d, p in bad.items()], "product string, date date, problem string"
         )

@@ -51,7 +51,7 @@ def codes(
 
 def pictures(
     archive: Archive, name: str, period: str, buckets: DataFrame | None = None, width: int = ra.DEFAULT_WIDTH, *,
-    subset: Subset = PACIFIC, grid: Grid = GLOBAL,
+    loaded: DataFrame | None = None, subset: Subset = PACIFIC, grid: Grid = GLOBAL,
 ) -> DataFrame:
     """(variable, period, bucket, y, x, code, opaque, <bytes>) of whole pictures.
 
@@ -66,7 +66,7 @@ def pictures(
         first, last = wanted.agg(F.min("bucket"), F.max(bucket_end("bucket", period))).first()
         cut = lambda df: None if df is None else date_range(df, first, last)
         archive = Archive(cut(archive.sst), archive.clim, cut(archive.mhw))
-    cells = ra.bucket_field(archive, name, period)
+    cells = ra.bucket_field(archive, name, period, loaded)
     if wanted is not None:
         cells = cells.join(F.broadcast(wanted), "bucket", "left_semi")
     ocean = codes(_placed(cells, subset_box(subset, grid)), name, width, subset)

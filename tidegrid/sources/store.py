@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import schema as sc
 from ..functions.calendar import part_key, part_of
 from ..operators.ingest import latest_version, layout_mismatch, replaced_days
+from ..operators.ranking import archive_edges
 
 DAILY = {"sst": "sst_daily", "mhw": "mhw_daily"}
 SCHEMAS = {
@@ -82,6 +83,15 @@ class Store:
     def status(self) -> DataFrame:
         return self.latest("ingest_status")
 
+    def loaded_days(self, product: str) -> DataFrame:
+        """(date) with rows, off the status table instead of the facts."""
+        done = (F.col("product") == product) & (F.col("status") == sc.SUCCESS) & (F.col("n_rows") > 0)
+        return self.status().filter(done).select("date")
+
+    def edges(self) -> DataFrame:
+        """First and last day of the temperatures, for rankings."""
+        return archive_edges(self.loaded_days("sst"))
+
     def archive(self) -> sc.Archive:
         return sc.Archive(self.read("sst_daily"), self.read("sst_clim"), self.read("mhw_daily"))
 

@@ -45,15 +45,15 @@ def start(
     """
 
     def load(batch: DataFrame, _epoch: int) -> None:
-        if batch.isEmpty():
-            return
         inner = Store(batch.sparkSession, store.root)
+        batch = batch.persist()  # read once; spills to disk, and is read again if lost
         files = batch.groupBy("date").agg(
             F.max("filename").alias("filename"), F.max("size").alias("size"), F.max("modified").alias("modified")
         ).withColumn("product", F.lit(product))
         rows = batch.drop("filename", "size", "modified")
         # a file only arrives again if it was revised
         process_days(inner, {product: (rows, files)}, clock(), box, regions=regions, force=True, grid=grid)
+        batch.unpersist()
 
     stream = day_files(store, landing, product, files_per_batch)
     return (
