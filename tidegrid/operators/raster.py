@@ -215,23 +215,6 @@ PASSES = 8
 TILE = 64
 
 
-def _grow(code: np.ndarray, known: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Repeatedly give each unknown cell the floored mean of its known neighbours
-    (above, below, left, right), all cells of a pass at the same time."""
-    pad = ((1, 1), (1, 1))
-    for _ in range(passes):
-        if known.all():
-            break
-        k = np.pad(known, pad).astype(np.int64)
-        v = np.pad(np.where(known, code, 0), pad)
-        around = lambda m: m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:]
-        count = around(k)
-        fresh = ~known & (count > 0)
-        code = np.where(fresh, around(v) // np.maximum(count, 1), code)
-        known = known | fresh
-    return code, known
-
-
 def neighbour_fill(codes: DataFrame, frame: list[str], height: int, width: int, *, passes: int = PASSES, tile: int = TILE) -> DataFrame:
     """(frame..., y, x, code, known) for every cell of each frame, gaps filled.
 
@@ -278,6 +261,20 @@ def neighbour_fill(codes: DataFrame, frame: list[str], height: int, width: int,
         "median",
     )
 
+    def grow(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Repeatedly give each unknown cell the floored mean of its known
+        neighbours on the four sides, all cells of a pass at the same time."""
+        for _ in range(passes):
+            if known.all():
+                break
+            k = np.pad(known, 1).astype(np.int64)
+            v = np.pad(np.where(known, code, 0), 1)
+            total, count = (m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] for m in (v, k))
+            fresh = ~known & (count > 0)
+            code = np.where(fresh, total // np.maximum(count, 1), code)
+            known = known | fresh
+        return code, known
+
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         marker = pdf["median"].notna()
         head = pdf[marker].iloc[0]
@@ -291,7 +288,7 @@ def neighbour_fill(codes: DataFrame, frame: list[str], height: int, width: int,
         seen[at] = True
         inner = (slice(passes, passes + rows), slice(passes, passes + cols))
         known_before = seen[inner]
-        code, seen = _grow(code, seen, passes)
+        code, seen = grow(code, seen)
         out = np.where(seen, code, int(head["median"]))[inner]
         yy, xx = np.indices(out.shape)
         keys = {c: [head[c]] * out.size for c in frame}

@@ -188,7 +188,11 @@ def nearest_bucket(series: DataFrame, probes: DataFrame, keys: list[str]) -> Dat
         F.coalesce("prev", "earlier").alias("prev"), F.coalesce("next", "later").alias("next"),
     )
 
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    closer = at("next") - at("x") < at("x") - at("prev")
+    # time of day and whole days apart, so that no time zone plays a part
+    of_day = (F.hour("x").cast("long") * 3600 + F.minute("x") * 60) * 1_000_000 + (
+        F.extract(F.lit("SECOND"), F.col("x").cast("timestamp_ntz")) * 1_000_000
+    ).cast("long")
+    apart = lambda later, earlier: F.datediff(later, earlier).cast("long") * 86_400_000_000
+    closer = apart("next", "_day") - of_day < apart("_day", "prev") + of_day
     best = F.when(F.col("prev").isNull() | closer, F.col("next")).otherwise(F.col("prev"))
     return asked.join(around, [*keys, "_day"]).select(*keys, "x", best.alias("bucket"))
