@@ -28,12 +28,27 @@ def monthly_index(rollup: DataFrame, normals: DataFrame) -> DataFrame:
     )
 
 
-def complete_months(monthly: DataFrame) -> DataFrame:
-    """Without the newest month where it is still filling up. Earlier months stay
-    as they are, since they will not change any more."""
-    newest = F.max("month").over(W.partitionBy("region"))
-    open_month = (F.col("month") == F.col("newest")) & (F.col("n_days") < days_in_month("month"))
-    return monthly.withColumn("newest", newest).filter(~open_month).drop("newest")
+def _region():
+    return W.partitionBy("region")
+
+
+def _with_seasons(monthly: DataFrame) -> DataFrame:
+    """Monthly rows plus `newest`, `partial`, and the running `index` around them.
+
+    The newest month is left out of the seasons while it is still filling up;
+    earlier ones stay as they are, since they will not change any more.
+    """
+    walk = _region().orderBy("month")
+    rows = monthly.withColumns({
+        "newest": F.max("month").over(_region()), "partial": F.col("n_days") < days_in_month("month"),
+    })
+    usable = ~((F.col("month") == F.col("newest")) & F.col("partial"))
+    value = F.when(usable, F.col("anom"))
+    adjoining = (F.lag("month").over(walk) == F.add_months("month", -1)) & (
+        F.lead("month").over(walk) == F.add_months("month", 1)
+    )
+    three = (F.lag(value).over(walk) + value + F.lead(value).over(walk)) / 3
+    return rows.withColumn("index", F.when(adjoining, three))
 
 
 def running_index(monthly: DataFrame) -> DataFrame:
@@ -42,60 +57,59 @@ def running_index(monthly: DataFrame) -> DataFrame:
     The three rows must be neighbours in the calendar; across a missing month
     there is no season.
     """
-    walk = W.partitionBy("region").orderBy("month")
-    before, after = F.lag("month").over(walk), F.lead("month").over(walk)
-    three = (F.lag("anom").over(walk) + F.col("anom") + F.lead("anom").over(walk)) / 3
-    adjoining = (before == F.add_months("month", -1)) & (after == F.add_months("month", 1))
-    return (
-        complete_months(monthly)
-        .select("region", F.col("month").alias("middle"), F.when(adjoining, three).alias("index"))
-        .filter(F.col("index").isNotNull())
+    seasons = _with_seasons(monthly).filter(F.col("index").isNotNull())
+    return seasons.select("region", F.col("month").alias("middle"), "index")
+
+
+def _with_run(rows: DataFrame, middle: str) -> DataFrame:
+    """Rows plus the latest season of their region, its sign, and where it began.
+
+    Rows without an index are no seasons and are passed over.
+    """
+    at = F.when(F.col("index").isNotNull(), F.col(middle))
+    rows = rows.withColumns({"season_end": F.max(at).over(_region()), "latest": F.max_by("index", at).over(_region())})
+    rows = rows.withColumn("sign", phase_sign("latest"))
+    broken = F.col("index") * F.col("sign") < INDEX_THRESHOLD
+    return rows.withColumn("last_break", F.max(F.when(broken, F.col(middle))).over(_region())).withColumn(
+        "lasting", F.col("index").isNotNull() & (F.col("last_break").isNull() | (F.col(middle) > F.col("last_break")))
     )
 
 
+def _episode_columns(extra: list[str]) -> list:
+    run = F.when(F.col("sign") == 0, F.lit(0).cast("long")).otherwise(F.col("run"))
+    return [
+        F.col("region"), season("season_end").alias("season"), F.col("season_end"), F.col("latest").alias("index"),
+        phase("latest").alias("phase"), F.when(F.col("sign") != 0, strength("latest")).alias("strength"),
+        run.alias("seasons"), (run >= EPISODE_SEASONS).alias("episode"), *[F.col(c) for c in extra],
+    ]
+
+
 def episode_run(seasons: DataFrame) -> DataFrame:
     """One row per region: latest season, phase, and how long it has lasted.
 
     The run counts seasons after the last one that was not past the threshold
     on the latest one's side.
     """
-    by_region = W.partitionBy("region")
-    latest = F.max_by("index", "middle").over(by_region)
-    signed = seasons.withColumn("latest", latest).withColumn("sign", phase_sign("latest"))
-    broken = F.col("index") * F.col("sign") < INDEX_THRESHOLD
-    marked = signed.withColumn("last_break", F.max(F.when(broken, F.col("middle"))).over(by_region))
-    counted = marked.groupBy("region").agg(
-        F.max("middle").alias("season_end"),
-        F.first("latest").alias("index"),
-        F.first("sign").alias("sign"),
-        F.count_if(F.col("last_break").isNull() | (F.col("middle") > F.col("last_break"))).alias("run"),
-    )
-    run = F.when(F.col("sign") == 0, F.lit(0).cast("long")).otherwise(F.col("run"))
-    return counted.select(
-        "region",
-        season("season_end").alias("season"),
-        "season_end",
-        "index",
-        phase("index").alias("phase"),
-        F.when(F.col("sign") != 0, strength("index")).alias("strength"),
-        run.alias("seasons"),
-        (run >= EPISODE_SEASONS).alias("episode"),
-    )
+    marked = _with_run(seasons, "middle")
+    counted = marked.groupBy("region", "season_end", "latest", "sign").agg(F.count_if("lasting").alias("run"))
+    return counted.select(*_episode_columns([]))
+
+
+def _with_month_rank(monthly: DataFrame) -> DataFrame:
+    peers = W.partitionBy("region", F.month("month"))
+    return monthly.withColumns({
+        "rank": F.rank().over(peers.orderBy(F.col("anom").desc())), "of": F.count(F.lit(1)).over(peers),
+    })
 
 
 def same_month_rank(monthly: DataFrame) -> DataFrame:
     """Every month's place among the same calendar month of all years."""
-    peers = W.partitionBy("region", F.month("month"))
-    return monthly.select(
-        "region", "month", "anom", "n_days",
-        (F.col("n_days") < days_in_month("month")).alias("partial"),
-        F.rank().over(peers.orderBy(F.col("anom").desc())).alias("rank"),
-        F.count(F.lit(1)).over(peers).alias("of"),
-    )
+    partial = (F.col("n_days") < days_in_month("month")).alias("partial")
+    return _with_month_rank(monthly).select("region", "month", "anom", "n_days", partial, "rank", "of")
 
 
 def latest_month(monthly: DataFrame) -> DataFrame:
-    newest = F.max("month").over(W.partitionBy("region"))
+    newest = F.max("month").over(_region())
     return (
         same_month_rank(monthly).withColumn("newest", newest).filter(F.col("month") == F.col("newest")).drop("newest")
     )
@@ -104,15 +118,22 @@ def latest_month(monthly: DataFrame) -> DataFrame:
 def index_state(rollup: DataFrame, normals: DataFrame) -> DataFrame:
     """Phase and episode per region, with the latest (perhaps partial) month.
 
-    Regions with fewer than three complete months have no row.
+    Regions without a season have no row. One pass over the monthly means.
     """
     monthly = monthly_index(rollup, normals)
-    month = latest_month(monthly).select(
-        "region", F.col("month").alias("latest_month"), F.col("anom").alias("latest_value"),
-        F.col("n_days").alias("latest_days"), F.col("partial").alias("latest_partial"),
-        F.col("rank").alias("latest_rank"), F.col("of").alias("latest_of"),
+    rows = _with_run(_with_seasons(_with_month_rank(monthly)), "month")
+    newest = F.col("month") == F.col("newest")
+    of_newest = {"anom": "latest_value", "n_days": "latest_days", "partial": "latest_partial", "rank": "latest_rank",
+                 "of": "latest_of"}
+    state = (
+        rows.filter(F.col("latest").isNotNull())
+        .groupBy("region", "season_end", "latest", "sign", F.col("newest").alias("latest_month"))
+        .agg(
+            F.count_if("lasting").alias("run"),
+            *[F.max(F.when(newest, F.col(c))).alias(name) for c, name in of_newest.items()],
+        )
     )
-    return episode_run(running_index(monthly)).join(month, "region")
+    return state.select(*_episode_columns(["latest_month", *of_newest.values()]))
 
 
 def extent_state(rollup: DataFrame, years: tuple[int, int] = NORMAL_YEARS) -> DataFrame:
