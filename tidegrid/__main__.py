@@ -137,6 +137,7 @@ def main(argv: list[str] | None = None) -> int:
             rows, files = daily.landed(store, args.landing, p)
             failed |= outcomes(daily.ingest_product(
                 store, p, selected(rows, args), selected(files, args), now, box, force=args.force, batch_days=args.batch))
+        store.compact("ingest_status")
         return failed
     if args.command == "mask":
         daily.build_region_cells(store, chosen)
@@ -159,8 +160,11 @@ def main(argv: list[str] | None = None) -> int:
             return outcomes(daily.process_days(
                 store, {p: (selected(rows[p], args), selected(listings[p], args)) for p in rows}, now, box))
         yesterday = now.date() - dt.timedelta(days=1)
-        return outcomes(daily.run(
+        failed = outcomes(daily.run(
             store, listings, rows, yesterday, now, box, max_days=args.max_days, recheck_days=args.recheck_days))
+        for table in ("ingest_status", "region_daily"):  # a few rows per region and day
+            store.compact(table)
+        return failed
     if args.command == "repair-leap-days":
         return outcomes(daily.repair_leap_days(store, *daily.landed(store, args.landing, "mhw"), now, box))
     if args.command == "relayout":

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import bucket_end, bucket_start, mmdd, mmdd_calendar
+from ..functions.calendar import PERIODS, bucket_end, bucket_start, mmdd, mmdd_calendar
 from ..schema import FAILED, INGESTING, SUCCESS, Archive
 from .stats import with_single_row
 
 VARIABLES = ("sst", "anom", "mhw")
-PERIODS = ("daily", "weekly", "monthly")
 
 
 # ------------------------------------------------------------------- climatology
@@ -234,7 +233,8 @@ def run_targets(
     a date with temperatures but no classes yet is visited again. `recheck` days
     are looked at for revisions at the source.
     """
-    last_of = lambda p: F.max(F.when((F.col("product") == p) & (F.col("status") == SUCCESS), F.col("date")))
+    ok = F.col("status") == SUCCESS
+    last_of = lambda p: F.max(F.when((F.col("product") == p) & ok, F.col("date")))
     lasts = status.agg(last_of("sst").alias("s"), last_of("mhw").alias("m"))
     # NULL unless both products have been loaded at least once
     mark = lasts.select(F.when(F.col("s").isNotNull() & F.col("m").isNotNull(), F.least("s", "m")).alias("last"))
@@ -291,7 +291,10 @@ def closed_buckets(spans: DataFrame) -> DataFrame:
              "monthly": F.make_ym_interval(F.lit(0), F.lit(1))}
     parts = [
         spans.filter(F.col("lo") <= F.col("hi"))
-        .select(F.lit(p).alias("period"), "hi", F.explode(F.sequence(bucket_start("lo", p), F.col("hi"), steps[p])).alias("bucket"))
+        .select(
+            F.lit(p).alias("period"), "hi",
+            F.explode(F.sequence(bucket_start("lo", p), F.col("hi"), steps[p])).alias("bucket"),
+        )
         .filter(bucket_end("bucket", p) <= F.col("hi"))
         .select("period", F.col("bucket").cast("date").alias("bucket"))
         for p in PERIODS

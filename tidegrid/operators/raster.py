@@ -215,7 +215,9 @@ PASSES = 8
 TILE = 64
 
 
-def neighbour_fill(codes: DataFrame, frame: list[str], height: int, width: int, *, passes: int = PASSES, tile: int = TILE) -> DataFrame:
+def neighbour_fill(
+    codes: DataFrame, frame: list[str], height: int, width: int, *, passes: int = PASSES, tile: int = TILE
+) -> DataFrame:
     """(frame..., y, x, code, known) for every cell of each frame, gaps filled.
 
     A gap takes its value from known cells at most `passes` steps away, across

@@ -65,6 +65,15 @@ class Store:
         if not fs.rename(p, self._fs(target)[1]):
             raise OSError(f"cannot move {source} to {target}")
 
+    def _swap(self, staged: str, table: str) -> None:
+        """Put a staged table in place. The old one is moved aside first, so that
+        at every moment both states still exist somewhere under the root."""
+        aside = self._staging(f"{table}-old")
+        if self.exists(table):
+            self._rename(self.path(table), aside)
+        self._rename(staged, self.path(table))
+        self._delete(aside)
+
     def _staging(self, table: str) -> str:
         return f"{self.root}/_staging/{table}-{uuid.uuid4().hex}"
 
@@ -155,8 +164,7 @@ class Store:
         """Swap in a new state that may have been computed from the old one."""
         staged = self._staging(table)
         conform(rows, SCHEMAS[table]).write.mode("overwrite").parquet(staged)
-        self._delete(self.path(table))
-        self._rename(staged, self.path(table))
+        self._swap(staged, table)
 
     def compact(self, table: str) -> None:
         """Drop superseded versions."""
@@ -193,8 +201,7 @@ class Store:
         staged = self._staging(table)
         self._write_daily(old.withColumn("part", part_key("date")), staged, "overwrite")
         self.verify_copy(old, self.spark.read.parquet(staged), table)
-        self._delete(self.path(table))
-        self._rename(staged, self.path(table))
+        self._swap(staged, table)
 
     @staticmethod
     def verify_copy(old: DataFrame, new: DataFrame, table: str) -> None:
