@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import langid, packing, simhash
 
 QUERIES = {
+    "op6_simhash_trie_join": simhash.op6_simhash_trie_join,
+    "op9_language_mixture": langid.op9_language_mixture,
     "op10_harmonic_packing": packing.op10_harmonic_packing,
 }
 
