@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, packing, simhash
+from . import langid, packing, rans, simhash
 
 QUERIES = {
     "op6_simhash_trie_join": simhash.op6_simhash_trie_join,
+    "op8_rans_token_files": rans.op8_rans_token_files,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_harmonic_packing": packing.op10_harmonic_packing,
 }
