@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, packing, rans, simhash
+from . import chunks, langid, mixing, packing, rans, simhash
 
 QUERIES = {
+    "op2_mixed_sources": mixing.op2_mixed_sources,
     "op6_simhash_trie_join": simhash.op6_simhash_trie_join,
+    "op7_gear_chunk_dedup": chunks.op7_gear_chunk_dedup,
     "op8_rans_token_files": rans.op8_rans_token_files,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_harmonic_packing": packing.op10_harmonic_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixed_sources": mixing.SQL,
+}
