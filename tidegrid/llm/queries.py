@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chunks, langid, lmscore, mixing, packing, rans, simhash, suffixes
+from . import chunks, collisions, forest, langid, lmscore, mixing, packing, rans, simhash, suffixes
 
 QUERIES = {
+    "op1_prefix_forest": forest.op1_prefix_forest,
     "op2_mixed_sources": mixing.op2_mixed_sources,
     "op3_context_mixing": lmscore.op3_context_mixing,
+    "op4_collision_counting": collisions.op4_collision_counting,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_simhash_trie_join": simhash.op6_simhash_trie_join,
     "op7_gear_chunk_dedup": chunks.op7_gear_chunk_dedup,
