@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import documents_of, mixed, stored, text_slices
 
@@ -92,15 +93,17 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, within: bool = False) -> DataFrame:
-    """doc_id, text (what is kept), n_bytes, n_chunks, n_repeated (chunk pairs), n_removed (bytes), n_spans of each row."""
+    """doc_id, text (what is kept), n_bytes, n_chunks, n_repeated (chunk pairs), n_removed (bytes), n_spans and `row` (all columns) of each row."""
     rows = digest_rows(docs)
     seen = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     seen = stored(seen.select("digest", "first"))
     known = rows.join(seen, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("known"))
     known = known.withColumnRenamed("doc_id", "known_of")
-    own = documents_of(docs)
-    paired = own.join(known, F.col("doc_id") == F.col("known_of"), "left").select("doc_id", "text", "known")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    paired = own.join(known, F.col("doc_id") == F.col("known_of"), "left").select("row", "doc_id", "text", "known")
     schema = "doc_id long, text string, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long"
+    whole = StructType([*StructType.fromDDL(schema), row.schema["row"]])
 
     def remove(batches):
         for batch, data, at in text_slices(batches):
@@ -131,11 +134,12 @@ def without_repeats(docs: DataFrame, within: bool = False) -> DataFrame:
                 kept.append(text[last:])
                 out.append((doc_id, b"".join(kept).decode(), len(text), len(ends[k]), int(repeated.sum()), sum(b - a for a, b in spans), len(spans)))
             columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(columns)], [f.split()[0] for f in schema.split(", ")])
+            arrays = [pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("row")], [*(f.split()[0] for f in schema.split(", ")), "row"])
 
-    return paired.mapInArrow(remove, schema)
+    return paired.mapInArrow(remove, whole)
 
 
 def op7_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without passages that an earlier one has."""
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row")
