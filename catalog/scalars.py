@@ -52,7 +52,7 @@ def centre_of(fx):
     )
 
 
-_HALF = dm.PACIFIC.half_cell
+_HALF = dm.half_step(dm.PACIFIC)
 
 
 @query("inside_domain", f"""

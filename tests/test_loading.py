@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.domain import Box, Grid, Region
+from tidegrid.domain import Box, Grid, Region, outlined
 from tidegrid.operators import ingest as ig
 from tidegrid.operators.rollup import region_daily
 from tidegrid.plans import daily as pl
@@ -175,8 +175,8 @@ def test_layout_counts(spark, frame):
 # ------------------------------------------------------------------ store and run
 
 REGIONS = {
-    "half": Region("half", "Half", (-70.0, 0.0), (0.0, 359.0)).checked(),
-    "tri": Region("tri", "Triangle", rings=(((0.0, -90.0), (359.9, -90.0), (180.0, 90.0), (0.0, -90.0)),)).checked(),
+    "half": Region("half", "Half", (-70.0, 0.0), (0.0, 359.0)),
+    "tri": outlined("tri", "Triangle", (((0.0, -90.0), (359.9, -90.0), (180.0, 90.0), (0.0, -90.0)),)),
 }
 
 
@@ -340,7 +340,7 @@ def test_stream_gives_the_same_as_the_batch(spark, store, day, tmp_path):
 
 def test_region_cells_are_replaced(spark, store):
     assert store.read("region_cells").count() > 0
-    box_now = {"tri": Region("tri", "t", (0.0, 1.0), (0.0, 1.0)).checked()}
+    box_now = {"tri": Region("tri", "t", (0.0, 1.0), (0.0, 1.0))}
     pl.build_region_cells(store, box_now, G)
     assert store.read("region_cells").count() == 0
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.domain import Packing, Subset
+from tidegrid.domain import Packing, Subset, code_limits
 from tidegrid.operators import raster as ra
 from tidegrid.schema import Archive
 
@@ -172,7 +172,7 @@ def test_pictures_match_a_numpy_model(spark, day):
             pic = bilinear(bilinear(field, src_y, 0), src_x, 1)
         mask = np.zeros(pic.shape, bool) if bare is None else bilinear(bilinear(bare.astype(float), src_y, 0), src_x, 1) > 0.5
         known = np.isfinite(pic) | mask
-        code = np.clip(np.rint((np.nan_to_num(pic) - p.offset) / p.scale), p.low_code, p.top_code).astype(int)
+        code = np.clip(np.rint((np.nan_to_num(pic) - p.offset) / p.scale), *code_limits(p)).astype(int)
         code = np.where(mask, 0, code)
         return fill_model(code, known, 8), known
 

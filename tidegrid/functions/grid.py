@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..domain import GLOBAL, PACIFIC, Box, Grid, Subset
+from ..domain import GLOBAL, PACIFIC, Box, Grid, Subset, half_step
 
 
 def _col(c) -> Column:
@@ -39,12 +39,10 @@ def signed_lon(lon) -> Column:
 
 
 def inside(lat, lon, subset: Subset = PACIFIC) -> Column:
-    half = subset.half_cell
-    west = F.lit(subset.lon[0])
-    shifted = F.pmod(_col(lon) - west, F.lit(360.0)) + west
-    return _col(lat).between(subset.lat[0] - half, subset.lat[1] + half) & shifted.between(
-        subset.lon[0] - half, subset.lon[1] + half
-    )
+    """The column form of domain.in_subset."""
+    margin = half_step(subset)
+    east = F.pmod(_col(lon) - F.lit(subset.lon[0]), F.lit(360.0))
+    return _col(lat).between(subset.lat[0] - margin, subset.lat[1] + margin) & (east <= subset.lon[1] - subset.lon[0] + margin)
 
 
 def in_box(box: Box, gy="gy", gx="gx") -> Column:

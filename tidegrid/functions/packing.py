@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..domain import CLASS_MAX, CLASS_MIN, Packing, Variable
+from ..domain import CLASS_MAX, CLASS_MIN, Packing, Variable, code_limits
 
 
 def _col(c) -> Column:
@@ -36,7 +36,8 @@ def quantise(value, packing: Packing, no_value=None) -> Column:
     """Nearest code, clamped to the packable range. `no_value` marks ocean cells
     that get the sentinel; a cell that is neither stays NULL."""
     code = F.rint((_col(value) - F.lit(packing.offset)) / F.lit(packing.scale))
-    code = F.least(F.greatest(code, F.lit(float(packing.low_code))), F.lit(float(packing.top_code))).cast("int")
+    low, high = (F.lit(float(c)) for c in code_limits(packing))
+    code = F.least(F.greatest(code, low), high).cast("int")
     code = F.when(_col(value).isNotNull(), code)
     if packing.sentinel is not None and no_value is not None:
         code = F.when(_col(no_value), F.lit(packing.sentinel)).otherwise(code)

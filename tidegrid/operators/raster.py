@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..domain import PACIFIC, Packing, Subset, variable
+from ..domain import PACIFIC, Packing, Subset, half_step, variable
 from ..functions.calendar import bucket_start, mmdd
 from ..functions.packing import code_bytes, quantise
 from ..schema import Archive
@@ -69,27 +69,34 @@ DEFAULT_WIDTH = 2048
 
 
 def _mercator(lat: float) -> float:
-    lat = math.radians(max(-MERCATOR_LIMIT, min(MERCATOR_LIMIT, lat)))
-    return math.log(math.tan(math.pi / 4 + lat / 2))
+    """Height of a latitude on the Mercator axis."""
+    return math.asinh(math.tan(math.radians(min(max(lat, -MERCATOR_LIMIT), MERCATOR_LIMIT))))
+
+
+def picture_axis(width: int, subset: Subset = PACIFIC) -> tuple[float, float, int]:
+    """Mercator heights of a picture's upper and lower edge, and the rows that give square picture cells between them."""
+    margin = half_step(subset)
+    upper, lower = (_mercator(edge) for edge in (subset.lat[1] + margin, subset.lat[0] - margin))
+    breadth = math.radians(subset.lon[1] - subset.lon[0] + 2 * margin)
+    return upper, lower, max(1, round(width * (upper - lower) / breadth))
 
 
 def picture_height(width: int, subset: Subset = PACIFIC) -> int:
-    half = subset.half_cell
-    top, bottom = _mercator(subset.lat[1] + half), _mercator(subset.lat[0] - half)
-    return max(1, round(width * (top - bottom) / math.radians(subset.lon[1] - subset.lon[0] + 2 * half)))
+    return picture_axis(width, subset)[2]
 
 
 def row_sources(spark: SparkSession, width: int, subset: Subset = PACIFIC) -> DataFrame:
     """(out, src): fractional source row of each picture row, north to south, on
-    an axis that is even in Mercator y. Source row 0 is the southern edge."""
-    half = subset.half_cell
-    top, bottom = _mercator(subset.lat[1] + half), _mercator(subset.lat[0] - half)
-    height = picture_height(width, subset)
-    step = (subset.lat[1] - subset.lat[0]) / max(subset.nlat - 1, 1)
-    y = F.lit(top) + (F.col("id") + 0.5) / F.lit(float(height)) * F.lit(bottom - top)
-    lat = F.degrees(2 * F.atan(F.exp(y)) - math.pi / 2)
-    src = (lat - F.lit(subset.lat[0])) / F.lit(step)
-    return spark.range(height).select(F.col("id").cast("int").alias("out"), src.alias("src"))
+    an axis that is even in Mercator height. Source row 0 is the southern edge.
+
+    The latitude of a height h is the angle whose sine is tanh(h).
+    """
+    upper, lower, height = picture_axis(width, subset)
+    south, north = subset.lat
+    per_row = (subset.nlat - 1) / (north - south) if subset.nlat > 1 else 1.0
+    down = (2 * F.col("id") + 1) / F.lit(2.0 * height)
+    latitude = F.degrees(F.asin(F.tanh(F.lit(upper) - down * F.lit(upper - lower))))
+    return spark.range(height).select(F.col("id").cast("int").alias("out"), ((latitude - south) * per_row).alias("src"))
 
 
 def col_sources(spark: SparkSession, width: int, subset: Subset = PACIFIC) -> DataFrame | None:
@@ -264,17 +271,21 @@ def neighbour_fill(
     )
 
     def grow(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Repeatedly give each unknown cell the floored mean of its known
-        neighbours on the four sides, all cells of a pass at the same time."""
+        """Each pass, unknown cells beside known ones get the floored mean of those.
+
+        The sums over the four sides are products with the two axes' neighbour
+        matrices, for the codes and for the number of known cells alike.
+        """
+        beside = [np.eye(n, k=1) + np.eye(n, k=-1) for n in code.shape]
+        around = lambda cells: beside[0] @ cells + cells @ beside[1]
         for _ in range(passes):
-            if known.all():
+            count = around(known.astype(float))
+            reached = ~known & (count > 0)
+            if not reached.any():
                 break
-            k = np.pad(known, 1).astype(np.int64)
-            v = np.pad(np.where(known, code, 0), 1)
-            total, count = (m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] for m in (v, k))
-            fresh = ~known & (count > 0)
-            code = np.where(fresh, total // np.maximum(count, 1), code)
-            known = known | fresh
+            mean = around(np.where(known, code, 0).astype(float))[reached] // count[reached]
+            code[reached] = mean.astype(code.dtype)
+            known = known | reached
         return code, known
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
