@@ -8,7 +8,6 @@ from tidegrid.domain import Box, Grid
 from tidegrid.functions.calendar import part_key
 from tidegrid.operators import ingest as ig
 from tidegrid.operators import rollup as ru
-from tidegrid.operators import series as se
 from tidegrid.schema import Archive
 from tidegrid.sources import gridfiles as gf
 
@@ -55,12 +54,30 @@ def grid_to_cells(fx):
 
 @query("shape_problems", """
     select cast(l_shipdate as date) as date,
-           concat('expected a 4 x 8 grid, got ', count(distinct l_suppkey % 4), ' rows, 0 of another width') as problem
+           concat('expected a 4 x 8 grid, got ', count(distinct l_suppkey % 4), ' rows, 0 of another width, ', count(distinct l_suppkey % 4), ' in place') as problem
     from lineitem group by 1 having count(distinct l_suppkey % 4) <> 4""")
 def shape_problems(fx):
     return gf.shape_problems(small_rows(fx, "sst"), SMALL)
 
 
+@query("shape_problems_rows", """
+    with lines as (select cast(l_shipdate as date) as date, cast(l_suppkey % 4 as int) as line from lineitem group by 1, 2),
+    bad as (select date, case when day(date) % 3 = 1 and line in (1, 2) then (line - 1) * 3 else line end as line,
+                   day(date) % 3 = 2 and line = 2 as blank from lines),
+    whole as (select date from bad group by date
+              having count(*) = 4 and count(distinct line) = 4 and count(*) filter (where blank) = 0),
+    once as (select date, line from bad group by 1, 2 having count(*) = 1)
+    select b.date, concat('expected a 4 x 8 grid, got ', count(*), ' rows, ', count(*) filter (where blank), ' of another width, ',
+           (select count(*) from once o where o.date = b.date), ' in place') as problem
+    from bad b where b.date not in (select date from whole) group by b.date""")
+def shape_problems_rows(fx):
+    """Files whose rows 1 and 2 repeat 0 and 3, or whose row 2 has no values."""
+    n = F.day("date") % 3
+    rows = small_rows(fx, "sst").withColumn("blank", (n == 2) & (F.col("row") == 2))
+    moved = F.when((n == 1) & F.col("row").isin(1, 2), (F.col("row") - 1) * 3).otherwise(F.col("row"))
+    return gf.shape_problems(rows.withColumn("row", moved.cast("int")).withColumn("values", F.when(~F.col("blank"), F.col("values"))), SMALL)
+
+
 @query("mhw_valid_range", f"""
     with {SMALL_SQL} select date, row as gy, cast((col + 4) % 8 as int) as gx, cast(code as smallint) as cat from small
     where row between 1 and 3 and (col + 4) % 8 between 2 and 6 and code between 1 and 5""")
@@ -126,7 +143,7 @@ def replace_day(fx):
 
 
 @query("layout_verify", with_views("""
-    select cast(year(date) as int) as year, count(*) as old_rows, count(*) filter (where has_clim) as new_rows
+    select cast(year(date) as int) as year, count(*) as old_rows, count(*) filter (where has_clim) as new_rows, false as same_rows
     from fx_sst group by 1 having count(*) <> count(*) filter (where has_clim)""", "fx_sst", grid="wide"))
 def layout_verify(fx):
     wide = fx.on("wide")
@@ -244,37 +261,65 @@ def newest_files(fx):
     return gf.select_files(files, start=day("1996-01-01"), newest_first=True, limit=30)
 
 
-@query("coverage", with_views(f"""
-    select r.*, k.*, d.*, h.*, clim_keys = 366 as clim_complete, mhw_rows > 0 and mhw_days >= days - 1 as mhw_complete
-    from (select count(*) as rows, min(date) as start, max(date) as "end" from fx_sst) r,
+def _loads(fx):
+    """A status row for each loaded day of both products."""
+    per_day = lambda df, p: df.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows")).withColumns({
+        "product": F.lit(p), "status": F.lit("success_ingest")})
+    return per_day(fx.sst, "sst").unionByName(per_day(fx.mhw, "mhw"))
+
+
+@query("coverage", with_views("""
+    select r.*, k.*, h.*, clim_keys = 366 as clim_complete, mhw_rows > 0 and mhw_days >= days - 1 as mhw_complete
+    from (select count(*) as rows, min(date) as start, max(date) as "end", count(distinct date) as days from fx_sst) r,
          (select count(distinct mmdd) as clim_keys from fx_clim) k,
-         (select count(distinct date) filter (where product = 'sst') as days,
-                 count(distinct date) filter (where product = 'mhw') as mhw_days
-          from st where status = 'success_ingest') d,
-         (select count(*) as mhw_rows, min(date) as mhw_start, max(date) as mhw_end from fx_mhw) h""",
-    "fx_sst", "fx_clim", "fx_mhw", extra=FILES_SQL))
+         (select count(*) as mhw_rows, min(date) as mhw_start, max(date) as mhw_end, count(distinct date) as mhw_days from fx_mhw) h""",
+    "fx_sst", "fx_clim", "fx_mhw"))
 def coverage(fx):
-    return ig.coverage(fx.archive, _loaded(fx))
+    """Off the status table; the SQL counts the facts."""
+    return ig.coverage(_loads(fx), fx.clim.select("mmdd"))
 
 
 @query("readiness", with_views("""
     select 'sst' as variable, true as ready
     union all select 'anom', (select count(distinct mmdd) from fx_clim) = 366
     union all select 'mhw', (select count(*) from fx_mhw) > 0 and
-      (select count(distinct date) from st where product = 'mhw' and status = 'success_ingest') >=
-      (select count(distinct date) from st where product = 'sst' and status = 'success_ingest') - 1""",
-    "fx_clim", "fx_mhw", extra=FILES_SQL))
+      (select count(distinct date) from fx_mhw) >= (select count(distinct date) from fx_sst) - 1""",
+    "fx_sst", "fx_clim", "fx_mhw"))
 def readiness(fx):
-    return ig.readiness(ig.coverage(fx.archive, _loaded(fx)))
+    return ig.readiness(ig.coverage(_loads(fx), fx.clim.select("mmdd")))
+
+
+LOADED_AT = "2024-03-01 00:00:00"
+
+
+@query("status_rows", with_views(f"""
+    select product, date, strftime(date, 'f%Y%m%d.nc') as filename,
+           case when bad then 'failed_ingest' else 'success_ingest' end as status,
+           cast(case when bad then 0 else n end as bigint) as n_rows, cast(null as bigint) as file_size, cast(null as varchar) as source_url,
+           n as remote_size, cast(null as varchar) as remote_modified, case when bad then repeat('no grid, ', 100) else '' end as message,
+           timestamp '{LOADED_AT}' as updated_at
+    from (select f.product, f.date, coalesce(c.n, 0) as n, day(f.date) = 13 as bad
+          from files f left join (select date, count(*) as n from fx_cells group by 1) c on c.date = f.date
+          where year(f.date) < 1999)""", "fx_cells", extra=FILES_SQL))
+def status_rows(fx):
+    """Each attempted day with its rows, or the whole text of why it failed."""
+    counts = fx.cells.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
+    files = _files(fx).join(counts.withColumnRenamed("n_rows", "size"), "date", "left").withColumns({
+        "filename": F.date_format("date", "'f'yyyyMMdd'.nc'"), "size": F.coalesce("size", F.lit(0)),
+        "action": F.when(F.year("date") < 1999, "load").otherwise("skip")})
+    bad = _files(fx).filter(F.day("date") == 13).withColumn("problem", F.repeat(F.lit("no grid, "), F.lit(100)))
+    both = counts.join(_files(fx), "date")
+    return ig.status_rows(files, both, bad, day("2024-03-01")).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
 @query("missing_mmdd", with_views("""
-    select cast(month(d)*100 + day(d) as int) as mmdd
-    from (select unnest(generate_series(date '2000-01-01', date '2000-12-31', interval 1 day)) as d)
-    where month(d)*100 + day(d) not in (select mmdd from fx_clim where gy = 900 and gx = 2400)""", "fx_clim"))
+    select k.gy, k.gx, k.mmdd from (
+      select gy, gx, cast(month(d)*100 + day(d) as int) as mmdd from (select distinct gy, gx from fx_clim),
+        (select unnest(generate_series(date '2000-01-01', date '2000-12-31', interval 1 day)) as d)) k
+    left join fx_clim c on c.gy = k.gy and c.gx = k.gx and c.mmdd = k.mmdd where c.mmdd is null""", "fx_clim"))
 def missing_mmdd(fx):
-    """Calendar days without a climatology at one cell."""
-    return ig.missing_mmdd(se.at_cell(fx.clim, (900, 2400)))
+    """Calendar days without a climatology, of every cell that has one on any day."""
+    return ig.missing_mmdd(fx.clim, ["gy", "gx"])
 
 
 @query("mmdd_completeness", with_views(
@@ -283,6 +328,16 @@ def mmdd_completeness(fx):
     return ig.mmdd_completeness(fx.clim)
 
 
+@query("orientation_flipped", with_views("""
+    select d.date, count(*) filter (where s.gy is null) as orphans
+    from fx_dates d join fx_clim c on c.mmdd = month(d.date)*100 + day(d.date)
+    left join fx_cells s on s.date = d.date and s.gy = 3599 - c.gy and s.gx = c.gx
+    group by d.date""", "fx_dates", "fx_clim", "fx_cells"))
+def orientation_flipped(fx):
+    """A climatology turned upside down: cells without a value on every day."""
+    return ig.orientation_check(fx.sst, fx.clim.withColumn("gy", F.lit(3599) - F.col("gy")))
+
+
 @query("orientation_check", with_views("""
     select d.date, count(*) filter (where s.gy is null) as orphans
     from fx_dates d join fx_clim c on c.mmdd = month(d.date)*100 + day(d.date)

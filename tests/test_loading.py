@@ -62,6 +62,9 @@ def test_shape_problems(spark, day):
     twice = grid_rows(spark, day("2024-01-04")).withColumn("row", F.when(F.col("row") == 2, 1).otherwise(F.col("row")))
     out = gf.shape_problems(good.unionByName(short).unionByName(narrow).unionByName(twice), G)
     assert {str(r.date) for r in out.collect()} == {"2024-01-02", "2024-01-03", "2024-01-04"}
+    ends = grid_rows(spark, day("2024-01-05")).withColumn("row", F.when(F.col("row") < 2, 0).otherwise(3))
+    blank = grid_rows(spark, day("2024-01-06")).withColumn("values", F.when(F.col("row") != 2, F.col("values")))
+    assert gf.shape_problems(ends.unionByName(blank).unionByName(good), G).count() == 2
     with pytest.raises(ValueError):
         gf.subset_box(gf.Subset("x", (0.0, 1.0), (0.0, 1.0), 7, 7))
     assert gf.subset_box() == Box(600, 3099, 2000, 5799)
@@ -128,6 +131,7 @@ def test_run_targets(frame, day):
     assert targets(ig.run_targets(none, y, recheck_days=2)) == {"01-10": "catch_up", "01-09": "recheck", "01-08": "recheck"}
     both = status(("sst", "2024-01-08", ok), ("mhw", "2024-01-06", ok), ("mhw", "2024-01-09", "failed_ingest"))
     assert targets(ig.run_targets(both, y)) == {f"01-{d:02d}": "catch_up" for d in (7, 8, 9, 10)}
+    assert targets(ig.run_targets(both, y, max_days=0)) == targets(ig.run_targets(both, y))
     assert targets(ig.run_targets(both, y, max_days=2, recheck_days=5)) == {
         "01-07": "catch_up", "01-08": "catch_up", "01-05": "recheck", "01-06": "recheck"}
     done = status(("sst", "2024-01-10", ok), ("mhw", "2024-01-10", ok))
@@ -167,7 +171,7 @@ def test_layout_counts(spark, frame):
     old = frame("date date, v int", [("2020-01-01", 1), ("2020-01-02", 1), ("2021-01-01", 1)])
     assert ig.layout_mismatch(old, old).count() == 0
     moved = frame("date date, v int", [("2020-01-01", 1), ("2021-01-01", 1), ("2021-01-01", 1)])
-    assert sorted(tuple(r) for r in ig.layout_mismatch(old, moved).collect()) == [(2020, 2, 1), (2021, 1, 2)]
+    assert sorted(tuple(r) for r in ig.layout_mismatch(old, moved).collect()) == [(2020, 2, 1, False), (2021, 1, 2, False)]
     with pytest.raises(ValueError):
         Store.verify_copy(old, moved, "t")
 
@@ -298,9 +302,9 @@ def test_run(spark, store, day):
     assert {str(r.date): r.outcome for r in out.collect()}["2024-02-29"] == "ingested"
     assert {str(r.date): r.outcome for r in out.collect()}["2024-03-01"] == "unpublished"
     assert [str(v) for v in store.edges().first()] == ["2024-02-28", "2024-02-29"]
-    cover = ig.coverage(store.archive(), store.status()).first()
+    cover = ig.coverage(store.status(), store.read("sst_clim")).first()
     assert (cover.rows, cover.days, cover.mhw_days, cover.mhw_complete, cover.clim_complete) == (64, 2, 2, True, False)
-    assert {r.variable: r.ready for r in ig.readiness(ig.coverage(store.archive(), store.status())).collect()} == {
+    assert {r.variable: r.ready for r in ig.readiness(ig.coverage(store.status(), store.read("sst_clim"))).collect()} == {
         "sst": True, "anom": False, "mhw": True}
     assert ig.orientation_check(store.read("sst_daily"), store.read("sst_clim")).agg(F.max("orphans")).first()[0] == 0
 

@@ -130,8 +130,11 @@ def test_reports(spark, store):
         rp.region_timeseries(daily, clim, "atlantis")
     with pytest.raises(ValueError):
         rp.region_geometry(spark, "nino34")
-    rank = rp.region_ranking(arc, daily, clim, "nino34")
+    from tidegrid.operators.ranking import archive_edges
+
+    edges = archive_edges(arc.sst)
+    rank = rp.region_ranking(arc, daily, clim, "nino34", edges=edges)
     assert rank.first().clim_baseline == "1991-2020" and rank.filter("month = 0").count() == 7
-    assert rp.point_ranking(arc, lat, lon, "mhw").first().clim_baseline is None
+    assert rp.point_ranking(arc, lat, lon, "mhw", edges=edges).first().clim_baseline is None
     assert rp.index_report(daily, clim).columns[-1] == "official"
     assert rp.extent_report(daily, "nino34").first().window_days == 7

@@ -74,6 +74,13 @@ def selected(df, args):
     return date_range(df, args.date or args.start, args.date or args.end)
 
 
+def print_rows(df) -> None:
+    """All rows of a small report, one a line."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join(str(v) for v in row))
+
+
 def outcomes(result) -> int:
     counts = {r.outcome: r["count"] for r in result.groupBy("outcome").count().collect()}
     print(", ".join(f"{n} {word}" for word, n in sorted(counts.items())) or "nothing to do")
@@ -103,7 +110,7 @@ def render(store: Store, args) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     store = Store(session.build("tidegrid", args.master), args.root)
-    now, box = dt.datetime.now(dt.UTC).replace(tzinfo=None), gf.subset_box()
+    now, box = dt.datetime.now(dt.UTC), gf.subset_box()
     chosen = {k: REGIONS[k] for k in (getattr(args, "region", None) or REGIONS)}
 
     def clim_rows():
@@ -126,7 +133,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "scan":
         both = [selected(daily.landed(store, args.landing, p)[1], args) for p in ("sst", "mhw")]
-        ig.scan_report(both[0].unionByName(both[1]), store.status()).show(truncate=False)
+        print_rows(ig.scan_report(both[0].unionByName(both[1]), store.status()).orderBy("product"))
         return 0
     if args.command == "backfill":
         products = args.product or ["sst", "mhw"]
@@ -141,7 +148,7 @@ def main(argv: list[str] | None = None) -> int:
         return failed
     if args.command == "mask":
         daily.build_region_cells(store, chosen)
-        store.read("region_cells").groupBy("region").count().show(truncate=False)
+        print_rows(store.read("region_cells").groupBy("region").count().orderBy("region"))
         return 0
     if args.command == "rollup":
         daily.build_region_cells(store, chosen)
@@ -170,7 +177,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "relayout":
         store.rewrite_layout(args.table, args.source)
         return 0
-    ig.status_summary(store.status()).orderBy("product", "status").show(truncate=False)
+    print_rows(ig.status_summary(store.status()).orderBy("product", "status"))
     return 0
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import PERIODS, bucket_end, bucket_start, mmdd, mmdd_calendar
-from ..schema import FAILED, INGESTING, SUCCESS, Archive
+from ..schema import FAILED, INGESTING, SUCCESS
 from .stats import with_single_row
 
 VARIABLES = ("sst", "anom", "mhw")
@@ -39,8 +39,13 @@ def clim_pending(incoming: DataFrame, stored: DataFrame | None, *, force: bool =
     return incoming.join(F.broadcast(stored.select("mmdd").distinct()), "mmdd", "left_anti")
 
 
-def missing_mmdd(clim: DataFrame) -> DataFrame:
-    return mmdd_calendar(clim.sparkSession).join(clim.select("mmdd").distinct(), "mmdd", "left_anti")
+def missing_mmdd(clim: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Calendar days without a climatology: (mmdd), or ([by], mmdd) for each of the keys that there are."""
+    calendar = mmdd_calendar(clim.sparkSession)
+    if by is None:
+        return calendar.join(clim.select("mmdd").distinct(), "mmdd", "left_anti")
+    whole = F.array(*[F.lit(r.mmdd) for r in calendar.collect()])  # 366 rows
+    return clim.groupBy(*by).agg(F.collect_set("mmdd").alias("has")).select(*by, F.explode(F.array_except(whole, "has")).alias("mmdd"))
 
 
 def mmdd_completeness(clim: DataFrame) -> DataFrame:
@@ -48,19 +53,24 @@ def mmdd_completeness(clim: DataFrame) -> DataFrame:
 
 
 def orientation_check(daily: DataFrame, clim: DataFrame) -> DataFrame:
-    """(date, orphans): climatology cells without a value that day.
+    """(date, orphans): climatology cells of the calendar day that have no value that day.
 
-    On real data always 0; a flipped climatology shows at once. Keys are unique,
-    so |clim - daily| = |clim| - |clim and daily|, and the intersection is what
-    `has_clim` counts: two small aggregates instead of an anti join of all days.
+    On real data always 0; a climatology that is turned upside down lies on land
+    and leaves many. Cells are compared, not stored flags, which may be older
+    than the climatology. The anti join is shuffled on the cell.
     """
-    matched = daily.groupBy("date").agg(F.count_if(F.col("has_clim").cast("boolean")).alias("matched"))
-    expected = clim.groupBy("mmdd").agg(F.count(F.lit(1)).alias("expected"))
-    return (
-        matched.withColumn("mmdd", mmdd("date"))
-        .join(F.broadcast(expected), "mmdd", "left")  # 366 rows at most
-        .select("date", (F.coalesce("expected", F.lit(0)) - F.col("matched")).alias("orphans"))
-    )
+    dates = daily.select("date").distinct().withColumn("mmdd", mmdd("date"))  # a row per day
+    expected = clim.select("mmdd", "gy", "gx").join(F.broadcast(dates), "mmdd").select("date", "gy", "gx")
+    orphans = expected.join(daily.select("date", "gy", "gx"), ["date", "gy", "gx"], "left_anti")
+    counts = orphans.groupBy("date").agg(F.count(F.lit(1)).alias("orphans"))
+    zero = F.lit(0).cast("long")
+    return dates.join(counts, "date", "left").select("date", F.coalesce("orphans", zero).alias("orphans"))
+
+
+def one_day_each(daily: DataFrame) -> DataFrame:
+    """The rows of the newest day of each calendar day."""
+    newest = daily.groupBy(mmdd("date").alias("m")).agg(F.max("date").alias("date"))  # 366 rows at most
+    return daily.join(F.broadcast(newest.select("date")), "date", "left_semi")
 
 
 # ------------------------------------------------------------------------ status
@@ -86,8 +96,8 @@ def status_summary(status: DataFrame, keys: tuple[str, ...] = ("product",)) -> D
 def is_current(status, size, modified, seen_size, seen_modified) -> Column:
     """Loaded, and not revised at the source since.
 
-    A recorded size of 0 predates revision tracking and counts as current. A
-    missing figure on either side cannot show a revision.
+    Only figures known on both sides can differ: without a recorded size, or
+    without a time on one side, a loaded day counts as unchanged.
     """
     size = F.coalesce(size, F.lit(0))
     seen_size = F.coalesce(seen_size, F.lit(0))
@@ -146,7 +156,7 @@ def status_rows(
             optional("source_url", "string").alias("source_url"),
             optional("size", "long").alias("remote_size"),
             optional("modified", "string").alias("remote_modified"),
-            F.substring(F.coalesce("problem", F.lit("")), 1, 500).alias("message"),
+            F.coalesce("problem", F.lit("")).alias("message"),
             F.lit(updated_at).cast("timestamp").alias("updated_at"),
         )
     )
@@ -176,25 +186,28 @@ def scan_report(files: DataFrame, status: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- coverage
 
 
-def coverage(archive: Archive, status: DataFrame) -> DataFrame:
+def coverage(status: DataFrame, clim_keys: DataFrame) -> DataFrame:
     """One row: extent of the archive and whether each variable can be served.
 
-    The sparse table cannot tell a calm day from a day that was never loaded, so
-    heatwave results are only safe once its loaded days match the daily table's,
-    give or take the one day by which it is published later.
+    Rows and days come off the status table (product, date, status, n_rows), so
+    no fact is read; `clim_keys` is (mmdd). The sparse table cannot tell a calm
+    day from one that was never loaded, so classes are complete once their
+    loaded days match the daily table's, give or take the one day by which they
+    are published later.
     """
-    ok = status.filter(F.col("status") == SUCCESS)
-    span = lambda df, p: df.agg(
-        F.count(F.lit(1)).alias(f"{p}rows"), F.min("date").alias(f"{p}start"), F.max("date").alias(f"{p}end")
-    )
-    days = ok.agg(
-        F.countDistinct(F.when(F.col("product") == "sst", F.col("date"))).alias("days"),
-        F.countDistinct(F.when(F.col("product") == "mhw", F.col("date"))).alias("mhw_days"),
-    )
-    keys = archive.clim.agg(F.countDistinct("mmdd").alias("clim_keys"))
-    out = span(archive.sst, "")
-    for extra in (span(archive.mhw, "mhw_"), days, keys):
-        out = with_single_row(out, extra)
+    ok = F.col("status") == SUCCESS
+
+    def of(product: str, prefix: str) -> list[Column]:
+        mine = ok & (F.col("product") == product)
+        with_rows = mine & (F.col("n_rows") > 0)
+        return [
+            F.coalesce(F.sum(F.when(mine, F.col("n_rows"))), F.lit(0)).alias(f"{prefix}rows"),
+            F.min(F.when(with_rows, F.col("date"))).alias(f"{prefix}start"), F.max(F.when(with_rows, F.col("date"))).alias(f"{prefix}end"),
+            F.countDistinct(F.when(mine, F.col("date"))).alias(f"{prefix}days"),
+        ]
+
+    facts = status.agg(*of("sst", ""), *of("mhw", "mhw_"))
+    out = with_single_row(facts, clim_keys.agg(F.countDistinct("mmdd").alias("clim_keys")))
     return out.withColumns({
         "clim_complete": F.col("clim_keys") == 366,
         "mhw_complete": (F.col("mhw_rows") > 0) & (F.col("mhw_days") >= F.col("days") - 1),
@@ -229,7 +242,8 @@ def run_targets(
 ) -> DataFrame:
     """(date, reason) that a run on the day after `yesterday` should visit.
 
-    It resumes after the earlier of the two products' last loaded days, so that
+    It resumes after the earlier of the two products' last loaded days (for at
+    most `max_days` days; none or 0 sets no limit), so that
     a date with temperatures but no classes yet is visited again. `recheck` days
     are looked at for revisions at the source.
     """
@@ -240,7 +254,7 @@ def run_targets(
     mark = lasts.select(F.when(F.col("s").isNotNull() & F.col("m").isNotNull(), F.least("s", "m")).alias("last"))
     end = F.lit(yesterday)
     first = F.least(F.coalesce(F.date_add("last", 1), end), end)
-    stop = end if max_days is None else F.least(end, F.date_add(first, max_days - 1))
+    stop = F.least(end, F.date_add(first, max_days - 1)) if max_days else end
     catch_up = mark.select(F.explode(F.sequence(first, stop)).alias("date"), F.lit("catch_up").alias("reason"))
     if recheck_days <= 0:
         return catch_up
@@ -343,12 +357,23 @@ def leap_repair_plan(status: DataFrame) -> DataFrame:
 
 
 def layout_mismatch(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(year, old_rows, new_rows) where a rewritten table differs; empty if equal."""
-    by_year = lambda df, name: df.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias(name))
-    both = by_year(old, "old_rows").join(by_year(new, "new_rows"), "year", "full")
+    """(year, old_rows, new_rows, same_rows) where a rewritten table differs; empty if equal.
+
+    Rows are compared by number and by the sum of their hashes, so one row lost
+    and another doubled shows too.
+    """
+    columns = sorted(c for c in old.columns if c in new.columns)
+
+    def by_year(df: DataFrame, name: str) -> DataFrame:
+        mark = F.xxhash64(*columns).cast("decimal(38,0)")
+        return df.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.sum(mark).alias(name))
+
+    both = by_year(old, "old").join(by_year(new, "new"), "year", "full")
     zero = F.lit(0).cast("long")
-    both = both.select("year", F.coalesce("old_rows", zero).alias("old_rows"), F.coalesce("new_rows", zero).alias("new_rows"))
-    return both.filter(F.col("old_rows") != F.col("new_rows"))
+    both = both.select(
+        "year", F.coalesce("old_rows", zero).alias("old_rows"), F.coalesce("new_rows", zero).alias("new_rows"),
+        F.col("old").eqNullSafe(F.col("new")).alias("same_rows"))
+    return both.filter(~F.col("same_rows") | (F.col("old_rows") != F.col("new_rows")))
 
 
 def replaced_days(existing: DataFrame, incoming: DataFrame, dates: DataFrame) -> DataFrame:

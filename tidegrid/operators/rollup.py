@@ -40,10 +40,6 @@ def _facts(archive: Archive, start=None, end=None) -> DataFrame:
     return days.unionByName(hits)
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom > 0, top / bottom)
-
-
 def region_daily(
     archive: Archive, dim: RegionRows, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
@@ -97,6 +93,16 @@ def refresh(archive: Archive, dim: RegionRows, changed: DataFrame) -> DataFrame:
     return region_daily(Archive(only(archive.sst), archive.clim, only(archive.mhw)), dim)
 
 
+def emptied(before: DataFrame, fresh: DataFrame, changed: DataFrame, regions: list[str]) -> DataFrame:
+    """Rows without cells for the changed dates that had some in a region and have none now, so
+    that an older version does not speak for them. `Store.region_daily` leaves them out."""
+    mine = before.filter(F.col("region").isin(regions) & (F.col("n_cells") > 0))
+    dates = F.broadcast(changed.select("date").distinct())  # a row per day
+    gone = mine.join(dates, "date", "left_semi").select("region", "date").join(fresh.select("region", "date"), ["region", "date"], "left_anti")
+    none = {f.name: F.lit(0 if f.name.startswith("n_cells") else None).cast(f.dataType).alias(f.name) for f in fresh.schema.fields}
+    return gone.select(*[F.col(c) if c in ("region", "date") else none[c] for c in fresh.columns])
+
+
 def region_clim(clim: DataFrame, dim: RegionRows) -> DataFrame:
     """(region, mmdd, mean_clim, n_cells)."""
     return (

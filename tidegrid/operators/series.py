@@ -49,11 +49,12 @@ def daily_values(
     cell: tuple[int, int] | None = None,
     start: dt.date | None = None,
     end: dt.date | None = None,
+    normal: bool = True,
 ) -> DataFrame:
     """(gy, gx, date, raw[, clim_raw]): one row per cell and day, in counts.
 
-    `sst` keeps days without a climatology, with a NULL `clim_raw`; `anom` drops
-    them. `mhw` is stored sparsely, and the days absent from it are 0 wherever
+    `sst` comes with its normal where that is asked for, NULL on days without a
+    climatology; `anom` drops these days. `mhw` is stored sparsely, and the days absent from it are 0 wherever
     the daily table shows ocean.
     """
     variable(name)
@@ -66,6 +67,8 @@ def daily_values(
             .select("gy", "gx", "date", F.coalesce(F.col("cat").cast("long"), F.lit(0).cast("long")).alias("raw"))
         )
     days = days.select("gy", "gx", "date", mmdd("date").alias("mmdd"), F.col("sst_raw").cast("long").alias("raw"))
+    if name == "sst" and not normal:
+        return days.drop("mmdd")
     how = "left" if name == "sst" else "inner"
     joined = days.join(_climatology(archive.clim, cell), ["gy", "gx", "mmdd"], how)
     if name == "sst":

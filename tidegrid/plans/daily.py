@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as sc
 from ..domain import GLOBAL, REGIONS, Box, Grid, Region
+from ..functions.calendar import date_range
 from ..operators import ingest as ig
 from ..operators import regions as rg
 from ..operators import rollup as ru
@@ -47,15 +48,30 @@ def build_region_cells(store: Store, regions: dict[str, Region] | None = None, g
 
 
 def load_climatology(store: Store, rows: DataFrame, box: Box, *, force: bool = False, grid: Grid = GLOBAL) -> None:
-    """Load the calendar days that are not there yet, or everything again."""
+    """Load the calendar days that are not there yet, or everything again.
+
+    Files that are not a full grid are refused, as is a climatology with cells
+    where a stored day has none (it may be upside down). With days in store, a
+    forced load must bring the same cells: each day's `has_clim` was decided by
+    them. The new table is written beside the old one and then put in its place.
+    """
+    if bad := gf.shape_problems(rows, grid, key="mmdd").collect():  # a row per calendar day at most
+        raise ValueError("; ".join(f"{r.mmdd:04d}: {r.problem}" for r in sorted(bad)))
     cells = gf.clim_cells(rows, box, grid)
+    present = store.read("sst_clim")
+    days = store.read("sst_daily")
+    orphans = ig.orientation_check(ig.one_day_each(days), cells).filter("orphans > 0").orderBy("date")
+    if wrong := orphans.collect():  # likewise
+        raise ValueError("climatology cells without a value on " + ", ".join(f"{r.date} ({r.orphans})" for r in wrong))
+    key = ["mmdd", "gy", "gx"]
     if force:
-        store._delete(store.path("sst_clim"))
-        store.append_climatology(cells)
+        moved = cells.join(present, key, "left_anti").select(*key).union(present.join(cells, key, "left_anti").select(*key))
+        if not days.isEmpty() and not moved.isEmpty():
+            raise ValueError("the climatology has other cells than the one the stored days were flagged with; load them anew")
+        store.replace_climatology(cells)
         return
-    # the days found now, listed, because the table is appended to meanwhile
-    present = [r.mmdd for r in store.read("sst_clim").select("mmdd").distinct().collect()]
-    store.append_climatology(cells.filter(~F.col("mmdd").isin(present)) if present else cells)
+    new = ig.clim_pending(cells, present)
+    store.replace_climatology(present.select("mmdd", "gy", "gx", "clim_raw").unionByName(new) if store.exists("sst_clim") else new)
 
 
 def build_region_clim(
@@ -91,7 +107,8 @@ def _cells_of(
     cells = gf.class_cells(usable, box, grid)
     if "mask" in rows.columns:
         land = gf.carries_land(usable.select("date", F.col("mask").alias("values")))
-        cells, stuck = gf.repair_land(cells, land, store.read("sst_daily"))
+        ocean = date_range(store.read("sst_daily"), min(batch), max(batch))  # prunes the parts
+        cells, stuck = gf.repair_land(cells, land, ocean)
         problems = problems.unionByName(stuck)
     return cells, _per_day(cells, product), problems
 
@@ -157,7 +174,7 @@ def _ingest_batch(store, product, rows, listed, batch, actions, updated_at, box,
             # take back what was added; if that fails too, the days stay `ingesting`
             store.replace_days(product, spark.createDataFrame([], SCHEMAS[DAILY[product]]), landed)
         reasons = spark.createDataFrame(
-            [(product, d, str(exc)[:500]) for d in batch], "product string, date date, problem string"
+            [(product, d, str(exc)) for d in batch], "product string, date date, problem string"
         )
         record(none, reasons, updated_at)
         return {d: "failed" for d in batch}
@@ -174,16 +191,16 @@ def process_days(
     whichever product landed: a date without its classes holds a 0 that the
     classes must correct later. Returns (date, outcome), the worst per date.
     """
-    results = None
+    results = store.spark.createDataFrame([], "date date, outcome string")
     for product in ("sst", "mhw"):
         if product not in incoming:
             continue
         rows, files = incoming[product]
-        one = ingest_product(store, product, rows, files, updated_at, box, force=force, grid=grid)
-        results = one if results is None else results.unionByName(one)
+        results = results.unionByName(ingest_product(store, product, rows, files, updated_at, box, force=force, grid=grid))
     changed = results.filter("outcome = 'ingested'").select("date").distinct()
     fresh = ru.refresh(store.archive(), region_dimension(store, regions, grid), changed)
-    store.append("region_daily", fresh.withColumn("updated_at", F.lit(updated_at)))
+    emptied = ru.emptied(store.latest("region_daily"), fresh, changed, list(REGIONS if regions is None else regions))
+    store.append("region_daily", fresh.unionByName(emptied).withColumn("updated_at", F.lit(updated_at)))
     return ig.date_outcome(results)
 
 

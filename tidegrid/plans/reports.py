@@ -15,7 +15,7 @@ from .. import domain as dm
 from ..domain import GLOBAL, Grid, Region, require_inside, variable
 from ..functions.grid import lat_of, lon_of
 from ..functions.wording import extent_word
-from ..operators import events, ingest, ranking, regions, rollup, series, state
+from ..operators import events, ranking, regions, rollup, series, state
 from ..operators.series import SCALE, daily_values
 from ..schema import Archive
 
@@ -101,40 +101,34 @@ def _ranking(df: DataFrame, name: str, *, region: bool) -> DataFrame:
 
 
 def point_ranking(
-    archive: Archive, lat: float, lon: float, name: str = "anom", top: int = 10, *, edges: DataFrame | None = None
+    archive: Archive, lat: float, lon: float, name: str = "anom", top: int = 10, *, edges: DataFrame
 ) -> DataFrame:
     """Years at the nearest cell ranked within each month, and as a whole.
 
-    The archive's edges come from the daily table unless given: `Store.edges`
-    has them off the status table, without a scan.
+    `edges` are the archive's first and last day: `Store.edges` has them off the
+    status table, without a scan.
 
     Classes are averaged here, unlike in a series: ranked by their maximum, most
     years would tie.
     """
     require_inside(lat, lon)
-    days = daily_values(archive, name, cell=(GLOBAL.row(lat), GLOBAL.col(lon)))
+    days = daily_values(archive, name, cell=(GLOBAL.row(lat), GLOBAL.col(lon)), normal=False)
     days = days.select("date", F.col("raw").alias("value"))
-    edges = ranking.archive_edges(archive.sst) if edges is None else edges
     return _ranking(ranking.ranked_periods(days, edges, scale=SCALE[name], top=top), name, region=False)
 
 
 def region_ranking(
     archive: Archive, region_daily: DataFrame, region_clim: DataFrame, key: str, name: str = "anom", top: int = 10,
-    *, known: dict[str, Region] | None = None, edges: DataFrame | None = None,
+    *, known: dict[str, Region] | None = None, edges: DataFrame,
 ) -> DataFrame:
     """The same over a region's daily area means. The archive's edges, and so the
     partial flags, are those of the daily table here as well."""
     _named(key, known)
     only = lambda df: df.filter(F.col("region") == key)
     days = rollup.region_values(only(region_daily), only(region_clim), name)
-    edges = ranking.archive_edges(archive.sst) if edges is None else edges
     return _ranking(ranking.ranked_periods(days, edges, ["region"], top=top), name, region=True)
 
 
-def coverage(archive: Archive, status: DataFrame) -> DataFrame:
-    return ingest.coverage(archive, status)
-
-
 def index_report(region_daily: DataFrame, region_clim: DataFrame, region: str = dm.INDEX_REGION) -> DataFrame:
     """Phase of the index region. Not an official index: one fixed baseline."""
     only = lambda df: df.filter(F.col("region") == region)

@@ -30,12 +30,14 @@ def build(app: str = "tidegrid", master: str | None = None, **extra: str) -> Spa
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage on reliable storage, so a lost executor costs nothing.
 
-    The folder is the one the cluster names; a temporary one is only made where
-    none is set, which is the case in local tests.
+    The folder is the one the cluster names. On one machine, as in tests, a
+    temporary one does where none is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

@@ -49,7 +49,7 @@ def write_csv(rows: DataFrame, path: str, order: list[str], *, single: bool = Fa
     """Write sorted. A single file is meant for one series, which has at most a
     row per day; many series are range-partitioned into as many files as fit."""
     if single:
-        ordered = rows.coalesce(1).sortWithinPartitions(*order)
+        ordered = rows.repartition(1).sortWithinPartitions(*order)  # what stands above keeps its tasks
     else:
         ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.mode("overwrite").csv(path, header=True, lineSep="\r\n", nullValue="", emptyValue="", dateFormat="yyyy-MM-dd")

@@ -72,20 +72,15 @@ def select_files(
 
 
 def shape_problems(rows: DataFrame, grid: Grid = GLOBAL, key: str = "date") -> DataFrame:
-    """(key, problem) for every file that is not a full grid."""
-    width = F.size("values")
-    facts = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"),
-        F.count_if(width != grid.nlon).alias("odd"),
-        # distinct rows without a distinct aggregate: the sum of 0..n-1
-        F.sum(F.col("row").cast("long")).alias("total"),
-    )
-    wrong = (
-        (F.col("n") != grid.nlat) | (F.col("first") != 0) | (F.col("last") != grid.nlat - 1)
-        | (F.col("odd") > 0) | (F.col("total") != grid.nlat * (grid.nlat - 1) // 2)
-    )
-    text = F.format_string(f"expected a {grid.nlat} x {grid.nlon} grid, got %d rows, %d of another width", "n", "odd")
-    return facts.filter(wrong).select(key, text.alias("problem"))
+    """(key, problem) for every file that is not a full grid: each row once, each of full width."""
+    full = F.coalesce(F.size("values") == grid.nlon, F.lit(False))
+    lines = rows.groupBy(key, "row").agg(F.count(F.lit(1)).alias("times"), F.count_if(~full).alias("odd"))
+    inside = F.coalesce(F.col("row").between(0, grid.nlat - 1), F.lit(False))
+    facts = lines.groupBy(key).agg(
+        F.count_if(inside & (F.col("times") == 1)).alias("good"), F.sum("times").alias("n"), F.sum("odd").alias("odd"))
+    text = F.format_string(f"expected a {grid.nlat} x {grid.nlon} grid, got %d rows, %d of another width, %d in place", "n", "odd", "good")
+    sound = (F.col("n") == grid.nlat) & (F.col("good") == grid.nlat) & (F.col("odd") == 0)
+    return facts.filter(~sound).select(key, text.alias("problem"))
 
 
 def grid_to_cells(
@@ -142,13 +137,11 @@ def carries_land(mask_rows: DataFrame) -> DataFrame:
 
 
 def repair_land(cells: DataFrame, land: DataFrame, ocean: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cut land out of category days whose mask knows no land.
+    """Keep only ocean on the days whose category mask marks no land at all.
 
-    Such a file (every 29 February) codes the continents as the worst class. Its
-    cells are kept only where the same date's temperature table has ocean. Days
-    with land in the mask pass unchanged. Returns the cells, and (date, problem)
-    for days that cannot be repaired because their temperatures are missing;
-    their cells are withheld.
+    `land` says which days those are, `ocean` has the cells with a temperature.
+    Returns the usable cells of all days, and (date, problem) for days without
+    land whose ocean is not known: of these no cell is returned.
     """
     flags = F.broadcast(land)  # one row per day
     marked = cells.join(flags, "date")
@@ -157,10 +150,5 @@ def repair_land(cells: DataFrame, land: DataFrame, ocean: DataFrame) -> tuple[Da
     repaired = bad.join(ocean.select("date", "gy", "gx"), ["date", "gy", "gx"], "left_semi").select(*good.columns)
     bare = land.filter(~F.col("has_land")).select("date")
     stuck = bare.join(ocean.select("date").distinct(), "date", "left_anti")
-    problem = F.lit("carries no land, and there is no temperature day to take a land mask from")
+    problem = F.lit("its mask marks no land, and no temperatures of that day say where the ocean is")
     return good.unionByName(repaired), stuck.select("date", problem.alias("problem"))
-
-
-def land_flag(mask: str | Column = "mask") -> Column:
-    """Aggregate form of carries_land for masks that are already in long form."""
-    return F.bool_or((F.col(mask) if isinstance(mask, str) else mask) == MASK_LAND)

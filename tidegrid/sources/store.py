@@ -86,8 +86,9 @@ class Store:
         return self.spark.read.schema(ddl).parquet(self.path(table))
 
     def latest(self, table: str) -> DataFrame:
-        """Newest version of each row of a versioned table."""
-        return latest_version(self.read(table), KEYS[table], ["updated_at"])
+        """Newest version of each row of a versioned table (of a rollup, only dates that have cells)."""
+        rows = latest_version(self.read(table), KEYS[table], ["updated_at"])
+        return rows.filter("n_cells > 0") if table == "region_daily" else rows
 
     def status(self) -> DataFrame:
         return self.latest("ingest_status")
@@ -156,9 +157,18 @@ class Store:
     def append(self, table: str, rows: DataFrame) -> None:
         conform(rows, SCHEMAS[table]).write.mode("append").parquet(self.path(table))
 
-    def append_climatology(self, rows: DataFrame) -> None:
+    def _write_climatology(self, rows: DataFrame, path: str) -> None:
         out = self._clustered(conform(rows, SCHEMAS["sst_clim"]), ["gy", "gx"])
-        out.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(self.path("sst_clim"))
+        out.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
+
+    def append_climatology(self, rows: DataFrame) -> None:
+        self._write_climatology(rows, self.path("sst_clim"))
+
+    def replace_climatology(self, rows: DataFrame) -> None:
+        """Swap in a new climatology that may have been computed from the old one."""
+        staged = self._staging("sst_clim")
+        self._write_climatology(rows, staged)
+        self._swap(staged, "sst_clim")
 
     def overwrite(self, table: str, rows: DataFrame) -> None:
         """Swap in a new state that may have been computed from the old one."""
@@ -178,18 +188,17 @@ class Store:
             self.overwrite(table, self.read(table).filter(~F.col("region").isin(regions)))
 
     def set_region_cells(self, cells: DataFrame, regions: list[str]) -> None:
-        """Replace the cells of the listed regions; a region without cells ends up
-        without any, which is what a polygon turned back into a box needs."""
+        """Put these in place of all cells of the listed regions (of some, that may be none)."""
         kept = self.read("region_cells").filter(~F.col("region").isin(regions))
         self.overwrite("region_cells", kept.unionByName(conform(cells, SCHEMAS["region_cells"])))
 
     def reset(self, products: list[str]) -> None:
-        """Empty products for a fresh load: data and status together, never one
-        without the other."""
-        for p in products:
-            self._delete(self.path(DAILY[p]))
+        """Forget products before a fresh load. The status goes first: if this breaks off, days
+        are loaded again that are still there, and none is taken for loaded that is not."""
         if self.exists("ingest_status"):
             self.overwrite("ingest_status", self.read("ingest_status").filter(~F.col("product").isin(products)))
+        for p in products:
+            self._delete(self.path(DAILY[p]))
 
     def rewrite_layout(self, table: str, source: str) -> None:
         """Bring a daily table at `source`, in whatever layout, onto this one's.
@@ -207,7 +216,7 @@ class Store:
     def verify_copy(old: DataFrame, new: DataFrame, table: str) -> None:
         bad = layout_mismatch(old, new).orderBy("year").collect()  # one row per year at most
         if bad:
-            raise ValueError(f"{table}: row counts differ in {[(r.year, r.old_rows, r.new_rows) for r in bad]}")
+            raise ValueError(f"{table}: rows differ in {[(r.year, r.old_rows, r.new_rows) for r in bad]}")
 
     def save_bucketed(self, rows: DataFrame, table: str, buckets: int, order: str) -> None:
         """A managed copy bucketed on the cell, for repeated all-cell joins that

@@ -37,7 +37,7 @@ def day_files(store: Store, landing: str, product: str, per_batch: int) -> DataF
 
 def start(
     store: Store, landing: str, product: str, box: Box, checkpoint: str, *, regions: dict[str, Region] | None = None,
-    grid: Grid = GLOBAL, clock: Callable[[], dt.datetime] = dt.datetime.now, files_per_batch: int = 30,
+    grid: Grid = GLOBAL, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC), files_per_batch: int = 30,
 ) -> StreamingQuery:
     """Load everything that has arrived for one product, then stop.
 
