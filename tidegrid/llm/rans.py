@@ -23,6 +23,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ from .common import documents_of, shared_folder, stored, text_slices
 from .tokens import VOCABULARY, crc_of, encoder
 
 SCALE_BITS = 20
-LANES = 32
+LANES = 64
 BLOCK_IDS = 1 << 16
-CHECKPOINT_STEPS = 512  # steps of all lanes between checkpoints
+CHECKPOINT_STEPS = 256  # steps of all lanes between checkpoints
 PART_BYTES = 4 << 20  # text of a part, about
 LOW = np.uint64(1 << 31)  # states lie in [LOW, LOW << 32)
 WORD = np.uint64(32)
@@ -198,7 +199,7 @@ def part_of(doc_id, edges: list[int]):
 
 def ordered(table: pa.Table) -> pa.Table:
     """Rows of a part by doc_id (null first) and CRC."""
-    return table.sort_by([("doc_id", "ascending"), ("ids_crc32", "ascending")])
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("ids_crc32", "ascending")], null_placement="at_start"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

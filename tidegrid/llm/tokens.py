@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"  # a file of the public tokenizers' folder, or a path of one's own
-CACHE_WORDS = 1_000_000  # words whose ids a worker keeps at most; it then begins anew
-WORD_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+CACHE_WORDS = 400_000  # words whose ids a worker keeps at most in each of two generations
+# The vocabulary's word rule, for the characters below U+0180 (fixed: contractions, letters, single numbers, other marks).
+LATIN = [chr(c) for c in range(33, 0x180)]
+LETTERS, NUMBERS, MARKS = ("".join(c for c in LATIN if unicodedata.category(c)[0] in kinds) for kinds in ("L", "N", "PS"))
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORD_PARTS = re.compile(f"{CONTRACTIONS}|[{re.escape(LETTERS)}]+|[{re.escape(NUMBERS)}]|[{re.escape(MARKS)}]+")
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN = re.compile(f"[{re.escape((LETTERS + NUMBERS + MARKS).replace(chr(0x130), ''))}]+")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -30,39 +37,43 @@ class Encoder:
     This vocabulary's normaliser turns white space into blanks and its word rule
     never matches across one, so a text's ids are those of its blank-separated
     words one after the other. Each different word is given to the library once;
-    texts are then put together from the words' ids. ASCII words are cut by the
-    word rule here and go straight to the library's merges; all others (and such
-    as hold a mark that may be a special token) are encoded whole.
+    texts are then put together from the words' ids. Words of Latin characters are
+    cut by the word rule here and go straight to the library's merges; all others
+    (and such as hold a mark that may be a special token) are encoded whole.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.words: dict[bytes, array] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        self.bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[bytes | str, bytes] = {}
 
-    def _part(self, part: bytes) -> list[int]:
+    def _part(self, part: bytes | str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(part.decode())]
+            # visible ASCII stands for itself in the vocabulary's alphabet of bytes
+            written = part.decode() if isinstance(part, bytes) else self.bytewise.pre_tokenize_str(part)[0][0]
+            ids = self.parts[part] = array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
         return ids
 
-    def _word(self, word: bytes) -> array:
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word that the young generation does not hold, as 16-bit integers."""
         if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        if self._plain(word):
-            found = array("H", [i for p in WORD_PARTS.findall(word.lower()) for i in self._part(p)])
-        else:
-            found = array("H", self.whole.encode(word.decode(), add_special_tokens=False).ids)
+            self.words, self.older, self.parts = {}, self.words, {}
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode()
+            if b"<|" in word or not PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+                found = array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            elif text.isascii():
+                found = b"".join([self._part(p) for p in ASCII_PARTS.findall(word.lower())])
+            else:
+                found = b"".join([self._part(p) for p in WORD_PARTS.findall(text.lower())])
         self.words[word] = found
         return found
 
-    @staticmethod
-    def _plain(word: bytes) -> bool:
-        """Whether only visible ASCII (whose bytes stand for themselves in the vocabulary) and no special mark is in it."""
-        return b"<|" not in word and min(word) > 32 and max(word) < 127
-
     def ids(self, text: bytes) -> np.ndarray:
         """Ids of a UTF-8 text as unsigned 16-bit integers."""
         known, word = self.words.get, self._word
