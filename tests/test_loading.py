@@ -412,3 +412,64 @@ def test_command_line(spark, store, day, tmp_path, capsys):
     assert main([*root, "backfill", "--product", "sst"]) == 1
     assert store.status().first().status == "failed_ingest"
     assert parser().parse_args([*root, "run", "--max-days", "2"]).recheck_days == 3
+
+
+# ------------------------------------------------------------------------ guards
+
+
+def clim_files(spark, value=lambda m, r, c: 100 + c, mmdds=(228, 229, 301)):
+    return spark.createDataFrame(
+        [(m, r, [value(m, r, c) for c in range(8)]) for m in mmdds for r in range(4)], "mmdd int, row int, values array<smallint>")
+
+
+def test_bad_climatologies_are_refused(spark, store, day, monkeypatch):
+    before = sorted(map(tuple, store.read("sst_clim").collect()))
+    doubled = clim_files(spark).withColumn("row", F.when(F.col("row") < 2, 0).otherwise(3))
+    with pytest.raises(ValueError, match="0228"):
+        pl.load_climatology(store, doubled, ALL, force=True, grid=G)
+    d = day("2024-02-28")
+    load(store, "sst", grid_rows(spark, d, lambda r, c: 5 if r < 2 else -32768), [d], T0)
+    north = clim_files(spark, lambda m, r, c: 100 if r < 2 else -32768)  # north-up: the other half of the rows
+    with pytest.raises(ValueError, match="2024-02-28"):
+        pl.load_climatology(store, north, ALL, force=True, grid=G)
+    fewer = clim_files(spark, lambda m, r, c: 100 if r == 3 else -32768)
+    with pytest.raises(ValueError, match="anew"):
+        pl.load_climatology(store, fewer, ALL, force=True, grid=G)
+    assert sorted(map(tuple, store.read("sst_clim").collect())) == before
+
+
+def test_a_broken_climatology_load_leaves_the_old_one(spark, store, monkeypatch):
+    before = sorted(map(tuple, store.read("sst_clim").collect()))
+    monkeypatch.setattr(Store, "_swap", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        pl.load_climatology(store, clim_files(spark, lambda m, r, c: 7), ALL, force=True, grid=G)
+    assert sorted(map(tuple, store.read("sst_clim").collect())) == before
+
+
+def test_reset_forgets_the_status_first(spark, store, day, monkeypatch):
+    d = day("2024-02-28")
+    load(store, "sst", grid_rows(spark, d), [d], T0)
+    monkeypatch.setattr(Store, "_delete", lambda self, path: (_ for _ in ()).throw(OSError("lost")) if path.endswith("sst_daily") else None)
+    with pytest.raises(OSError):
+        store.reset(["sst"])
+    assert store.loaded_days("sst").count() == 0  # the day will be loaded again
+
+
+def test_nothing_to_process(store):
+    assert pl.process_days(store, {}, T0, ALL, regions=REGIONS, grid=G).count() == 0
+
+
+def test_a_date_that_loses_its_cells(spark, store, day):
+    d = day("2024-02-28")
+    load(store, "sst", grid_rows(spark, d), [d], T0)
+    assert ("half", "2024-02-28") in rolled(store)
+    load(store, "sst", grid_rows(spark, d, lambda r, c: -32768), [d], T0 + dt.timedelta(hours=1), force=True)
+    assert rolled(store) == {}
+    load(store, "sst", grid_rows(spark, d), [d], T0 + dt.timedelta(hours=2), force=True)
+    assert rolled(store)["half", "2024-02-28"].n_cells > 0
+
+
+def test_one_row_lost_and_one_doubled_in_a_year(frame):
+    old = frame("date date, v int", [("2020-01-01", 1), ("2020-01-02", 2)])
+    new = frame("date date, v int", [("2020-01-01", 1), ("2020-01-01", 1)])
+    assert [tuple(r) for r in ig.layout_mismatch(old, new).collect()] == [(2020, 2, 2, False)]
