@@ -473,3 +473,27 @@ def test_one_row_lost_and_one_doubled_in_a_year(frame):
     old = frame("date date, v int", [("2020-01-01", 1), ("2020-01-02", 2)])
     new = frame("date date, v int", [("2020-01-01", 1), ("2020-01-01", 1)])
     assert [tuple(r) for r in ig.layout_mismatch(old, new).collect()] == [(2020, 2, 2, False)]
+
+
+def test_a_revised_day_changes_its_pictures(spark, store, day):
+    from tidegrid.domain import Subset
+    from tidegrid.plans import pictures
+
+    small = Subset("s", (-67.5, 67.5), (22.5, 337.5), 4, 8)
+    d = day("2024-02-28")
+    shown = lambda: {(r.variable, r.period): r.c for r in spark.read.parquet(store.path("pictures")).groupBy("variable", "period").agg(F.sum("code").alias("c")).collect()}
+    where = {"width": 8, "subset": small, "grid": G}
+
+    def run(value, at):
+        files = files_of(spark, "sst", [d])
+        out = pl.process_days(store, {"sst": (grid_rows(spark, d, value), files)}, at, ALL, regions=REGIONS, grid=G, force=True)
+        return pictures.redraw(store, spark.createDataFrame(out.collect(), out.schema), **where)
+
+    assert run(lambda r, c: 500, T0) == 9
+    before = shown()
+    assert run(lambda r, c: 900, T0 + dt.timedelta(hours=1)) == 9
+    after = shown()
+    assert all(after["sst", p] != before["sst", p] for p in ("daily", "weekly", "monthly"))
+    assert store.read("picture_list").distinct().count() == 9
+    none = spark.createDataFrame([], "date date, outcome string")
+    assert pictures.redraw(store, none, **where) == 0

@@ -19,7 +19,7 @@ from .functions.calendar import PERIODS, date_range
 from .operators import ingest as ig
 from .plans import daily, pictures
 from .sources import gridfiles as gf
-from .sources.store import Store
+from .sources.store import DAILY, Store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -62,7 +62,9 @@ def parser() -> argparse.ArgumentParser:
     run = command("run", "the daily run", dates=True)
     run.add_argument("--max-days", type=int)
     run.add_argument("--recheck-days", type=int, default=3)
-    command("repair-leap-days", "load stored 29 Februaries again, with their land repaired")
+    repair = command("repair-leap-days", "load stored 29 Februaries again, with their land repaired")
+    for c in (run, repair):
+        c.add_argument("--width", type=int, default=2048, help="of the pictures to redraw; 0 for none")
     layout = command("relayout", "rewrite a daily table from another layout, verified by row counts")
     layout.add_argument("--table", choices=["sst_daily", "mhw_daily"], required=True)
     layout.add_argument("--source", required=True)
@@ -81,6 +83,15 @@ def print_rows(df) -> None:
         print("\t".join(str(v) for v in row))
 
 
+def run_outcomes(store: Store, result, width: int) -> int:
+    """Report a run's days and redraw the pictures of those that were loaded (no width: none)."""
+    result = session.checkpoint(result)  # a row per day; without it the run would be planned again
+    failed = outcomes(result)
+    if width:
+        print(f"{pictures.redraw(store, result, width)} picture(s)")
+    return failed
+
+
 def outcomes(result) -> int:
     counts = {r.outcome: r["count"] for r in result.groupBy("outcome").count().collect()}
     print(", ".join(f"{n} {word}" for word, n in sorted(counts.items())) or "nothing to do")
@@ -92,18 +103,9 @@ def render(store: Store, args) -> int:
     files = store.status().filter("status = 'success_ingest'")
     span = selected(files.filter(F.col("product").isin(["mhw" if n == "mhw" else "sst" for n in names])), args)
     closed = ig.closed_buckets(span.agg(F.min("date").alias("lo"), F.max("date").alias("hi")))
-    path = store.path("pictures")
-    made = store.spark.createDataFrame([], "variable string, period string, bucket date")
-    if store.exists("pictures"):
-        made = store.spark.read.parquet(path).select("variable", "period", "bucket").distinct()
+    made = store.read("picture_list").distinct()
     todo = session.checkpoint(ig.pending_buckets(closed, made, tuple(names), force=args.force))
-    for name in names:
-        for period in periods:
-            loaded = store.loaded_days("mhw" if name == "mhw" else "sst")
-            out = pictures.pictures(store.archive(), name, period, todo, args.width, loaded=loaded)
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "variable", "period", "bucket").parquet(path)
-    print(f"{todo.filter(F.col('period').isin(periods)).count()} picture(s)")
+    print(f"{pictures.draw(store, todo, tuple(names), tuple(periods), args.width)} picture(s)")
     return 0
 
 
@@ -144,6 +146,9 @@ def main(argv: list[str] | None = None) -> int:
             rows, files = daily.landed(store, args.landing, p)
             failed |= outcomes(daily.ingest_product(
                 store, p, selected(rows, args), selected(files, args), now, box, force=args.force, batch_days=args.batch))
+            parts = store.read(DAILY[p]).select("part").distinct().collect()  # a few dozen
+            for part in sorted(r.part for r in parts):
+                store.recluster(p, [part])
         store.compact("ingest_status")
         return failed
     if args.command == "mask":
@@ -164,16 +169,16 @@ def main(argv: list[str] | None = None) -> int:
         for p in ("sst", "mhw"):
             rows[p], listings[p] = daily.landed(store, args.landing, p)
         if args.date:
-            return outcomes(daily.process_days(
-                store, {p: (selected(rows[p], args), selected(listings[p], args)) for p in rows}, now, box))
+            return run_outcomes(store, daily.process_days(
+                store, {p: (selected(rows[p], args), selected(listings[p], args)) for p in rows}, now, box), args.width)
         yesterday = now.date() - dt.timedelta(days=1)
-        failed = outcomes(daily.run(
-            store, listings, rows, yesterday, now, box, max_days=args.max_days, recheck_days=args.recheck_days))
+        failed = run_outcomes(store, daily.run(
+            store, listings, rows, yesterday, now, box, max_days=args.max_days, recheck_days=args.recheck_days), args.width)
         for table in ("ingest_status", "region_daily"):  # a few rows per region and day
             store.compact(table)
         return failed
     if args.command == "repair-leap-days":
-        return outcomes(daily.repair_leap_days(store, *daily.landed(store, args.landing, "mhw"), now, box))
+        return run_outcomes(store, daily.repair_leap_days(store, *daily.landed(store, args.landing, "mhw"), now, box), args.width)
     if args.command == "relayout":
         store.rewrite_layout(args.table, args.source)
         return 0

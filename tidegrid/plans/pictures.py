@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..domain import GLOBAL, PACIFIC, Box, Grid, Subset, variable
-from ..functions.calendar import bucket_end, date_range
+from ..domain import GLOBAL, PACIFIC, VARIABLES, Box, Grid, Subset, variable
+from ..functions.calendar import PERIODS, bucket_end, date_range
 from ..functions.grid import in_box
 from ..operators import raster as ra
+from ..operators.ingest import affected_buckets
 from ..schema import Archive
 from ..sources.gridfiles import subset_box
+from ..sources.store import Store
 
 FRAME = ["bucket"]
+FILES = 4  # of a picture at most
 
 
 def _placed(cells: DataFrame, box: Box) -> DataFrame:
@@ -77,3 +80,35 @@ def pictures(
         F.col("known").alias("opaque"),
     )
     return ra.channel_bytes(out, var.packing)
+
+
+def draw(
+    store: Store, todo: DataFrame, names: tuple[str, ...] = tuple(VARIABLES), periods: tuple[str, ...] = PERIODS,
+    width: int = ra.DEFAULT_WIDTH, *, subset: Subset = PACIFIC, grid: Grid = GLOBAL,
+) -> int:
+    """Write the pictures of `todo` (variable, period, bucket), also over older ones; returns how many.
+
+    Each is noted in the store's picture list, which tells what exists without
+    reading pictures. Nothing is scanned for a variable and period not asked for.
+    """
+    drawn = 0
+    for name in names:
+        for period in periods:
+            mine = todo.filter((F.col("variable") == name) & (F.col("period") == period)).distinct()
+            count = mine.count()
+            if not count:
+                continue
+            loaded = store.loaded_days("mhw" if name == "mhw" else "sst")
+            out = pictures(store.archive(), name, period, mine, width, loaded=loaded, subset=subset, grid=grid)
+            out = out.repartition("bucket", F.pmod(F.xxhash64("y"), F.lit(FILES)))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "variable", "period", "bucket").parquet(store.path("pictures"))
+            store.append("picture_list", mine)
+            drawn += count
+    return drawn
+
+
+def redraw(store: Store, outcomes: DataFrame, width: int = ra.DEFAULT_WIDTH, **where) -> int:
+    """Draw every bucket that an ingested date of (date, outcome) contributes to, open ones included."""
+    changed = outcomes.filter("outcome = 'ingested'").select("date")
+    return draw(store, affected_buckets(changed), width=width, **where)

@@ -19,6 +19,8 @@ INGEST_STATUS = (
     "product string, date date, filename string, status string, n_rows bigint, file_size bigint,"
     " source_url string, remote_size bigint, remote_modified string, message string, updated_at timestamp"
 )
+# One row for each time a picture was written.
+PICTURE_LIST = "variable string, period string, bucket date"
 # Full-grid source file, one row per grid row.
 GRID_ROWS = "date date, row int, values array<smallint>"
 
