@@ -54,13 +54,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of the batches with about SLICE_BYTES of text each (a longer text is a part of its own), with its buffer."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batches with about `most` bytes of text each (a longer text is a part of its own), with its buffer."""
     for batch in batches:
         data, at = text_buffer(batch.column(column))
         row = 0
         while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
             yield batch.slice(row, stop - row), data[at[row] : at[stop]], at[row : stop + 1] - at[row]
             row = stop
 

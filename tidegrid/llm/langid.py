@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import remainder, rows_of_items, stored, sums_by_row, text_slices
 
 SLOTS = 1 << 15  # trigrams are counted by hash
+SLICE = 1 << 20  # bytes of text at once: each needs some numbers for every language
 RUN_WORDS = 8  # words of a run
 ROUNDS = 8  # of expectation and maximisation for each set of languages
 LEAST_SHARE = 0.02  # languages below it after the first estimate leave together
@@ -72,7 +73,7 @@ def learn(training: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch, data, at in text_slices(batches):
+        for batch, data, at in text_slices(batches, most=SLICE):
             slots, langs = doc_slots(data, at), batch.column("lang").to_pylist()
             for k, lang in enumerate(langs):
                 own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
@@ -111,12 +112,12 @@ def run_likelihoods(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tupl
     counts = np.bincount(texts[opens], minlength=len(at) - 1)
     if not len(edges):
         return np.zeros((0, table.shape[1]), np.float32), counts
-    values = table[doc_slots(data, at)]
     ends = np.append(edges[1:], len(data))
     last = np.cumsum(counts)[counts > 0] - 1
     ends[last] = at[1:][counts > 0]
-    sums = np.cumsum(np.concatenate([np.zeros((1, values.shape[1])), values]), axis=0, dtype=np.float64)
-    return (sums[ends] - sums[edges]).astype(np.float32), counts
+    values = np.concatenate([table[doc_slots(data, at)], np.zeros((1, table.shape[1]), np.float32)])
+    # sums from each run's start to its end, then (left out) from there to the next start
+    return np.add.reduceat(values, np.stack([edges, ends], axis=1).reshape(-1), axis=0)[::2], counts
 
 
 def shares_of(likelihoods: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -163,7 +164,7 @@ def predictor(langs: list[str], table: np.ndarray):
     def predict(column: pa.Array) -> pa.Array:
         names, scores = [], []
         source = pa.RecordBatch.from_arrays([column.cast(pa.string())], ["text"])
-        for batch, data, at in text_slices(iter([source])):
+        for batch, data, at in text_slices(iter([source]), most=SLICE):
             texts = batch.column("text").to_pylist()
             shares = shares_of(*run_likelihoods(data, at, table)) if langs else np.full((len(texts), 1), np.nan)
             for text, share in zip(texts, shares):
