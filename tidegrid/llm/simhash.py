@@ -8,8 +8,8 @@ bits from each shingle's hash.
 Fingerprints link when they differ in at most `budget` bits. Different ones are
 dealt out by sets of hex digits on which a linked pair agrees: with 64 bits and
 a budget of 3, one of the four blocks of 16 bits is always untouched, so no link
-is lost; for wide budgets, tables of three digits are drawn, and a pair misses
-all of them with a known small chance. Within a block, the sorted fingerprints
+is lost; for wide budgets, sets of digits are drawn, and a pair misses all of
+them with a known small chance. Within a block, the sorted fingerprints
 are a binary trie whose nodes are ranges. Pairs of nodes go down together and
 add up the bits in which they differ; a pair over the budget ends. A pair whose
 leaves are all known to be of one set ends too, which keeps large groups of
@@ -24,6 +24,8 @@ component is null. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +36,8 @@ from .common import components, documents_of, joined_roots, mixed, rows_of_items
 
 SEED = 42
 CHUNK_ROWS = 250_000  # fingerprints a task joins at once, a larger block apart
+TYPICAL, MISS = 0.151, 0.008  # bits in which texts of similarity 0.8 differ, and the chance to miss such a pair
+CHANCE_NEIGHBOURS = 16  # other fingerprints in a block by chance, at most
 PAIRS_AT_ONCE = 500_000  # node pairs that go down together
 SHINGLES_AT_ONCE = 65_536
 
@@ -54,17 +58,24 @@ def text_hashes(text: bytes, width: int) -> bytes:
     return b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends)])
 
 
+# A byte's bits, first one first, each in a byte of its own, so that up to 255 of them add up without a carry.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
 def majority_bits(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     """Fingerprints of rows with `counts` hashes each, as big-endian bytes (rows, bits / 8)."""
     set_in = np.zeros((len(counts), bits), np.int32)
     row = rows_of_items(counts)
     for a in range(0, len(hashes), SHINGLES_AT_ONCE):
         part, rows = hashes[a : a + SHINGLES_AT_ONCE], row[a : a + SHINGLES_AT_ONCE]
-        begin = np.flatnonzero(np.diff(rows, prepend=-1))
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+        begin = np.flatnonzero(place % 255 == 0)
         for word in range(bits // 64):
             h = part if word == 0 else mixed(part + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64))
-            flags = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            set_in[rows[begin], word * 64 : word * 64 + 64] += np.add.reduceat(flags, begin, axis=0, dtype=np.int32)
+            lanes = BYTE_BITS[h.astype(">u8").view(np.uint8).reshape(-1, 8)]
+            sums = np.add.reduceat(lanes, begin, axis=0).view(np.uint8)
+            np.add.at(set_in[:, word * 64 : word * 64 + 64], rows[begin], sums.astype(np.int32))
     return np.packbits(set_in * 2 > counts[:, None], axis=1)
 
 
@@ -83,13 +94,21 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
     return documents_of(docs).mapInArrow(prints, "doc_id long, fingerprint string")
 
 
-def tables_of(bits: int, budget: int) -> list[list[int]]:
-    """Sets of hex digits (from 1) on which linked fingerprints agree: exact for small budgets, many draws for large ones."""
+def tables_of(bits: int, budget: int, prints: int) -> list[list[int]]:
+    """Sets of hex digits (from 1) on which linked fingerprints agree: exact for small budgets, many draws for large ones.
+
+    A draw has as many digits as keep the chance neighbours of one of `prints`
+    fingerprints few, and there are as many draws as miss a pair that differs in
+    TYPICAL of its bits with a chance of MISS: cost grows a little faster than
+    the input, and what is found stays the same.
+    """
     digits = bits // 4
     if budget + 1 <= bits // 16:
         return [list(range(k, k + 4)) for k in range(1, digits + 1, 4)]
-    half = digits // 2
-    return [[1 + k % digits, 1 + (3 * k + 7) % digits, 1 + (5 * k + 31) % digits] for k in range(half)]
+    size = max(3, math.ceil(math.log(max(prints, 1) / CHANCE_NEIGHBOURS, 16)))
+    draws = math.ceil(math.log(MISS) / math.log(1 - (1 - TYPICAL) ** (4 * size)))
+    rng = np.random.default_rng(SEED)
+    return [(1 + rng.choice(digits, size, replace=False)).tolist() for _ in range(draws)]
 
 
 def trie_links(prints: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
@@ -160,8 +179,8 @@ def split_at(word: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np
 
 
 def links(prints: DataFrame, bits: int, budget: int) -> DataFrame:
-    """Spanning edges (a, b) among different fingerprints (hex) that link within some block."""
-    keys = F.array(*[F.concat(F.lit(f"{t}:"), *[F.substring("fingerprint", p, 1) for p in places]) for t, places in enumerate(tables_of(bits, budget))])
+    """Spanning edges (a, b) among different fingerprints (hex, stored) that link within some block."""
+    keys = F.array(*[F.concat(F.lit(f"{t}:"), *[F.substring("fingerprint", p, 1) for p in places]) for t, places in enumerate(tables_of(bits, budget, prints.count()))])
     dealt = prints.select("fingerprint", F.explode(keys).alias("block")).repartition("block").sortWithinPartitions("block", "fingerprint")
     width = bits // 8
 
