@@ -348,6 +348,39 @@ def test_wide_fingerprints_group_near_copies(docs, rows):
     assert got[2] == 2 and got[10] == 10
 
 
+def changed(words, rng, n):
+    """The text with n of its words replaced, no two of them within five words."""
+    words = list(words)
+    for k in rng.choice(np.arange(5, len(words) - 5, 6), n, replace=False):
+        words[k] = f"new{rng.integers(10**9)}"
+    return " ".join(words)
+
+
+def similarity(x, y):
+    a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_near_groups_link_what_the_texts_confirm(spark):
+    rng = np.random.default_rng(5)
+    texts, want = [], []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 204)]
+        for other in (4, 5, 6, 7):  # similarities of 0.82, 0.78, 0.74 and 0.70
+            own = [f"{w}.{other}" for w in words]
+            texts += [" ".join(own), changed(own, rng, other)]
+            want.append(similarity(*texts[-2:]) >= 0.8)
+    # repeated lines do not take part: the sets are nearly the same
+    line = " ".join(f"line{x}" for x in range(12))
+    base = " ".join(f"v{x}" for x in range(150))
+    texts += [base, base + f" {line}" * 60]
+    want.append(similarity(*texts[-2:]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(len(want))]
+    assert sum(want) == 151 and not any(x and not y for x, y in zip(linked, want))
+    assert linked[-1] and sum(linked) >= 0.97 * sum(want)
+
+
 # 7: chunks
 
 

@@ -15,6 +15,13 @@ add up the bits in which they differ; a pair over the budget ends. A pair whose
 leaves are all known to be of one set ends too, which keeps large groups of
 near copies near-linear. What leaves a task is a spanning forest of its links.
 
+Wide fingerprints (`similar_groups`) only propose pairs, and the texts decide: a
+pair stays if its sets of shingles have a similarity (shared by all) of at least
+SIMILARITY. The bits are those of the set, so repeated lines do not move them.
+Blocks propose a spanning forest of their near pairs first. Its true links make
+sets; then all near pairs between different sets are proposed and decided, so
+that no link is lost behind a false one.
+
 Results in special cases: no words (or a null text) give the fingerprint zero,
 which links like any other; fewer words than a shingle has give one shingle of
 them all. Rows that share a doc_id are one document of several fingerprints,
@@ -35,10 +42,13 @@ from pyspark.sql import functions as F
 from .common import components, documents_of, joined_roots, mixed, rows_of_items, stored, text_slices
 
 SEED = 42
+SIMILARITY = (4, 5)  # of two sets of shingles, as a fraction
+BUDGET = 76  # of 256 bits: a pair of texts at 0.8 differs in 39 of them (48 at most, in the shortest texts), give or take 6
 CHUNK_ROWS = 250_000  # fingerprints a task joins at once, a larger block apart
 TYPICAL, MISS = 0.151, 0.008  # bits in which texts of similarity 0.8 differ, and the chance to miss such a pair
 CHANCE_NEIGHBOURS = 16  # other fingerprints in a block by chance, at most
 PAIRS_AT_ONCE = 500_000  # node pairs that go down together
+PAIRS_IN_BATCH = 65_536  # proposed pairs in a batch that leaves a task
 SHINGLES_AT_ONCE = 65_536
 
 
@@ -112,17 +122,50 @@ def tables_of(bits: int, budget: int, prints: int) -> list[list[int]]:
 
 
 def trie_links(prints: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
-    """Smallest row of each row's set, for rows (n, words) sorted by group and then as big-endian numbers.
+    """Smallest row of each row's set, for rows (n, words) sorted by group and then as big-endian numbers."""
+    labels = np.arange(len(prints))
+    for _ in near_pairs(prints, group, budget, labels):
+        pass
+    return labels
+
+
+def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can reach SIMILARITY."""
+    return np.minimum(a, b) * SIMILARITY[1] >= np.maximum(a, b) * SIMILARITY[0]
+
+
+def spanning(labels: np.ndarray, p: np.ndarray, q: np.ndarray, off: np.ndarray):
+    """Join the sets (labels, in place) that pairs link, and give the pairs that did it, those of fewest different bits first."""
+    order = np.argsort(off, kind="stable")
+    p, q = p[order], q[order]
+    while True:
+        apart = labels[p] != labels[q]
+        p, q = p[apart], q[apart]
+        if not len(p):
+            return
+        _, ends = np.unique(np.concatenate([labels[p], labels[q]]), return_inverse=True)
+        best = np.full(ends.max() + 1, len(p))
+        np.minimum.at(best, ends, np.tile(np.arange(len(p)), 2))
+        pick = np.unique(best)
+        yield p[pick], q[pick]
+        labels[:] = joined_roots(labels, p[pick], q[pick])
+
+
+def near_pairs(prints: np.ndarray, group: np.ndarray, budget: int, labels: np.ndarray, sizes: np.ndarray | None = None, join: bool = True):
+    """Pairs of rows (sorted by group and print) within the budget whose sets, as `labels` names them by their smallest row, differ.
+
+    With `join`, sets are joined in `labels` as pairs are met; with `sizes` (of
+    the rows' sets of shingles) too, what comes out is a spanning forest. Without
+    `join`, all pairs between the given sets come out.
 
     The nodes of a group's trie are ranges of its rows. Levels are the bits of the
     first word, then leaves: what is left of a pair is then counted at once.
     """
     n, word = len(prints), prints[:, 0]
-    labels = np.arange(n)
     edge = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(edge, n))
-    many = sizes > 1
-    a, z = edge[many], (edge + sizes)[many]
+    spans = np.diff(np.append(edge, n))
+    many = spans > 1
+    a, z = edge[many], (edge + spans)[many]
     # a frame: ranges [a, b) and [c, d), bits that differ so far, level
     todo = [(a, z, a, z, np.zeros(len(a), np.int32), 0)]
     while todo:
@@ -142,8 +185,17 @@ def trie_links(prints: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray
             i, j = i[i < j], j[i < j]
             for k in range(0, len(i), PAIRS_AT_ONCE):
                 p, q = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
-                near = np.bitwise_count(prints[p] ^ prints[q]).sum(axis=1, dtype=np.int32) <= budget
-                labels = joined_roots(labels, p[near], q[near])
+                if sizes is not None:
+                    able = (labels[p] != labels[q]) & similar_sizes(sizes[p], sizes[q])
+                    p, q = p[able], q[able]
+                off_by = np.bitwise_count(prints[p] ^ prints[q]).sum(axis=1, dtype=np.int32)
+                near = off_by <= budget
+                if not join:
+                    yield p[near], q[near]
+                elif sizes is not None:
+                    yield from spanning(labels, p[near], q[near], off_by[near])
+                else:
+                    labels[:] = joined_roots(labels, p[near], q[near])
         lo1, hi1, lo2, hi2, off = (x[~leaves] for x in (lo1, hi1, lo2, hi2, off))
         if not len(lo1):
             continue
@@ -161,7 +213,6 @@ def trie_links(prints: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray
                 (far if x != y else near).append((p0[ok], p1[ok], q0[ok], q1[ok], d[ok].astype(np.int32)))
         for side in (far, near):  # the near sides are taken up first, so that sets form before far pairs are met
             todo.append((*(np.concatenate([s[k] for s in side]) for k in range(5)), level + 1))
-    return labels
 
 
 def split_at(word: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
@@ -219,8 +270,128 @@ def links(prints: DataFrame, bits: int, budget: int) -> DataFrame:
     return dealt.mapInArrow(join, "a string, b string")
 
 
-def near_groups(docs: DataFrame, width: int = 5, bits: int = 256, budget: int = 46) -> DataFrame:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(np.frombuffer(text_hashes(text, width), ">u8").astype(np.uint64))
+
+
+def set_key(own: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(own.tobytes(), SEED)
+
+
+def sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """Of each row: doc_id, text_key (hash of the text), key (of its set of shingles), n (size of the set) and the set's fingerprint."""
+
+    def sketch(batches):
+        for batch, data, at in text_slices(batches):
+            raw = data.tobytes()
+            sets = [shingle_set(raw[at[k] : at[k + 1]], width) for k in range(batch.num_rows)]
+            counts = np.array([len(x) for x in sets], np.int64)
+            hexed = [x.tobytes().hex() for x in majority_bits(np.concatenate(sets), counts, bits)]
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(map(set_key, sets), pa.string()), pa.array(counts), pa.array(hexed, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "key", "n", "fingerprint"])
+
+    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_key long, key string, n long, fingerprint string")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """key and shingles (array) of the texts whose text_key is wanted."""
+
+    def hashed(batches):
+        for batch, data, at in text_slices(batches):
+            raw = data.tobytes()
+            sets = [shingle_set(raw[at[k] : at[k + 1]], width) for k in range(batch.num_rows)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.string()), values], ["key", "shingles"])
+
+    texts = documents_of(docs).select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi")
+    return texts.select("text").mapInArrow(hashed, "key string, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def whole_blocks(batches):
+    """Tables of about CHUNK_ROWS rows, cut where the block changes (rows come by block)."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= CHUNK_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            block = table["block"].to_numpy()
+            stop = int(np.flatnonzero(block[1:] != block[:-1]).max(initial=-1)) + 1
+            if stop:
+                yield table.slice(0, stop)
+            held = table.slice(stop).to_batches()
+            count -= stop
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def proposed(dealt: DataFrame, bits: int, budget: int) -> DataFrame:
+    """Pairs of keys (a, b) of the same block whose fingerprints and sizes are near.
+
+    Of rows without a column `known`, a spanning forest in each block; with it, all
+    pairs whose `known` differs.
+    """
+    again = "known" in dealt.columns
+
+    def join(batches):
+        for table in whole_blocks(batches):
+            raw = np.frombuffer(bytes.fromhex("".join(table["fingerprint"].to_pylist())), np.uint8).reshape(-1, bits // 8)
+            words = np.ascontiguousarray(raw).view(">u8").astype(np.uint64)
+            block, sizes, labels = table["block"].to_numpy(), table["n"].to_numpy(), np.arange(len(words))
+            group = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
+            if again:
+                known = table["known"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+                _, first, own = np.unique(group * (known.max() + 1) + known, return_index=True, return_inverse=True)
+                labels = first[own]
+            keys = table["key"].combine_chunks()
+            held, count = [], 0
+            for pair in near_pairs(words, group, budget, labels, sizes, not again):
+                held.append(pair)
+                count += len(pair[0])
+                if count >= PAIRS_IN_BATCH:
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in zip(*held)], ["a", "b"])
+                    held, count = [], 0
+            if count:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in zip(*held)], ["a", "b"])
+
+    pairs = dealt.repartition("block").sortWithinPartitions("block", "fingerprint").mapInArrow(join, "a string, b string")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles have a similarity of at least SIMILARITY."""
+    part, whole = SIMILARITY
+    a, b = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(a, "a").join(b, "b").where(shared * (part + whole) >= (F.size("of_a") + F.size("of_b")) * part).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, width: int, bits: int, budget: int) -> DataFrame:
+    """doc_id, fingerprint and component_id of each row: links are pairs that the fingerprints propose and the texts confirm."""
+    found = stored(sketches(docs, width, bits))
+    classes = stored(found.groupBy("key", "n", "fingerprint").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")))
+    tables = tables_of(bits, budget, classes.count())
+    blocks = F.array(*[F.xxhash64(F.lit(t), *[F.substring("fingerprint", p, 1) for p in places]) for t, places in enumerate(tables)])
+    dealt = classes.select("key", "n", "fingerprint", F.explode(blocks).alias("block"))
+    chosen = stored(proposed(dealt, bits, budget))
+    nodes = stored(chosen.select(F.col("a").alias("key")).union(chosen.select("b")).distinct())
+    sets = stored(shingle_sets(docs, stored(classes.join(nodes, "key").select("text_key").distinct()), width))
+    sure = stored(verified(chosen, sets))
+    known = nodes.join(components(sure), F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("known"))
+    more = stored(proposed(dealt.join(stored(known), "key"), bits, budget).join(chosen, ["a", "b"], "left_anti"))
+    reach = components(stored(sure.union(verified(more, sets))))
+    named = stored(classes.join(reach, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component")))
+    least = stored(named.groupBy("component").agg(F.min("first").alias("component_id")))
+    named = stored(named.join(least, "component").select("key", "component_id"))
+    return found.join(named, "key").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_groups(docs: DataFrame, width: int = 5, bits: int = 256, budget: int = BUDGET) -> DataFrame:
     """doc_id, fingerprint and component_id (the smallest doc_id that links reach) of each row."""
+    if budget + 1 > bits // 16:  # fingerprints alone cannot tell
+        return similar_groups(docs, width, bits, budget)
     found = stored(fingerprints(docs, width, bits))
     classes = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     reach = components(links(classes.select("fingerprint"), bits, budget))
