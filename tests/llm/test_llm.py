@@ -381,6 +381,21 @@ def test_near_groups_link_what_the_texts_confirm(spark):
     assert linked[-1] and sum(linked) >= 0.97 * sum(want)
 
 
+def test_blocks_propose_all_pairs_at_the_similarity(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 184)]  # 180 shingles, of which 160 are left: 0.8
+        texts += [" ".join(words), changed(words, rng, 4)]
+    assert all(similarity(*texts[k : k + 2]) == 0.8 for k in range(0, 800, 2))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == k - k % 2 for k in range(800))
+    # a text's blocks are the same in a table of any size
+    alone = simhash.bands_of(simhash.shingle_set(texts[0].encode(), 5), np.array([180]))
+    sets = [simhash.shingle_set(t.encode(), 5) for t in ["", *texts]]
+    assert (simhash.bands_of(np.concatenate(sets), np.array([len(x) for x in sets]))[1] == alone[0]).all()
+
+
 # 7: chunks
 
 

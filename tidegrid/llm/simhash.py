@@ -8,8 +8,7 @@ bits from each shingle's hash.
 Fingerprints link when they differ in at most `budget` bits. Different ones are
 dealt out by sets of hex digits on which a linked pair agrees: with 64 bits and
 a budget of 3, one of the four blocks of 16 bits is always untouched, so no link
-is lost; for wide budgets, sets of digits are drawn, and a pair misses all of
-them with a known small chance. Within a block, the sorted fingerprints
+is lost. Within a block, the sorted fingerprints
 are a binary trie whose nodes are ranges. Pairs of nodes go down together and
 add up the bits in which they differ; a pair over the budget ends. A pair whose
 leaves are all known to be of one set ends too, which keeps large groups of
@@ -18,7 +17,10 @@ near copies near-linear. What leaves a task is a spanning forest of its links.
 Wide fingerprints (`similar_groups`) only propose pairs, and the texts decide: a
 pair stays if its sets of shingles have a similarity (shared by all) of at least
 SIMILARITY. The bits are those of the set, so repeated lines do not move them.
-Blocks propose a spanning forest of their near pairs first. Its true links make
+Blocks are of texts that agree in a band of BAND minima of their sets under
+different hashes, which a pair does with its similarity to the power of BAND,
+whatever the size of the table: a pair at 0.8 misses all BANDS with a chance of
+3 in a million. Blocks propose a spanning forest of their near pairs first. Its true links make
 sets; then all near pairs between different sets are proposed and decided, so
 that no link is lost behind a false one.
 
@@ -31,8 +33,6 @@ component is null. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,8 +45,7 @@ SEED = 42
 SIMILARITY = (4, 5)  # of two sets of shingles, as a fraction
 BUDGET = 76  # of 256 bits: a pair of texts at 0.8 differs in 39 of them (48 at most, in the shortest texts), give or take 6
 CHUNK_ROWS = 250_000  # fingerprints a task joins at once, a larger block apart
-TYPICAL, MISS = 0.151, 0.008  # bits in which texts of similarity 0.8 differ, and the chance to miss such a pair
-CHANCE_NEIGHBOURS = 16  # other fingerprints in a block by chance, at most
+BANDS, BAND = 24, 4  # blocks of a text in a table of wide fingerprints, and the minima that make one
 PAIRS_AT_ONCE = 500_000  # node pairs that go down together
 PAIRS_IN_BATCH = 65_536  # proposed pairs in a batch that leaves a task
 SHINGLES_AT_ONCE = 65_536
@@ -104,21 +103,28 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
     return documents_of(docs).mapInArrow(prints, "doc_id long, fingerprint string")
 
 
-def tables_of(bits: int, budget: int, prints: int) -> list[list[int]]:
-    """Sets of hex digits (from 1) on which linked fingerprints agree: exact for small budgets, many draws for large ones.
+def tables_of(bits: int, budget: int) -> list[list[int]]:
+    """Sets of hex digits (from 1) of which fingerprints that link agree on one."""
+    assert budget + 1 <= bits // 16
+    return [list(range(k, k + 4)) for k in range(1, bits // 4 + 1, 4)]
 
-    A draw has as many digits as keep the chance neighbours of one of `prints`
-    fingerprints few, and there are as many draws as miss a pair that differs in
-    TYPICAL of its bits with a chance of MISS: cost grows a little faster than
-    the input, and what is found stays the same.
-    """
-    digits = bits // 4
-    if budget + 1 <= bits // 16:
-        return [list(range(k, k + 4)) for k in range(1, digits + 1, 4)]
-    size = max(3, math.ceil(math.log(max(prints, 1) / CHANCE_NEIGHBOURS, 16)))
-    draws = math.ceil(math.log(MISS) / math.log(1 - (1 - TYPICAL) ** (4 * size)))
-    rng = np.random.default_rng(SEED)
-    return [(1 + rng.choice(digits, size, replace=False)).tolist() for _ in range(draws)]
+
+# Odd numbers: a product by each orders the hashes of shingles anew.
+ORDERS = mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Blocks (rows, BANDS) of rows with `counts` different hashes each; rows without any share theirs."""
+    starts, full = (np.cumsum(counts) - counts)[counts > 0], counts > 0
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    for k, order in enumerate(ORDERS):
+        least = np.full(len(counts), 2**64 - 1, np.uint64)
+        if len(starts):
+            h = hashes ^ order
+            h ^= h >> np.uint64(32)
+            least[full] = np.minimum.reduceat(h * order, starts)
+        out[:, k // BAND] = mixed(out[:, k // BAND] ^ least) + np.uint64(k // BAND)
+    return out.view(np.int64)
 
 
 def trie_links(prints: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
@@ -231,7 +237,7 @@ def split_at(word: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np
 
 def links(prints: DataFrame, bits: int, budget: int) -> DataFrame:
     """Spanning edges (a, b) among different fingerprints (hex, stored) that link within some block."""
-    keys = F.array(*[F.concat(F.lit(f"{t}:"), *[F.substring("fingerprint", p, 1) for p in places]) for t, places in enumerate(tables_of(bits, budget, prints.count()))])
+    keys = F.array(*[F.concat(F.lit(f"{t}:"), *[F.substring("fingerprint", p, 1) for p in places]) for t, places in enumerate(tables_of(bits, budget))])
     dealt = prints.select("fingerprint", F.explode(keys).alias("block")).repartition("block").sortWithinPartitions("block", "fingerprint")
     width = bits // 8
 
@@ -280,18 +286,20 @@ def set_key(own: np.ndarray) -> str:
 
 
 def sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Of each row: doc_id, text_key (hash of the text), key (of its set of shingles), n (size of the set) and the set's fingerprint."""
+    """Of each row: doc_id, text_key (hash of the text), key (of its set of shingles), n (size of the set), the set's fingerprint and its blocks."""
 
     def sketch(batches):
         for batch, data, at in text_slices(batches):
             raw = data.tobytes()
             sets = [shingle_set(raw[at[k] : at[k + 1]], width) for k in range(batch.num_rows)]
             counts = np.array([len(x) for x in sets], np.int64)
-            hexed = [x.tobytes().hex() for x in majority_bits(np.concatenate(sets), counts, bits)]
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(map(set_key, sets), pa.string()), pa.array(counts), pa.array(hexed, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "key", "n", "fingerprint"])
+            hashes = np.concatenate(sets)
+            hexed = [x.tobytes().hex() for x in majority_bits(hashes, counts, bits)]
+            blocks = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands_of(hashes, counts).reshape(-1)))
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(map(set_key, sets), pa.string()), pa.array(counts), pa.array(hexed, pa.string()), blocks]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "key", "n", "fingerprint", "blocks"])
 
-    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_key long, key string, n long, fingerprint string")
+    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_key long, key string, n long, fingerprint string, blocks array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -371,10 +379,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int, bits: int, budget: int) -> DataFrame:
     """doc_id, fingerprint and component_id of each row: links are pairs that the fingerprints propose and the texts confirm."""
     found = stored(sketches(docs, width, bits))
-    classes = stored(found.groupBy("key", "n", "fingerprint").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")))
-    tables = tables_of(bits, budget, classes.count())
-    blocks = F.array(*[F.xxhash64(F.lit(t), *[F.substring("fingerprint", p, 1) for p in places]) for t, places in enumerate(tables)])
-    dealt = classes.select("key", "n", "fingerprint", F.explode(blocks).alias("block"))
+    classes = stored(found.groupBy("key", "n", "fingerprint", "blocks").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")))
+    dealt = classes.select("key", "n", "fingerprint", F.explode("blocks").alias("block"))
     chosen = stored(proposed(dealt, bits, budget))
     nodes = stored(chosen.select(F.col("a").alias("key")).union(chosen.select("b")).distinct())
     sets = stored(shingle_sets(docs, stored(classes.join(nodes, "key").select("text_key").distinct()), width))
