@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.chunks import without_repeats
 from tidegrid.llm.common import shared_folder
-from tidegrid.llm.langid import UNDETERMINED, identified, training_rows
+from tidegrid.llm.langid import told, training_rows
 from tidegrid.llm.mixing import LEVELS, leaves_of, mixed_sources
 from tidegrid.llm.packing import pack
 from tidegrid.llm.simhash import near_groups
@@ -26,9 +26,11 @@ MIXTURE_EPOCHS = 2  # of a source that is short of its weight
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents whose language cannot be told (no text, or none with a letter)."""
+    """Reject documents whose language cannot be told (no letter, or unlike all languages learnt); fill a null lang."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return identified(row, training_rows(docs)).where(F.col("found.lang_pred") != UNDETERMINED).select("row.*")
+    kept = told(row, training_rows(docs)).where("found.keep")
+    new = {"lang": F.coalesce("row.lang", "found.lang_pred")}
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

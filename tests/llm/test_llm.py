@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
@@ -584,3 +585,18 @@ def test_pipeline(spark, docs, rows, nothing, tmp_path):
     for n, stage in pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
     assert pipeline.run(spark, f"{tmp_path}/some").count() == len(kept["packing"])
+
+
+def test_language_stage_goes_by_the_inference(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(n)) for n in (40, 200)] + [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(40))]
+    own = [(k, prose(rng, lang, n), lang) for k, (lang, n) in enumerate((lang, n) for lang in WORDS for n in (3, 10, 60, 200, 400) * 8)]
+    rest = [(1000, prose(rng, "de", 50), None), (1001, prose(rng, "fr", 50), None), (1002, "12 34", None), *[(2000 + k, x, None) for k, x in enumerate(junk)]]
+    docs = spark.createDataFrame(own + rest, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in pipeline.language(spark, docs, "").collect()}
+    assert got == {k: lang for k, _, lang in own} | {1000: "de", 1001: "fr"}
+    # where nothing can be learnt, letters are enough
+    got = pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted([k for k, *_ in own + rest if k != 1002]) and {r.lang for r in got} == {None}

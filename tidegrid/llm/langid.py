@@ -9,6 +9,13 @@ anew, and the set with the best likelihood less a penalty for each language in
 it is taken. The language with the largest share is the prediction and its
 share the score.
 
+`told` adds whether a text is in any language that was learnt. Of a text's
+trigrams, the mean log-probability (each run of words in the language that makes
+it best) may lie FIT_MEAN standard deviations of a trigram below what training
+texts reach on average, or down to that of a slot if all were alike, whichever
+is less; and, for chance, below this by FIT_CHANCE deviations over the root of
+the number of trigrams.
+
 Results in special cases: a null text, or one without a letter, is `und` with a
 score of 0; so is every text if no training document has a language. Ties go to
 the language first by name. Predictions depend on the text alone, so repeated
@@ -34,6 +41,7 @@ ROUNDS = 8  # of expectation and maximisation for each set of languages
 LEAST_SHARE = 0.02  # languages below it after the first estimate leave together
 PENALTY = 2.0  # in natural logarithms, times half the logarithm of the number of runs
 UNDETERMINED = "und"
+FIT_MEAN, FIT_CHANCE = 2.0, 3.0  # bound on how far a text may lie below training texts
 
 LETTER = re.compile(r"[^\W\d_]")
 # Other than letters and bytes of longer characters, all bytes count as a blank.
@@ -157,6 +165,26 @@ def shares_of(likelihoods: np.ndarray, counts: np.ndarray) -> np.ndarray:
         allowed[more, least[more]] = False
 
 
+def standardized(table: np.ndarray) -> np.ndarray:
+    """Log-probabilities less the bound on their mean, by their deviation in a language's own texts; a trigram of blanks says nothing."""
+    p = np.expm1(table.astype(np.float64) - table.min(axis=0))  # as counted: what is least likely was not seen
+    p /= np.maximum(p.sum(axis=0), 1e-12)
+    mean = (p * table).sum(axis=0)
+    spread = np.sqrt(np.maximum((p * table.astype(np.float64) ** 2).sum(axis=0) - mean**2, 1e-12))
+    out = ((table - np.minimum(mean - FIT_MEAN * spread, -np.log(SLOTS))) / spread).astype(np.float32)
+    out[trigram_slots(np.full(3, 32, np.uint8))[2]] = 0
+    return out
+
+
+def fits(data: np.ndarray, at: np.ndarray, standard: np.ndarray) -> np.ndarray:
+    """Whether each text is as likely as the bound on texts of the languages asks."""
+    found, counts = run_likelihoods(data, at, standard)
+    best = sums_by_row(found.max(axis=1, initial=-np.inf).astype(np.float64), counts)
+    says = doc_slots(data, at) != trigram_slots(np.full(3, 32, np.uint8))[2]
+    n = np.diff(np.concatenate([[0], np.cumsum(says)])[at])
+    return best >= -FIT_CHANCE * np.sqrt(n)
+
+
 def predictor(langs: list[str], table: np.ndarray):
     """A function of a string column that gives lang_pred and score."""
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
@@ -192,6 +220,28 @@ def identified(docs: DataFrame, training: DataFrame) -> DataFrame:
     return docs.withColumn("found", found(F.col("text").cast("string")))
 
 
+def told(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """docs with a column `found` of lang_pred, score and keep: whether the text has letters and is in a language.
+
+    Where nothing could be learnt, letters are enough, and lang_pred is null.
+    """
+    langs, table = learn(training)
+    predict, standard = predictor(langs, table), standardized(table)
+
+    @F.arrow_udf("lang_pred string, score double, keep boolean")
+    def found(text: pa.Array) -> pa.Array:
+        if not langs:
+            keep = pa.array([LETTER.search(x or "") is not None for x in text.to_pylist()], pa.bool_())
+            return pa.StructArray.from_arrays([pa.nulls(len(text), pa.string()), pa.array(np.zeros(len(text))), keep], ["lang_pred", "score", "keep"])
+        best = predict(text)
+        source = pa.RecordBatch.from_arrays([text.cast(pa.string())], ["text"])
+        fit = [fits(data, at, standard) for _, data, at in text_slices(iter([source]), most=SLICE)]
+        keep = np.concatenate([np.zeros(0, bool), *fit]) & (best.field("lang_pred").to_numpy(zero_copy_only=False) != UNDETERMINED)
+        return pa.StructArray.from_arrays([best.field("lang_pred"), best.field("score"), pa.array(keep)], ["lang_pred", "score", "keep"])
+
+    return docs.withColumn("found", found(F.col("text").cast("string")))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Labelled documents, without those held out (crc32 of the doc_id leaves 2 by 4)."""
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
