@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, collisions, forest, langid, lmscore, mixing, packing, rans, simhash, suffixes
+from . import chunks, collisions, covertree, divergence, forest, langid, lmscore, mixing, packing, rans, simhash, suffixes
 
 QUERIES = {
     "op1_prefix_forest": forest.op1_prefix_forest,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_rans_token_files": rans.op8_rans_token_files,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_harmonic_packing": packing.op10_harmonic_packing,
+    "op11_pair_merge_divergence": divergence.op11_pair_merge_divergence,
+    "op13_cover_tree_codes": covertree.op13_cover_tree_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixed_sources": mixing.SQL,
+    "op11_pair_merge_divergence": divergence.SQL,
+    "op13_cover_tree_codes": covertree.SQL,
 }
