@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, collisions, covertree, divergence, forest, langid, lmscore, mixing, packing, rans, simhash, suffixes
+from . import chunks, collisions, covertree, divergence, forest, langid, lmscore, mixing, packing, rans, simhash, suffixes, templates
 
 QUERIES = {
     "op1_prefix_forest": forest.op1_prefix_forest,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_harmonic_packing": packing.op10_harmonic_packing,
     "op11_pair_merge_divergence": divergence.op11_pair_merge_divergence,
+    "op12_path_templates": templates.op12_path_templates,
     "op13_cover_tree_codes": covertree.op13_cover_tree_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixed_sources": mixing.SQL,
     "op11_pair_merge_divergence": divergence.SQL,
+    "op12_path_templates": templates.SQL,
     "op13_cover_tree_codes": covertree.SQL,
 }
