@@ -316,7 +316,7 @@ def test_layout_rewrite(spark, store, day, tmp_path, monkeypatch):
     ig.flag_climatology(gf.sst_cells(rows, ALL, G), store.read("sst_clim")).write.parquet(flat)
     store.rewrite_layout("sst_daily", flat)
     assert store.read("sst_daily").count() == 64 and store.read("sst_daily").filter("part = 1990").count() == 32
-    monkeypatch.setattr(Store, "_write_daily", lambda self, r, p, m, **o: r.limit(10).write.partitionBy("part").parquet(p))
+    monkeypatch.setattr(Store, "_write_bucketed", lambda self, t, r, p: r.limit(10).write.parquet(p))
     with pytest.raises(ValueError):
         store.rewrite_layout("sst_daily", flat)
     assert store.read("sst_daily").count() == 64

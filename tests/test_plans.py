@@ -53,7 +53,7 @@ def test_point_query_reads_one_cell(store):
         assert name in text, name
     assert "PartitionFilters: [isnotnull(part" in text and "part#" in text
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Python" not in text
-    assert exchanges(df) == 1
+    assert exchanges(df) == 0  # its bucket holds the whole cell
     assert df.count() > 0
 
 
@@ -77,7 +77,7 @@ def test_rollup_is_one_scan_each_and_one_shuffle(spark, store):
 
 
 def test_runs_share_one_shuffle(store):
-    assert exchanges(ev.event_runs(store.read("mhw_daily"))) == 1
+    assert exchanges(ev.event_runs(store.read("mhw_daily").drop("block"))) == 1
 
 
 def test_regrid_shuffles_once_or_never(spark):
@@ -90,21 +90,57 @@ def test_regrid_shuffles_once_or_never(spark):
     assert exchanges(ra.regrid_nearest(f, ["f"], *axes)) == 0
 
 
-def test_bucketed_tables_join_in_place(spark, store, tmp_path):
+@pytest.fixture
+def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for product, order in (("sst", "date"), ("mhw", "date")):
-            store.save_bucketed(store.read(f"{product}_daily").drop("part"), f"bucketed_{product}", 4, order)
-        from tidegrid.schema import Archive
-
-        arc = Archive(spark.table("bucketed_sst"), None, spark.table("bucketed_mhw"))
-        df = se.cell_series(arc, "mhw", "monthly")
-        assert exchanges(df) == 0
-        assert df.agg(F.sum("n_days")).first()[0] == store.read("sst_daily").count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.sql("drop table if exists bucketed_sst")
-        spark.sql("drop table if exists bucketed_mhw")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_all_cell_work_finds_stored_rows_in_place(spark, store, no_broadcast):
+    arc = store.archive()
+    days = store.read("sst_daily").count()
+    for name in ("anom", "sst", "mhw"):
+        df = se.cell_series(arc, name, "monthly")
+        assert exchanges(df) == 0 and "Python" not in plan(df), name
+        assert df.agg(F.sum("n_days")).first()[0] == days and "block" not in df.columns
+        loaded = spark.createDataFrame([(dt.date(2019, 1, 1),)], "date date")
+        field = ra.bucket_field(arc, name, "monthly", loaded)
+        own = exchanges(loaded.distinct().groupBy(F.trunc("date", "month")).count())
+        assert exchanges(field) == own and field.count() > 0, name
+    assert exchanges(ra.anomaly_field(arc)) == 0
+    assert exchanges(ev.event_runs(arc.mhw)) == 0
+
+
+def test_rows_in_place_are_the_same_rows(spark, store):
+    from tidegrid.schema import Archive
+
+    arc = store.archive()
+    plain = Archive(*[df.drop("block", "part", "month") for df in (arc.sst, arc.clim, arc.mhw)])
+    for name in ("anom", "sst", "mhw"):
+        mine, other = (se.cell_series(a, name, "weekly") for a in (arc, plain))
+        assert mine.columns == other.columns and mine.exceptAll(other).isEmpty() and other.exceptAll(mine).isEmpty()
+
+
+def test_point_query_opens_one_bucket(store):
+    df = se.cell_series(store.archive(), "anom", "monthly", cell=(1705, 4003))
+    assert "SelectedBucketsCount: 1 out of 16" in plan(df)
+
+
+def test_a_days_load_reads_one_month_of_the_climatology(spark, store, no_broadcast):
+    from tidegrid.operators.ingest import flag_climatology
+
+    clim = store.read("sst_clim")
+    assert {r.month for r in clim.select("month").distinct().collect()} == {r[0] for r in clim.select(F.expr("mmdd div 100")).distinct().collect()}
+    some = store.days("sst", [dt.date(2019, 2, 10)]).select("date", "gy", "gx", "sst_raw")
+    df = flag_climatology(some, clim, [210])
+    text = plan(df)
+    assert "PartitionFilters: [isnotnull(month" in text and "(month#" in text and "= 2)" in text
+    assert df.count() == 200 and df.filter("has_clim").count() == 200
+    assert exchanges(df) <= 1  # the climatology stays in its buckets
+    cut = se.daily_values(store.archive(), "anom", start=dt.date(2019, 12, 20), end=dt.date(2020, 1, 5))
+    assert "month#" in plan(cut) and "IN (1,12)" in plan(cut)
+    assert "PartitionFilters: [isnotnull(part" in plan(store.days("sst", [dt.date(2024, 2, 3)]))
 
 
 def test_polygon_needs_no_cross_join(spark):

@@ -19,7 +19,10 @@ from .functions.calendar import PERIODS, date_range
 from .operators import ingest as ig
 from .plans import daily, pictures
 from .sources import gridfiles as gf
-from .sources.store import DAILY, Store
+from .sources.store import BUCKETS, Store
+
+
+MOST_FILES = 16  # of a bucket, before a daily run merges those of its partition
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
 
     init = command("init", "load the climatology, region cells and region normals")
     init.add_argument("--force", action="store_true")
+    init.add_argument("--buckets", type=int, default=BUCKETS, help="of a new archive; see sources/store.py")
     init.add_argument("--allow-partial", action="store_true")
     command("verify-clim", "report climatology files that are missing or not a full grid")
     command("scan", "compare the landing folder with what is loaded", dates=True)
@@ -50,6 +54,9 @@ def parser() -> argparse.ArgumentParser:
     back.add_argument("--force", action="store_true")
     back.add_argument("--fresh", action="store_true", help="empty the products first")
     back.add_argument("--batch", type=int, default=daily.BATCH_DAYS)
+    back.add_argument("--limit", type=int, help="load so many files that are not loaded yet")
+    back.add_argument("--newest-first", action="store_true", help="with --limit")
+    command("prune-list", "print the landed files that no open week or month needs any more", dates=True, products=True)
     command("mask", "rebuild the cells of polygon regions", regions=True)
     roll = command("rollup", "build the daily means of all regions", dates=True, regions=True)
     roll.add_argument("--clim", action="store_true")
@@ -111,7 +118,7 @@ def render(store: Store, args) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    store = Store(session.build("tidegrid", args.master), args.root)
+    store = Store(session.build("tidegrid", args.master), args.root, getattr(args, "buckets", BUCKETS))
     now, box = dt.datetime.now(dt.UTC), gf.subset_box()
     chosen = {k: REGIONS[k] for k in (getattr(args, "region", None) or REGIONS)}
 
@@ -144,13 +151,23 @@ def main(argv: list[str] | None = None) -> int:
         failed = 0
         for p in products:
             rows, files = daily.landed(store, args.landing, p)
-            failed |= outcomes(daily.ingest_product(
-                store, p, selected(rows, args), selected(files, args), now, box, force=args.force, batch_days=args.batch))
-            parts = store.read(DAILY[p]).select("part").distinct().collect()  # a few dozen
-            for part in sorted(r.part for r in parts):
-                store.recluster(p, [part])
+            files = selected(files, args)
+            if args.limit:
+                waiting = gf.select_files(ig.pending_files(files, store.status()), newest_first=args.newest_first, limit=args.limit)
+                files = session.checkpoint(waiting)
+            done = session.checkpoint(daily.ingest_product(
+                store, p, selected(rows, args), files, now, box, force=args.force, batch_days=args.batch))
+            failed |= outcomes(done)
+            store.merge_files(p, [r.date for r in done.filter("outcome = 'ingested'").collect()])
         store.compact("ingest_status")
         return failed
+    if args.command == "prune-list":
+        if not args.date:
+            print("--date is needed: the last day that has been processed")
+            return 1
+        for p in args.product or ["sst", "mhw"]:
+            print_rows(ig.retention_list(daily.landed(store, args.landing, p)[1], args.date).select("product", "date", "filename").orderBy("date"))
+        return 0
     if args.command == "mask":
         daily.build_region_cells(store, chosen)
         print_rows(store.read("region_cells").groupBy("region").count().orderBy("region"))
@@ -174,6 +191,8 @@ def main(argv: list[str] | None = None) -> int:
         yesterday = now.date() - dt.timedelta(days=1)
         failed = run_outcomes(store, daily.run(
             store, listings, rows, yesterday, now, box, max_days=args.max_days, recheck_days=args.recheck_days), args.width)
+        for p in ("sst", "mhw"):
+            store.merge_files(p, [yesterday], most=MOST_FILES)
         for table in ("ingest_status", "region_daily"):  # a few rows per region and day
             store.compact(table)
         return failed

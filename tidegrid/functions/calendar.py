@@ -120,6 +120,19 @@ def date_range(df: DataFrame, start: dt.date | None = None, end: dt.date | None
     return df
 
 
+def months_between(start: dt.date, end: dt.date) -> list[int]:
+    """Calendar months that a span touches."""
+    first, last = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1
+    return sorted({k % 12 + 1 for k in range(first, min(last, first + 11) + 1)})
+
+
+def climatology_of(clim: DataFrame, months: list[int] | None) -> DataFrame:
+    """The climatology of some calendar months; where the table carries `month`, only their partitions are read."""
+    if months is None or len(months) == 12 or "month" not in clim.columns:
+        return clim
+    return clim.filter(F.col("month").isin(months))
+
+
 def mmdd_calendar(spark: SparkSession) -> DataFrame:
     """The 366 climatology keys."""
     leap = spark.range(366).select(F.date_add(F.lit(dt.date(2000, 1, 1)), F.col("id").cast("int")).alias("d"))

@@ -34,6 +34,19 @@ def area_weight(gy, grid: Grid = GLOBAL) -> Column:
     return F.cos(F.radians(lat_of(gy, grid)))
 
 
+TILE = 32  # rows and columns of a block of cells
+TILES_IN_ROW = 1024
+
+
+def block_at(cell: tuple[int, int]) -> int:
+    return cell[0] // TILE * TILES_IN_ROW + cell[1] // TILE
+
+
+def block_of(gy="gy", gx="gx") -> Column:
+    """The square block a cell lies in: one number, by which stored tables are dealt into buckets."""
+    return F.expr(f"{gy} div {TILE} * {TILES_IN_ROW} + {gx} div {TILE}").cast("int")
+
+
 def signed_lon(lon) -> Column:
     return F.pmod(_col(lon) + 180.0, F.lit(360.0)) - 180.0
 

@@ -11,27 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-CELL = ["gy", "gx"]
+from .series import CELL, cell_keys
 
 
 def event_runs(events: DataFrame) -> DataFrame:
     """(gy, gx, start, end, days, peak) from (gy, gx, date, cat).
 
     Consecutive dates minus their row number are constant, which names a run.
-    Window and both groupings share one shuffle on the cell.
+    Window and both groupings share one shuffle on the cell, and need none on a
+    stored table, whose buckets hold whole cells.
     """
-    order = F.row_number().over(W.partitionBy(*CELL).orderBy("date"))
+    keys = cell_keys(events)
+    order = F.row_number().over(W.partitionBy(*keys).orderBy("date"))
     return (
-        events.select(*CELL, "date", F.col("cat").cast("int").alias("cat"))
+        events.select(*keys, "date", F.col("cat").cast("int").alias("cat"))
         .withColumn("island", F.date_sub("date", order))
-        .groupBy(*CELL, "island")
+        .groupBy(*keys, "island")
         .agg(
             F.min("date").alias("start"),
             F.max("date").alias("end"),
             F.count(F.lit(1)).alias("days"),
             F.max("cat").alias("peak"),
         )
-        .drop("island")
+        .drop("island", "block")
     )
 
 

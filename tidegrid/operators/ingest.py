@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import PERIODS, bucket_end, bucket_start, mmdd, mmdd_calendar
+from ..functions.calendar import PERIODS, bucket_end, bucket_start, climatology_of, mmdd, mmdd_calendar
+from ..functions.grid import block_of
 from ..schema import FAILED, INGESTING, SUCCESS
 from .stats import with_single_row
 
@@ -21,13 +22,18 @@ def flag_climatology(days: DataFrame, clim: DataFrame, mmdds: list[int] | None =
     """Add `has_clim`: whether the cell has a climatology on that calendar day.
 
     Decided when a day is loaded, because the ice edge moves through the year.
-    A batch knows its calendar days; listing them cuts the climatology to them.
+    A batch knows its calendar days; listing them cuts the climatology to them,
+    and a stored one to the partitions of their months. The climatology stays
+    where its buckets are, only the days move to it.
     """
     if mmdds is not None:
-        clim = clim.filter(F.col("mmdd").isin(mmdds))
-    known = clim.select("gy", "gx", "mmdd", F.lit(True).alias("known"))
+        clim = climatology_of(clim, sorted({m // 100 for m in mmdds})).filter(F.col("mmdd").isin(mmdds))
     keyed = days.withColumn("mmdd", mmdd("date"))
-    return keyed.join(known, ["gy", "gx", "mmdd"], "left").select(
+    if "block" in clim.columns:
+        keyed = keyed.withColumn("block", block_of())
+    keys = [*(["block"] if "block" in clim.columns else []), "gy", "gx", "mmdd"]
+    known = clim.select(*keys, F.lit(True).alias("known"))
+    return keyed.join(known, keys, "left").select(
         *days.columns, F.coalesce("known", F.lit(False)).alias("has_clim")
     )
 
@@ -67,12 +73,6 @@ def orientation_check(daily: DataFrame, clim: DataFrame) -> DataFrame:
     return dates.join(counts, "date", "left").select("date", F.coalesce("orphans", zero).alias("orphans"))
 
 
-def one_day_each(daily: DataFrame) -> DataFrame:
-    """The rows of the newest day of each calendar day."""
-    newest = daily.groupBy(mmdd("date").alias("m")).agg(F.max("date").alias("date"))  # 366 rows at most
-    return daily.join(F.broadcast(newest.select("date")), "date", "left_semi")
-
-
 # ------------------------------------------------------------------------ status
 
 

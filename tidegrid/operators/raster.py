@@ -17,7 +17,7 @@ from ..domain import PACIFIC, Packing, Subset, half_step, variable
 from ..functions.calendar import bucket_start, mmdd
 from ..functions.packing import code_bytes, quantise
 from ..schema import Archive
-from .series import SCALE, scaled_mean
+from .series import SCALE, cell_keys, scaled_mean
 
 # --------------------------------------------------------------------- per cell
 
@@ -27,10 +27,14 @@ def anomaly_field(archive: Archive) -> DataFrame:
 
     NULL with `no_clim` where the ocean has no climatology; land has no row.
     """
-    side = archive.clim.select("gy", "gx", "mmdd", "clim_raw")
-    joined = archive.sst.withColumn("mmdd", mmdd("date")).join(side, ["gy", "gx", "mmdd"], "left")
-    raw = F.col("sst_raw").cast("long") - F.col("clim_raw").cast("long")
-    return joined.select("date", "gy", "gx", raw.alias("raw"), F.col("clim_raw").isNull().alias("no_clim"))
+    return _anomalies(archive).select("date", "gy", "gx", "raw", F.col("raw").isNull().alias("no_clim"))
+
+
+def _anomalies(archive: Archive) -> DataFrame:
+    keys = cell_keys(archive.sst, archive.clim)
+    side = archive.clim.select(*keys, "mmdd", "clim_raw")
+    joined = archive.sst.withColumn("mmdd", mmdd("date")).join(side, [*keys, "mmdd"], "left")
+    return joined.select("date", *keys, (F.col("sst_raw").cast("long") - F.col("clim_raw").cast("long")).alias("raw"))
 
 
 def bucket_field(archive: Archive, name: str, period: str, loaded: DataFrame | None = None) -> DataFrame:
@@ -43,17 +47,17 @@ def bucket_field(archive: Archive, name: str, period: str, loaded: DataFrame | N
     """
     variable(name)
     if name == "anom":
-        days = anomaly_field(archive)
+        days = _anomalies(archive)
     elif name == "sst":
-        days = archive.sst.select("date", "gy", "gx", F.col("sst_raw").cast("long").alias("raw"))
+        days = archive.sst.select("date", *cell_keys(archive.sst), F.col("sst_raw").cast("long").alias("raw"))
     else:
-        days = archive.mhw.select("date", "gy", "gx", F.col("cat").cast("long").alias("raw"))
+        days = archive.mhw.select("date", *cell_keys(archive.mhw), F.col("cat").cast("long").alias("raw"))
     bucket = bucket_start("date", period).alias("bucket")
     value = F.max("raw").cast("double") if name == "mhw" else scaled_mean("raw", SCALE[name])
     no_clim = F.count("raw") == 0 if name == "anom" else F.lit(False)
-    cells = days.groupBy(bucket, "gy", "gx").agg(
+    cells = days.groupBy(bucket, *cell_keys(days)).agg(
         F.when(F.count("raw") > 0, value).alias("value"), no_clim.alias("no_clim")
-    )
+    ).drop("block")
     # distinct dates first, so that the count works on days instead of cells
     source = loaded if loaded is not None else archive.mhw if name == "mhw" else archive.sst
     present = source.select("date").distinct().groupBy(bucket).agg(F.count(F.lit(1)).alias("n_days"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as sc
 from ..domain import GLOBAL, REGIONS, Box, Grid, Region
-from ..functions.calendar import date_range
+from ..functions.calendar import date_range, mmdd
 from ..operators import ingest as ig
 from ..operators import regions as rg
 from ..operators import rollup as ru
@@ -59,14 +59,16 @@ def load_climatology(store: Store, rows: DataFrame, box: Box, *, force: bool = F
         raise ValueError("; ".join(f"{r.mmdd:04d}: {r.problem}" for r in sorted(bad)))
     cells = gf.clim_cells(rows, box, grid)
     present = store.read("sst_clim")
-    days = store.read("sst_daily")
-    orphans = ig.orientation_check(ig.one_day_each(days), cells).filter("orphans > 0").orderBy("date")
+    newest = store.loaded_days("sst").groupBy(mmdd("date")).agg(F.max("date").alias("date"))
+    chosen = [r.date for r in newest.collect()]  # a day for each calendar day at most
+    days = store.days("sst", chosen)
+    orphans = ig.orientation_check(days, cells).filter("orphans > 0").orderBy("date")
     if wrong := orphans.collect():  # likewise
         raise ValueError("climatology cells without a value on " + ", ".join(f"{r.date} ({r.orphans})" for r in wrong))
     key = ["mmdd", "gy", "gx"]
     if force:
         moved = cells.join(present, key, "left_anti").select(*key).union(present.join(cells, key, "left_anti").select(*key))
-        if not days.isEmpty() and not moved.isEmpty():
+        if chosen and not moved.isEmpty():
             raise ValueError("the climatology has other cells than the one the stored days were flagged with; load them anew")
         store.replace_climatology(cells)
         return
@@ -225,13 +227,21 @@ def run(
 
 
 def landed(store: Store, landing: str, product: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of a product's decoded day files, one parquet file per day."""
+    """(rows, files) of a product's decoded day files, one parquet file per day.
+
+    Files come off the folder's listing and are dated by their names; only those
+    whose names carry no date are opened, for one column.
+    """
     ddl = f"{sc.GRID_ROWS}, mask array<tinyint>" if product == "mhw" else sc.GRID_ROWS
-    rows = store.spark.read.schema(ddl).parquet(f"{landing}/{product}")
-    files = rows.groupBy("date").agg(
-        F.max("_metadata.file_name").alias("filename"), F.max("_metadata.file_size").alias("size"),
-        F.date_format(F.max("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss").alias("modified"),
-    )
+    folder = f"{landing}/{product}"
+    rows = store.spark.read.schema(ddl).parquet(folder)
+    listed = gf.landed_files(gf.folder_listing(store.spark, folder))
+    unnamed = listed.filter("date is null")
+    if not unnamed.isEmpty():
+        inside = rows.select("date", F.col("_metadata.file_name").alias("filename"))
+        dated = inside.join(unnamed.select("filename"), "filename", "left_semi").groupBy("filename").agg(F.max("date").alias("date"))
+        listed = listed.filter("date is not null").unionByName(unnamed.drop("date").join(dated, "filename"))
+    files = listed.groupBy("date").agg(F.max("filename").alias("filename"), F.max("size").alias("size"), F.max("modified").alias("modified"))
     return rows, files.withColumn("product", F.lit(product))
 
 

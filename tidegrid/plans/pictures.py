@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import GLOBAL, PACIFIC, VARIABLES, Box, Grid, Subset, variable
-from ..functions.calendar import PERIODS, bucket_end, date_range
+from ..functions.calendar import PERIODS, bucket_end, climatology_of, date_range, months_between
 from ..functions.grid import in_box
 from ..operators import raster as ra
 from ..operators.ingest import affected_buckets
@@ -68,7 +68,8 @@ def pictures(
         # the span, one row, prunes partitions; the semi join below keeps the buckets
         first, last = wanted.agg(F.min("bucket"), F.max(bucket_end("bucket", period))).first()
         cut = lambda df: None if df is None else date_range(df, first, last)
-        archive = Archive(cut(archive.sst), archive.clim, cut(archive.mhw))
+        clim = climatology_of(archive.clim, months_between(first, last)) if archive.clim is not None and first else archive.clim
+        archive = Archive(cut(archive.sst), clim, cut(archive.mhw))
     cells = ra.bucket_field(archive, name, period, loaded)
     if wanted is not None:
         cells = cells.join(F.broadcast(wanted), "bucket", "left_semi")

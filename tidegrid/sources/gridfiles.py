@@ -37,6 +37,15 @@ def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def landed_files(listing: DataFrame) -> DataFrame:
+    """(filename, size, modified, date) of decoded files; `date` is null where the name has no `_yyyymmdd` before a dot."""
+    name = F.element_at(F.split("path", "/"), -1)
+    stamp = F.nullif(F.regexp_extract("filename", r"_(\d{8})\.", 1), F.lit(""))
+    files = listing.select(name.alias("filename"), "size", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"))
+    files = files.filter(F.col("filename").endswith(".parquet"))
+    return files.withColumn("date", F.try_to_timestamp(stamp, F.lit("yyyyMMdd")).cast("date"))
+
+
 def archive_listing(paths: DataFrame, product: str) -> DataFrame:
     """(filename, date) of the recognised day files. Unfinished downloads and
     names that carry no real date are left out."""

@@ -1,21 +1,32 @@
 """The archive's tables on a shared folder, as plain partitioned parquet.
 
-Daily tables are partitioned by `part` (a year, or a decade before 2024) and
-range-clustered on the cell, so that one cell's history in a partition is a
-contiguous run and row-group statistics skip the rest. A point query opens few
-files; replacing a day rewrites one partition.
+The daily tables and the climatology are dealt into the same buckets by the
+block of 32 x 32 cells that a cell lies in, and sorted by cell within. So joins
+and groupings by cell find both sides in place and shuffle nothing, and a point
+query opens one bucket of each partition. Partitions are years of the daily
+tables (decades before 2024) and months of the climatology, so that a day's load
+reads one month of it. The folder holds all there is to know; a session's
+catalog is told of the tables when they are first used, so that Spark knows the
+buckets.
+
+Replacing days writes their partitions once, beside the table, and renames them
+into place. A break at any point leaves the old state or the new one: what has
+been written whole is put in place by the next access.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as sc
 from ..functions.calendar import part_key, part_of
+from ..functions.grid import block_of
 from ..operators.ingest import latest_version, layout_mismatch, replaced_days
 from ..operators.ranking import archive_edges
 
@@ -28,7 +39,13 @@ SCHEMAS = {
 KEYS = {
     "region_clim": ["region", "mmdd"], "region_daily": ["region", "date"], "ingest_status": ["product", "date"],
 }
-MAX_RECORDS_PER_FILE = 50_000_000
+# Bucketed tables: their partition key, and how rows are sorted within a bucket.
+BUCKETED = {
+    "sst_daily": ("part", ["block", "gy", "gx", "date"]), "mhw_daily": ("part", ["block", "gy", "gx", "date"]),
+    "sst_clim": ("month", ["block", "gy", "gx", "mmdd"]),
+}
+# Of a new archive. A year of the whole Pacific is some 3 * 10^9 rows and wants about a thousand.
+BUCKETS = 16
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
@@ -38,8 +55,16 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """An archive under `root`. `buckets` is for a new one; one that exists knows its own."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self._wanted = spark, root.rstrip("/"), buckets
+
+    @cached_property
+    def buckets(self) -> int:
+        if not self.exists("_layout"):
+            self.spark.createDataFrame([(self._wanted,)], "buckets int").coalesce(1).write.parquet(self.path("_layout"))
+        return self.spark.read.schema("buckets int").parquet(self.path("_layout")).first()["buckets"]
 
     # ------------------------------------------------------------------ paths
 
@@ -65,6 +90,14 @@ class Store:
         if not fs.rename(p, self._fs(target)[1]):
             raise OSError(f"cannot move {source} to {target}")
 
+    def _names(self, path: str) -> list[str]:
+        """What a folder holds; nothing, if there is none."""
+        fs, p = self._fs(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _partitions(self, path: str, key: str) -> list[str]:
+        return [n for n in self._names(path) if n.startswith(f"{key}=")]
+
     def _swap(self, staged: str, table: str) -> None:
         """Put a staged table in place. The old one is moved aside first, so that
         at every moment both states still exist somewhere under the root."""
@@ -80,11 +113,38 @@ class Store:
     # ------------------------------------------------------------------ reads
 
     def read(self, table: str) -> DataFrame:
-        ddl = SCHEMAS[table] + (", part int" if table in DAILY.values() else "")
+        if table in BUCKETED:
+            self._recover(table)
+        ddl = SCHEMAS[table] + (f", block int, {BUCKETED[table][0]} int" if table in BUCKETED else "")
         if not self.exists(table):
             return self.spark.createDataFrame([], ddl)
+        if table in BUCKETED:
+            return self.spark.table(self._in_catalog(table))
         return self.spark.read.schema(ddl).parquet(self.path(table))
 
+    def _create(self, name: str, table: str, path: str) -> None:
+        key, order = BUCKETED[table]
+        self.spark.sql(
+            f"create table {name} ({SCHEMAS[table]}, block int, {key} int) using parquet partitioned by ({key})"
+            f" clustered by (block) sorted by ({', '.join(order)}) into {self.buckets} buckets location '{path}'"
+        )
+
+    def _in_catalog(self, table: str) -> str:
+        """The table's name in this session's catalog, with the partitions that the folder has now."""
+        name = f"tidegrid_{hashlib.md5(self.root.encode()).hexdigest()[:12]}_{table}"
+        if not self.spark.catalog.tableExists(name):
+            self._create(name, table, self.path(table))
+        known = [r.partition for r in self.spark.sql(f"show partitions {name}").collect()]  # a few dozen
+        if sorted(known) != self._partitions(self.path(table), BUCKETED[table][0]):
+            self.spark.sql(f"msck repair table {name} sync partitions")
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def days(self, product: str, dates: list[dt.date]) -> DataFrame:
+        """Some days of a product; only their partitions are read."""
+        rows = self.read(DAILY[product])
+        return rows.filter(F.col("part").isin(sorted({part_of(d) for d in dates})) & F.col("date").isin(dates))
+
     def latest(self, table: str) -> DataFrame:
         """Newest version of each row of a versioned table (of a rollup, only dates that have cells)."""
         rows = latest_version(self.read(table), KEYS[table], ["updated_at"])
@@ -107,67 +167,104 @@ class Store:
 
     # ----------------------------------------------------------------- writes
 
-    def _clustered(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.repartitionByRange(*keys).sortWithinPartitions(*keys, *(["date"] if "date" in rows.columns else []))
+    def _write_bucketed(self, table: str, rows: DataFrame, path: str) -> None:
+        """Add rows to a table's files at a path: one file for each partition and bucket that they touch."""
+        key, order = BUCKETED[table]
+        columns = [part.strip().rsplit(" ", 1)[0] for part in SCHEMAS[table].split(",")]
+        value = part_key("date") if key == "part" else F.expr("mmdd div 100").cast("int")
+        keyed = conform(rows, SCHEMAS[table]).select(*columns, block_of().alias("block"), value.alias(key))
+        name = f"tidegrid_write_{uuid.uuid4().hex}"
+        self._create(name, table, path)
+        try:
+            # dealt like the buckets, so that a task holds whole ones
+            keyed.repartition(self.buckets, "block").sortWithinPartitions(key, *order).write.insertInto(name)
+        finally:
+            self.spark.sql(f"drop table {name}")  # the files stay
+
+    def _put_in_place(self, staged: str, table: str, partitions: list[str]) -> None:
+        """Replace partitions by staged ones; those not staged end up empty."""
+        for p in partitions:
+            mine = f"{self.root}/_swap/{table}/{p}"
+            fs, folder = self._fs(mine)
+            fs.mkdirs(folder)
+            if p in self._names(staged):
+                self._rename(f"{staged}/{p}", f"{mine}/new")
+            else:
+                fs.mkdirs(self._fs(f"{mine}/none")[1])
+            self._finish(table, p)
+        self._delete(staged)
 
-    def _write_daily(self, rows: DataFrame, path: str, mode: str, **options: str) -> None:
-        (
-            self._clustered(rows, ["part", "gy", "gx"])
-            .write.mode(mode).options(**options)
-            .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            .partitionBy("part").parquet(path)
-        )
+    def _finish(self, table: str, partition: str) -> None:
+        """Bring a replacement to its end, from wherever it was broken off."""
+        mine, place = f"{self.root}/_swap/{table}/{partition}", f"{self.path(table)}/{partition}"
+        has = self._names(mine)
+        if ("new" in has or "none" in has) and "old" not in has and partition in self._names(self.path(table)):
+            self._rename(place, f"{mine}/old")
+        if "new" in has:
+            fs, folder = self._fs(self.path(table))
+            fs.mkdirs(folder)
+            self._rename(f"{mine}/new", place)
+        self._delete(mine)
+
+    def _recover(self, table: str) -> None:
+        for p in self._names(f"{self.root}/_swap/{table}"):
+            self._finish(table, p)
 
     def append_days(self, product: str, rows: DataFrame) -> None:
         """Add days the table does not hold yet."""
         table = DAILY[product]
-        keyed = conform(rows, SCHEMAS[table]).withColumn("part", part_key("date"))
-        self._write_daily(keyed, self.path(table), "append")
+        self._recover(table)
+        self._write_bucketed(table, rows, self.path(table))
 
     def replace_days(self, product: str, rows: DataFrame, dates: list[dt.date]) -> None:
-        """Replace days. Only the partitions they lie in are read and rewritten.
+        """Replace days. Only the partitions they lie in are read, and written once.
 
-        A table cannot be overwritten while it is being read, so the new state of
-        these partitions is written beside it first. Repeating the call after an
-        interruption gives the same table.
+        Repeating the call after an interruption gives the same table.
         """
         table = DAILY[product]
         parts = sorted({part_of(d) for d in dates})
         days = self.spark.createDataFrame([(d,) for d in dates], "date date")
-        incoming = conform(rows, SCHEMAS[table]).withColumn("part", part_key("date"))
         existing = self.read(table).filter(F.col("part").isin(parts))
+        self._rewrite(table, replaced_days(existing.drop("block", "part"), conform(rows, SCHEMAS[table]), days), parts)
+
+    def _rewrite(self, table: str, rows: DataFrame, parts: list[int]) -> None:
         staged = self._staging(table)
-        self._write_daily(replaced_days(existing, incoming, days), staged, "overwrite")
-        fresh = self.spark.read.schema(SCHEMAS[table] + ", part int").parquet(staged)
-        kept = {r.part for r in fresh.select("part").distinct().collect()}
-        self._write_daily(fresh, self.path(table), "overwrite", partitionOverwriteMode="dynamic")
-        for part in set(parts) - kept:  # nothing left there
-            self._delete(f"{self.path(table)}/part={part}")
-        self._delete(staged)
+        self._write_bucketed(table, rows, staged)
+        self._put_in_place(staged, table, [f"part={p}" for p in parts])
 
     def recluster(self, product: str, parts: list[int]) -> None:
-        """Merge the files that daily appends have left in some partitions."""
+        """Write some partitions again, with one file for each bucket."""
         table = DAILY[product]
-        staged = self._staging(table)
-        self._write_daily(self.read(table).filter(F.col("part").isin(parts)), staged, "overwrite")
-        fresh = self.spark.read.schema(SCHEMAS[table] + ", part int").parquet(staged)
-        self._write_daily(fresh, self.path(table), "overwrite", partitionOverwriteMode="dynamic")
-        self._delete(staged)
+        self._rewrite(table, self.read(table).filter(F.col("part").isin(parts)), parts)
+
+    def files(self, table: str, part: int) -> int:
+        """Data files of a partition, from the folder's listing."""
+        return sum(n.endswith(".parquet") for n in self._names(f"{self.path(table)}/{BUCKETED[table][0]}={part}"))
+
+    def merge_files(self, product: str, dates: list[dt.date], most: int = 1) -> list[int]:
+        """Merge the files of the partitions that these dates lie in, where a bucket has more than `most` of them
+        (on average of the buckets in use); returns those partitions. Others are not touched."""
+        table = DAILY[product]
+        many = []
+        for part in sorted({part_of(d) for d in dates}):
+            names = [n for n in self._names(f"{self.path(table)}/part={part}") if n.endswith(".parquet")]
+            used = {n.rsplit("_", 1)[1].split(".")[0] for n in names}  # a file's name ends with its bucket
+            if len(names) > most * len(used):
+                many.append(part)
+        for part in many:
+            self.recluster(product, [part])
+        return many
 
     def append(self, table: str, rows: DataFrame) -> None:
         conform(rows, SCHEMAS[table]).write.mode("append").parquet(self.path(table))
 
-    def _write_climatology(self, rows: DataFrame, path: str) -> None:
-        out = self._clustered(conform(rows, SCHEMAS["sst_clim"]), ["gy", "gx"])
-        out.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
-
     def append_climatology(self, rows: DataFrame) -> None:
-        self._write_climatology(rows, self.path("sst_clim"))
+        self._write_bucketed("sst_clim", rows, self.path("sst_clim"))
 
     def replace_climatology(self, rows: DataFrame) -> None:
         """Swap in a new climatology that may have been computed from the old one."""
         staged = self._staging("sst_clim")
-        self._write_climatology(rows, staged)
+        self._write_bucketed("sst_clim", rows, staged)
         self._swap(staged, "sst_clim")
 
     def overwrite(self, table: str, rows: DataFrame) -> None:
@@ -208,7 +305,7 @@ class Store:
         """
         old = conform(self.spark.read.parquet(source), SCHEMAS[table])
         staged = self._staging(table)
-        self._write_daily(old.withColumn("part", part_key("date")), staged, "overwrite")
+        self._write_bucketed(table, old, staged)
         self.verify_copy(old, self.spark.read.parquet(staged), table)
         self._swap(staged, table)
 
@@ -217,8 +314,3 @@ class Store:
         bad = layout_mismatch(old, new).orderBy("year").collect()  # one row per year at most
         if bad:
             raise ValueError(f"{table}: rows differ in {[(r.year, r.old_rows, r.new_rows) for r in bad]}")
-
-    def save_bucketed(self, rows: DataFrame, table: str, buckets: int, order: str) -> None:
-        """A managed copy bucketed on the cell, for repeated all-cell joins that
-        should not shuffle (see session.SETTINGS)."""
-        rows.write.mode("overwrite").bucketBy(buckets, "gy", "gx").sortBy("gy", "gx", order).saveAsTable(table)
