@@ -252,3 +252,33 @@ def test_normal_wraps_the_year(frame):
     r = sa.extent_state(roll).first()
     assert (r.extent, r["rank"], r.of) == (60.0, 3, 5) and r.normal == pytest.approx(30.0) and r.ratio == pytest.approx(2.0)
     assert sa.extent_state(roll, (1900, 1901)).first().normal is None
+
+
+def test_rollups_are_the_same_for_every_partitioning(spark):
+    random.seed(3)
+    cells = [(dt.date(2024, 1, 1 + k % 3), 900 + random.randrange(700), 2400 + random.randrange(900), random.randrange(-200, 3200), k % 5 > 0) for k in range(4000)]
+    sst = spark.createDataFrame(sorted({c[:3]: c for c in cells}.values()), "date date, gy int, gx int, sst_raw int, has_clim boolean")
+    mhw = sst.filter("sst_raw % 4 = 1").selectExpr("date", "gy", "gx", "cast(1 + sst_raw % 5 as int) as cat").filter("cat > 0")
+    dim = rg.box_rows(spark, {"a": Box(900, 1300, 2400, 3000), "b": Box(1000, 1599, 2500, 3299), "none": Box(0, 3, 0, 3)})
+    found = set()
+    for n in (1, 8, 211):
+        arc = Archive(sst.repartition(n), None, mhw.repartition(n))
+        parts = [ru.region_parts(t, p, dim) for p, t in (("sst", arc.sst), ("mhw", arc.mhw))]
+        halves = [ru.region_parts(t.filter(c), p, dim) for p, t in (("sst", arc.sst), ("mhw", arc.mhw)) for c in ("gx % 2 = 0", "gx % 2 = 1")]
+        for df in (ru.region_daily(arc, dim), ru.rollup_of(ru.added(*parts)), ru.rollup_of(ru.added(*halves))):
+            found.add(tuple(sorted(map(tuple, df.collect()))))
+        found.add(tuple(sorted(map(tuple, ru.refresh(arc, dim, sst.select("date")).collect()))))
+    assert len(found) == 1 and len(found.pop()) == 6
+    box = {tuple(sorted(map(tuple, ru.box_sst(Archive(sst.repartition(n)), Box(900, 1300, 2400, 3000)).collect()))) for n in (1, 8, 211)}
+    assert len(box) == 1
+
+
+def test_days_without_cells_have_rows_of_zeros(spark):
+    days = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 2),)], "date date")
+    sst = spark.createDataFrame([(dt.date(2024, 1, 1), 1, 1, 100, True)], "date date, gy int, gx int, sst_raw int, has_clim boolean")
+    dim = rg.box_rows(spark, {"a": Box(0, 3, 0, 3), "b": Box(5, 6, 5, 6)})
+    parts = ru.whole_days(ru.region_parts(sst, "sst", dim), ["a", "b"], days, "sst")
+    assert {(r.region, r.date.day): r.n_cells for r in parts.collect()} == {("a", 1): 1, ("a", 2): 0, ("b", 1): 0, ("b", 2): 0}
+    out = {(r.region, r.date.day): (r.mean_sst, r.mean_mhw, r.n_cells, r.n_cells_mhw) for r in ru.rollup_of(parts, keep_empty=True).collect()}
+    assert out["a", 1] == (1.0, 0.0, 1, 0) and out["b", 2] == (None, None, 0, 0) and len(out) == 4
+    assert ru.rollup_of(parts).count() == 1

@@ -192,7 +192,7 @@ def files_of(spark, product, days, **extra):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "archive"))
+    s = Store(spark, str(tmp_path / "archive"), buckets=2)
     clim = spark.createDataFrame(
         [(m, r, [100 + c for c in range(8)]) for m in (228, 229, 301) for r in range(4)], "mmdd int, row int, values array<smallint>")
     pl.load_climatology(s, clim, ALL, grid=G)
@@ -497,3 +497,85 @@ def test_a_revised_day_changes_its_pictures(spark, store, day):
     assert store.read("picture_list").distinct().count() == 9
     none = spark.createDataFrame([], "date date, outcome string")
     assert pictures.redraw(store, none, **where) == 0
+
+
+# --------------------------------------------------------- files, parts and breaks
+
+
+def some_cells(spark, days, value=1):
+    rows = [(d, y, x, value, True) for d in days for y in (1, 40) for x in range(0, 100, 9)]
+    return spark.createDataFrame(rows, "date date, gy int, gx int, sst_raw int, has_clim boolean")
+
+
+def test_batches_end_with_the_files_of_one(spark, tmp_path, day):
+    many, one = Store(spark, f"{tmp_path}/many", buckets=2), Store(spark, f"{tmp_path}/one", buckets=2)
+    days = [day("2024-01-01") + dt.timedelta(k) for k in range(6)]
+    one.append_days("sst", some_cells(spark, days))
+    many.append_days("sst", some_cells(spark, [day("2019-05-05")]))
+    for d in days:
+        many.append_days("sst", some_cells(spark, [d]))
+    assert many.files("sst_daily", 2024) == 6 * one.files("sst_daily", 2024)
+    other = many._names(many.path("sst_daily/part=2010"))
+    assert many.merge_files("sst", days[:1]) == [2024]
+    assert many.files("sst_daily", 2024) == one.files("sst_daily", 2024)
+    assert many._names(many.path("sst_daily/part=2010")) == other  # not touched
+    assert many.merge_files("sst", days) == []
+    now = many.read("sst_daily").filter("part = 2024")
+    assert now.exceptAll(one.read("sst_daily")).isEmpty() and now.count() == one.read("sst_daily").count()
+
+
+@pytest.mark.parametrize("broken_at", range(1, 5))
+@pytest.mark.parametrize("empty", [False, True])
+def test_a_broken_replacement_leaves_old_or_new_rows(spark, tmp_path, day, monkeypatch, broken_at, empty):
+    store, d = Store(spark, str(tmp_path), buckets=2), day("2024-01-01")
+    store.append_days("sst", some_cells(spark, [d], 1))
+    moves, real, gone = [], Store._rename, Store._delete
+
+    def count(act):
+        def run(self, *args):
+            moves.append(args)
+            if len(moves) == broken_at:
+                raise OSError("lost")
+            return act(self, *args)
+        return run
+
+    monkeypatch.setattr(Store, "_rename", count(real))
+    monkeypatch.setattr(Store, "_delete", count(gone))
+    fresh = some_cells(spark, [d], 2)
+    try:
+        store.replace_days("sst", fresh.filter("false") if empty else fresh, [d])
+    except OSError:
+        pass
+    monkeypatch.setattr(Store, "_rename", real)
+    monkeypatch.setattr(Store, "_delete", gone)
+    values = {r.sst_raw for r in Store(spark, str(tmp_path)).read("sst_daily").collect()}
+    assert values in ({1}, set() if empty else {2})
+    store.replace_days("sst", fresh, [d])
+    assert {r.sst_raw for r in store.read("sst_daily").collect()} == {2} and store.read("sst_daily").count() == 24
+    assert store._names(f"{store.root}/_swap/sst_daily") == []
+
+
+def test_a_late_product_reads_only_itself(spark, store, day, monkeypatch):
+    d = day("2024-02-28")
+    load(store, "sst", grid_rows(spark, d), [d], T0)
+    read, real = [], Store.days
+    monkeypatch.setattr(Store, "days", lambda self, p, dates: read.append((p, tuple(dates))) or real(self, p, dates))
+    load(store, "mhw", grid_rows(spark, d, lambda r, c: 2, mask=lambda r, c: 2), [d], T0 + dt.timedelta(hours=1))
+    assert read == [("mhw", (d,))]
+    assert rolled(store)["half", "2024-02-28"].mhw_area_frac > 0
+
+
+def test_a_backfilled_day_gets_its_parts_with_the_other_product(spark, store, day):
+    d = day("2024-02-28")
+    pl.ingest_product(store, "sst", grid_rows(spark, d), files_of(spark, "sst", [d]), T0, ALL, grid=G).collect()
+    assert store.read("region_parts").count() == 0
+    load(store, "mhw", grid_rows(spark, d, lambda r, c: 2, mask=lambda r, c: 2), [d], T0 + dt.timedelta(hours=1))
+    got = rolled(store)["half", "2024-02-28"]
+    want = {r.region: r for r in region_daily(store.archive(), pl.region_dimension(store, REGIONS, G)).collect()}["half"]
+    assert (got.mean_sst, got.mean_mhw, got.n_cells, got.n_cells_mhw) == (want.mean_sst, want.mean_mhw, want.n_cells, want.n_cells_mhw)
+
+
+def test_names_date_landed_files(spark, tmp_path):
+    rows = [(f"file:/x/{n}", 5, dt.datetime(2024, 3, 1, 4, 5)) for n in ("a_20240228.nc.parquet", "part-0001.parquet", "b_20240231.parquet", "c_20240229.txt")]
+    got = gf.landed_files(spark.createDataFrame(rows, "path string, size long, modified timestamp")).collect()
+    assert {r.filename: str(r.date) for r in got} == {"a_20240228.nc.parquet": "2024-02-28", "part-0001.parquet": "None", "b_20240231.parquet": "None"}

@@ -177,7 +177,8 @@ def main(argv: list[str] | None = None) -> int:
         if args.clim:
             daily.build_region_clim(store, now, chosen)
         daily.build_region_daily(store, now, chosen, args.date or args.start, args.date or args.end, fresh=args.fresh)
-        store.compact("region_daily")
+        for table in ("region_daily", "region_parts"):
+            store.compact(table)
         return 0
     if args.command == "render":
         return render(store, args)
@@ -193,7 +194,7 @@ def main(argv: list[str] | None = None) -> int:
             store, listings, rows, yesterday, now, box, max_days=args.max_days, recheck_days=args.recheck_days), args.width)
         for p in ("sst", "mhw"):
             store.merge_files(p, [yesterday], most=MOST_FILES)
-        for table in ("ingest_status", "region_daily"):  # a few rows per region and day
+        for table in ("ingest_status", "region_daily", "region_parts"):  # a few rows per region and day
             store.compact(table)
         return failed
     if args.command == "repair-leap-days":

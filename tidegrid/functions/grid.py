@@ -34,6 +34,16 @@ def area_weight(gy, grid: Grid = GLOBAL) -> Column:
     return F.cos(F.radians(lat_of(gy, grid)))
 
 
+# Area weights in whole units of 2^-46, cut in two so that sums over a day's cells stay within longs.
+UNIT_BITS = 23
+
+
+def weight_units(weight) -> tuple[Column, Column]:
+    """(high, low): the weight is (high * 2^23 + low) / 2^46."""
+    units = F.round(_col(weight) * F.lit(float(1 << 2 * UNIT_BITS))).cast("long")
+    return F.shiftright(units, UNIT_BITS), units.bitwiseAND(F.lit((1 << UNIT_BITS) - 1).cast("long"))
+
+
 TILE = 32  # rows and columns of a block of cells
 TILES_IN_ROW = 1024
 

@@ -1,5 +1,10 @@
 """Area means over boxes and regions, weighted by the cosine of the latitude.
 
+Weights are whole units of 2^-46, so that weighted sums are sums of whole
+numbers: exact, the same for every partitioning, and additive. What a batch adds
+to a region's day is therefore a small row of parts (schema.REGION_PARTS), and
+means are taken off the parts at the end.
+
 An area anomaly never joins days with the climatology cell by cell: over the
 same cells with the same weights mean(sst - clim) = mean(sst) - mean(clim). The
 daily side therefore keeps a second mean restricted to cells with a climatology.
@@ -12,14 +17,15 @@ denominator, the sparse rows the numerator, and a day without events is a 0.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import GLOBAL, Box, Grid, series_quantity, variable
 from ..functions.calendar import bucket_start, date_range, mmdd
-from ..functions.grid import area_weight, in_box
-from ..schema import Archive
+from ..functions.grid import UNIT_BITS, area_weight, in_box, weight_units
+from ..schema import REGION_PARTS, Archive
 from .regions import RegionRows, assign_regions
 
 COUNT = 0.01  # degrees per stored count
@@ -40,6 +46,32 @@ def _facts(archive: Archive, start=None, end=None) -> DataFrame:
     return days.unionByName(hits)
 
 
+PARTS = [f.split()[0] for f in REGION_PARTS.split(", ")][3:]
+
+
+def _sums(name: str, value: Column, when: Column) -> list[Column]:
+    """Exact weighted sums `name`_hi and `name`_lo of a whole number; null where there is none."""
+    return [F.sum(F.when(when, value * F.col(w))).alias(f"{name}_{w[-2:]}") for w in ("w_hi", "w_lo")]
+
+
+def _total(name: str) -> Column:
+    """A weighted sum in units of 2^-46, as a double."""
+    return F.col(f"{name}_hi").cast("double") * F.lit(float(1 << UNIT_BITS)) + F.col(f"{name}_lo").cast("double")
+
+
+def _ratio(name: str, area: str) -> Column:
+    return F.try_divide(_total(name), _total(area))
+
+
+def in_units(df: DataFrame, weight="weight") -> DataFrame:
+    hi, lo = weight_units(weight)
+    return df.withColumns({"w_hi": hi, "w_lo": lo})
+
+
+def _assigned(facts: DataFrame, dim: RegionRows) -> DataFrame:
+    return assign_regions(facts, replace(dim, frame=in_units(dim.frame)))
+
+
 def region_daily(
     archive: Archive, dim: RegionRows, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
@@ -48,39 +80,73 @@ def region_daily(
     No row where a day has no ocean cell in the region. `mean_sst_clim` is NULL
     where none of them has a climatology.
     """
-    w, day, warm = F.col("weight"), F.col("sst_raw").isNotNull(), F.col("cat").isNotNull()
+    one, day, warm = F.lit(1).cast("long"), F.col("sst_raw").isNotNull(), F.col("cat").isNotNull()
     clim = day & F.col("has_clim")
-    sums = (
-        assign_regions(_facts(archive, start, end), dim)
-        .groupBy("region", "date")
-        .agg(
-            F.sum(F.when(day, F.col("sst_raw") * w)).alias("sst_sum"),
-            F.sum(F.when(day, w)).alias("area"),
-            F.count_if(day).alias("n_cells"),
-            F.sum(F.when(clim, F.col("sst_raw") * w)).alias("clim_sum"),
-            F.sum(F.when(clim, w)).alias("clim_area"),
-            F.count_if(clim).alias("n_cells_clim"),
-            F.sum(F.when(warm, F.col("cat") * w)).alias("cat_sum"),
-            F.sum(F.when(warm, w)).alias("cat_area"),
-            F.count_if(warm).alias("n_cells_mhw"),
-        )
-        .filter("n_cells > 0")
+    sums = _assigned(_facts(archive, start, end), dim).groupBy("region", "date").agg(
+        *_sums("total", F.col("sst_raw"), day), *_sums("area", one, day), F.count_if(day).alias("n_cells"),
+        *_sums("clim_total", F.col("sst_raw"), clim), *_sums("clim_area", one, clim), F.count_if(clim).alias("n_cells_clim"),
+        *_sums("cat_total", F.col("cat").cast("long"), warm), *_sums("cat_area", one, warm), F.count_if(warm).alias("n_cells_mhw"),
     )
+    return _means(sums).filter("n_cells > 0")
+
+
+def _means(sums: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return sums.select(
         "region", "date",
-        (F.col("sst_sum") * COUNT / F.col("area")).alias("mean_sst"),
-        "n_cells",
-        (F.col("clim_sum") * COUNT / F.col("clim_area")).alias("mean_sst_clim"),
-        "n_cells_clim",
-        (F.coalesce("cat_sum", zero) / F.col("area")).alias("mean_mhw"),
-        (F.coalesce("cat_area", zero) / F.col("area")).alias("mhw_area_frac"),
-        "n_cells_mhw",
+        (_ratio("total", "area") * COUNT).alias("mean_sst"), "n_cells",
+        (_ratio("clim_total", "clim_area") * COUNT).alias("mean_sst_clim"), "n_cells_clim",
+        F.when(F.col("n_cells") > 0, F.coalesce(_ratio("cat_total", "area"), zero)).alias("mean_mhw"),
+        F.when(F.col("n_cells") > 0, F.coalesce(_ratio("cat_area", "area"), zero)).alias("mhw_area_frac"), "n_cells_mhw",
+    )
+
+
+def region_parts(cells: DataFrame, product: str, dim: RegionRows) -> DataFrame:
+    """What these cells of a product add to each region's day (schema.REGION_PARTS), whatever part of the day they are."""
+    if product == "sst":
+        facts = cells.select("date", "gy", "gx", F.col("sst_raw").cast("long").alias("value"), F.col("has_clim").cast("boolean").alias("clim"))
+    else:
+        facts = cells.select("date", "gy", "gx", F.col("cat").cast("long").alias("value"), F.lit(False).alias("clim"))
+    one, every, clim = F.lit(1).cast("long"), F.lit(True), F.col("clim")
+    sums = _assigned(facts, dim).groupBy("region", "date").agg(
+        *_sums("total", F.col("value"), every), *_sums("area", one, every), F.count(F.lit(1)).alias("n_cells"),
+        *_sums("clim_total", F.col("value"), clim), *_sums("clim_area", one, clim), F.count_if(clim).alias("n_cells_clim"),
+    )
+    zero = F.lit(0).cast("long")
+    return sums.select("region", "date", F.lit(product).alias("product"), *[F.coalesce(c, zero).alias(c) for c in PARTS])
+
+
+def whole_days(parts: DataFrame, regions: list[str], dates: DataFrame, product: str) -> DataFrame:
+    """Parts with a row, of zeros if need be, for each of the regions and dates: a day without cells is known to be one."""
+    grid = dates.select("date").distinct().select(F.explode(F.array(*[F.lit(r) for r in regions])).alias("region"), "date")
+    zero = F.lit(0).cast("long")
+    return grid.join(parts.drop("product"), ["region", "date"], "left").select("region", "date", F.lit(product).alias("product"), *[F.coalesce(c, zero).alias(c) for c in PARTS])
+
+
+def added(*parts: DataFrame) -> DataFrame:
+    """The sum of parts, as of batches that each hold some of a day's cells."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("region", "date", "product").agg(*[F.sum(c).alias(c) for c in PARTS])
+
+
+def rollup_of(parts: DataFrame, *, keep_empty: bool = False) -> DataFrame:
+    """`region_daily` off the parts of both products; with `keep_empty` also rows without cells."""
+    sst, mhw = F.col("product") == "sst", F.col("product") == "mhw"
+    pick = lambda which, column, name: F.sum(F.when(which, F.col(column))).alias(name)
+    zero = F.lit(0).cast("long")
+    sums = parts.groupBy("region", "date").agg(
+        *[pick(sst, c, c) for c in PARTS],
+        *[pick(mhw, f"{c}_{h}", f"cat_{c}_{h}") for c in ("total", "area") for h in ("hi", "lo")], pick(mhw, "n_cells", "n_cells_mhw"),
     )
+    counts = {c: F.coalesce(c, zero) for c in ("n_cells", "n_cells_clim", "n_cells_mhw")}
+    out = _means(sums.withColumns(counts))
+    return out if keep_empty else out.filter("n_cells > 0")
 
 
 def refresh(archive: Archive, dim: RegionRows, changed: DataFrame) -> DataFrame:
-    """`region_daily` for the changed dates only, whichever product changed.
+    """`region_daily` for the changed dates only, off the facts of both products.
 
     The span of the dates (one row, fetched here) prunes partitions; within it a
     semi join keeps just the dates, which are at most the archive's days.
@@ -93,28 +159,21 @@ def refresh(archive: Archive, dim: RegionRows, changed: DataFrame) -> DataFrame:
     return region_daily(Archive(only(archive.sst), archive.clim, only(archive.mhw)), dim)
 
 
-def emptied(before: DataFrame, fresh: DataFrame, changed: DataFrame, regions: list[str]) -> DataFrame:
-    """Rows without cells for the changed dates that had some in a region and have none now, so
-    that an older version does not speak for them. `Store.region_daily` leaves them out."""
-    mine = before.filter(F.col("region").isin(regions) & (F.col("n_cells") > 0))
-    dates = F.broadcast(changed.select("date").distinct())  # a row per day
-    gone = mine.join(dates, "date", "left_semi").select("region", "date").join(fresh.select("region", "date"), ["region", "date"], "left_anti")
-    none = {f.name: F.lit(0 if f.name.startswith("n_cells") else None).cast(f.dataType).alias(f.name) for f in fresh.schema.fields}
-    return gone.select(*[F.col(c) if c in ("region", "date") else none[c] for c in fresh.columns])
-
-
 def region_clim(clim: DataFrame, dim: RegionRows) -> DataFrame:
     """(region, mmdd, mean_clim, n_cells)."""
     return (
-        assign_regions(clim.select("mmdd", "gy", "gx", "clim_raw"), dim)
+        _assigned(clim.select("mmdd", "gy", "gx", F.col("clim_raw").cast("long").alias("value")), dim)
         .groupBy("region", "mmdd")
-        .agg(
-            (F.sum(F.col("clim_raw") * F.col("weight")) * COUNT / F.sum("weight")).alias("mean_clim"),
-            F.count(F.lit(1)).alias("n_cells"),
-        )
+        .agg(*_box_sums(), F.count(F.lit(1)).alias("n_cells"))
+        .select("region", "mmdd", (_ratio("total", "area") * COUNT).alias("mean_clim"), "n_cells")
     )
 
 
+def _box_sums() -> list[Column]:
+    every = F.lit(True)
+    return [*_sums("total", F.col("value"), every), *_sums("area", F.lit(1).cast("long"), every)]
+
+
 # ------------------------------------------------------------------ any one box
 
 
@@ -125,19 +184,15 @@ def box_sst(
     cells = date_range(archive.sst.filter(in_box(box)), start, end)
     if with_clim_only:
         cells = cells.filter(F.col("has_clim").cast("boolean"))
-    w = area_weight("gy", grid)
-    return cells.groupBy("date").agg(
-        (F.sum(F.col("sst_raw") * w) * COUNT / F.sum(w)).alias("value"), F.count(F.lit(1)).alias("n_cells")
-    )
+    cells = in_units(cells.select("date", "gy", F.col("sst_raw").cast("long").alias("value")), area_weight("gy", grid))
+    sums = cells.groupBy("date").agg(*_box_sums(), F.count(F.lit(1)).alias("n_cells"))
+    return sums.select("date", (_ratio("total", "area") * COUNT).alias("value"), "n_cells")
 
 
 def box_clim(clim: DataFrame, box: Box, *, grid: Grid = GLOBAL) -> DataFrame:
-    w = area_weight("gy", grid)
-    return (
-        clim.filter(in_box(box))
-        .groupBy("mmdd")
-        .agg((F.sum(F.col("clim_raw") * w) * COUNT / F.sum(w)).alias("mean_clim"), F.count(F.lit(1)).alias("n_cells"))
-    )
+    cells = in_units(clim.filter(in_box(box)).select("mmdd", "gy", F.col("clim_raw").cast("long").alias("value")), area_weight("gy", grid))
+    sums = cells.groupBy("mmdd").agg(*_box_sums(), F.count(F.lit(1)).alias("n_cells"))
+    return sums.select("mmdd", (_ratio("total", "area") * COUNT).alias("mean_clim"), "n_cells")
 
 
 def box_anom(archive: Archive, box: Box, start=None, end=None, *, grid: Grid = GLOBAL) -> DataFrame:
@@ -150,19 +205,13 @@ def box_anom(archive: Archive, box: Box, start=None, end=None, *, grid: Grid = G
 
 def box_extent(archive: Archive, box: Box, start=None, end=None, *, grid: Grid = GLOBAL) -> DataFrame:
     """Daily share of the box's ocean in a heatwave, in percent; 0 without events."""
-    w = area_weight("gy", grid)
-    day, warm = F.col("sst_raw").isNotNull(), F.col("cat").isNotNull()
+    one, day, warm = F.lit(1).cast("long"), F.col("sst_raw").isNotNull(), F.col("cat").isNotNull()
     return (
-        _facts(archive, start, end)
-        .filter(in_box(box))
+        in_units(_facts(archive, start, end).filter(in_box(box)), area_weight("gy", grid))
         .groupBy("date")
-        .agg(
-            F.coalesce(F.sum(F.when(warm, w)), F.lit(0.0)).alias("hit"),
-            F.sum(F.when(day, w)).alias("area"),
-            F.count_if(day).alias("n_cells"),
-        )
+        .agg(*_sums("hit", one, warm), *_sums("area", one, day), F.count_if(day).alias("n_cells"))
         .filter("n_cells > 0")
-        .select("date", (PERCENT * F.col("hit") / F.col("area")).alias("value"), "n_cells")
+        .select("date", (PERCENT * F.coalesce(_ratio("hit", "area"), F.lit(0.0))).alias("value"), "n_cells")
     )
 
 

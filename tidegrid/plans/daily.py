@@ -90,9 +90,40 @@ def build_region_daily(
     """Roll up a range for all regions in one pass."""
     regions = REGIONS if regions is None else regions
     if fresh:
-        store.drop_regions("region_daily", list(regions))
-    out = ru.region_daily(store.archive(), region_dimension(store, regions, grid), start, end)
-    store.append("region_daily", out.withColumn("updated_at", F.lit(updated_at)))
+        for table in ("region_daily", "region_parts"):
+            store.drop_regions(table, list(regions))
+    dim = region_dimension(store, regions, grid)
+    for product, table in DAILY.items():
+        parts = ru.region_parts(date_range(store.read(table), start, end), product, dim)
+        store.append("region_parts", parts.withColumn("updated_at", F.lit(updated_at)))
+    parts = date_range(store.latest("region_parts"), start, end).filter(F.col("region").isin(list(regions)))
+    store.append("region_daily", ru.rollup_of(parts).withColumn("updated_at", F.lit(updated_at)))
+
+
+def update_rollup(
+    store: Store, loaded: dict[str, list[dt.date]], updated_at: dt.datetime, regions: dict[str, Region] | None = None, grid: Grid = GLOBAL
+) -> None:
+    """Bring parts and rollup up to date after days of a product were loaded (product -> dates).
+
+    Only these days of that product are read; the other product speaks by its
+    stored parts. Days whose other product was loaded without a rollup, as by a
+    backfill, have no parts yet, and get them now.
+    """
+    names = list(REGIONS if regions is None else regions)
+    changed = sorted({d for dates in loaded.values() for d in dates})
+    if not changed or not names:
+        return
+    frame = lambda dates: store.spark.createDataFrame([(d,) for d in dates], "date date")
+    mine = lambda: store.latest("region_parts").filter(F.col("date").isin(changed) & F.col("region").isin(names))
+    known = mine().groupBy("product", "date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(names)).collect()
+    dim = region_dimension(store, regions, grid)
+    for product in DAILY:
+        have = {r.date for r in known if r["product"] == product}
+        dates = [d for d in changed if d in loaded.get(product, []) or d not in have]
+        if dates:
+            parts = ru.region_parts(store.days(product, dates), product, dim)
+            store.append("region_parts", ru.whole_days(parts, names, frame(dates), product).withColumn("updated_at", F.lit(updated_at)))
+    store.append("region_daily", ru.rollup_of(mine(), keep_empty=True).withColumn("updated_at", F.lit(updated_at)))
 
 
 def _cells_of(
@@ -189,20 +220,20 @@ def process_days(
     """Load what has arrived of both products, then bring the rollup up to date.
 
     `incoming` maps a product to (rows, files). Temperatures go first, since the
-    land repair of a category day needs them. The rollup of a date is rebuilt
+    land repair of a category day needs them. The rollup of a date is renewed
     whichever product landed: a date without its classes holds a 0 that the
     classes must correct later. Returns (date, outcome), the worst per date.
     """
     results = store.spark.createDataFrame([], "date date, outcome string")
+    loaded: dict[str, list[dt.date]] = {}
     for product in ("sst", "mhw"):
         if product not in incoming:
             continue
         rows, files = incoming[product]
-        results = results.unionByName(ingest_product(store, product, rows, files, updated_at, box, force=force, grid=grid))
-    changed = results.filter("outcome = 'ingested'").select("date").distinct()
-    fresh = ru.refresh(store.archive(), region_dimension(store, regions, grid), changed)
-    emptied = ru.emptied(store.latest("region_daily"), fresh, changed, list(REGIONS if regions is None else regions))
-    store.append("region_daily", fresh.unionByName(emptied).withColumn("updated_at", F.lit(updated_at)))
+        mine = ingest_product(store, product, rows, files, updated_at, box, force=force, grid=grid)
+        loaded[product] = [r.date for r in mine.filter("outcome = 'ingested'").collect()]
+        results = results.unionByName(mine)
+    update_rollup(store, loaded, updated_at, regions, grid)
     return ig.date_outcome(results)
 
 

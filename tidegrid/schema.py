@@ -15,6 +15,12 @@ REGION_DAILY = (
     "region string, date date, mean_sst double, n_cells bigint, mean_sst_clim double, n_cells_clim bigint,"
     " mean_mhw double, mhw_area_frac double, n_cells_mhw bigint"
 )
+# Additive: rows of the same region, date and product add up. Sums of weighted counts and of weights are in units of
+# 2^-46, each as a high and a low part (functions/grid.weight_units).
+REGION_PARTS = (
+    "region string, date date, product string, total_hi bigint, total_lo bigint, area_hi bigint, area_lo bigint, n_cells bigint,"
+    " clim_total_hi bigint, clim_total_lo bigint, clim_area_hi bigint, clim_area_lo bigint, n_cells_clim bigint"
+)
 INGEST_STATUS = (
     "product string, date date, filename string, status string, n_rows bigint, file_size bigint,"
     " source_url string, remote_size bigint, remote_modified string, message string, updated_at timestamp"

@@ -34,10 +34,10 @@ DAILY = {"sst": "sst_daily", "mhw": "mhw_daily"}
 SCHEMAS = {
     "sst_daily": sc.SST_DAILY, "mhw_daily": sc.MHW_DAILY, "sst_clim": sc.SST_CLIM, "region_cells": sc.REGION_CELLS,
     "region_clim": f"{sc.REGION_CLIM}, updated_at timestamp", "region_daily": f"{sc.REGION_DAILY}, updated_at timestamp",
-    "ingest_status": sc.INGEST_STATUS, "picture_list": sc.PICTURE_LIST,
+    "region_parts": f"{sc.REGION_PARTS}, updated_at timestamp", "ingest_status": sc.INGEST_STATUS, "picture_list": sc.PICTURE_LIST,
 }
 KEYS = {
-    "region_clim": ["region", "mmdd"], "region_daily": ["region", "date"], "ingest_status": ["product", "date"],
+    "region_clim": ["region", "mmdd"], "region_daily": ["region", "date"], "region_parts": ["region", "date", "product"], "ingest_status": ["product", "date"],
 }
 # Bucketed tables: their partition key, and how rows are sorted within a bucket.
 BUCKETED = {
