@@ -126,6 +126,26 @@ def mhw_events_wide(fx):
     return ev.event_runs(fx.on("wide").mhw)
 
 
+# Classes as they end up: on some days they are revised, and the lowest ones vanish.
+_REVISED = """fx_revised as (
+    select date, gy, gx, case when day(date) % 9 = 0 then least(cat + 1, 5) else cat end as cat from fx_mhw
+    where not (day(date) % 9 = 0 and cat = 1))"""
+
+
+@query("event_runs_in_batches", with_views(RUNS.replace("fx_mhw", "fx_revised"), "fx_mhw", grid="wide", extra=_REVISED))
+def event_runs_in_batches(fx):
+    """Runs kept up to date: most days first, then those of some months, then revisions of loaded days."""
+    mhw = fx.on("wide").mhw
+    late, revised = F.month("date").isin(5, 11), F.day("date") % 9 == 0
+    final = mhw.filter(~(revised & (F.col("cat") == 1))).withColumn("cat", F.when(revised, F.least(F.col("cat") + 1, F.lit(5))).otherwise(F.col("cat")))
+    runs = ev.event_runs(mhw.filter(~late), classes=True)
+    for events, chosen in ((mhw, late), (final, revised)):
+        dates = sorted(r.date for r in mhw.filter(chosen).select("date").distinct().collect())  # days, not cells
+        stay, new = ev.renewed_runs(runs, events, dates)
+        runs = stay.select(*new.columns).unionByName(new)
+    return runs.drop("classes")
+
+
 def _summary_sql(where: str) -> str:
     pick = ", ".join(
         f"{side}.{f} as {side}_{f}" for side in ("current", "longest") for f in ("start", "\"end\"", "days", "peak")

@@ -579,3 +579,35 @@ def test_names_date_landed_files(spark, tmp_path):
     rows = [(f"file:/x/{n}", 5, dt.datetime(2024, 3, 1, 4, 5)) for n in ("a_20240228.nc.parquet", "part-0001.parquet", "b_20240231.parquet", "c_20240229.txt")]
     got = gf.landed_files(spark.createDataFrame(rows, "path string, size long, modified timestamp")).collect()
     assert {r.filename: str(r.date) for r in got} == {"a_20240228.nc.parquet": "2024-02-28", "part-0001.parquet": "None", "b_20240231.parquet": "None"}
+
+
+def test_runs_are_kept_up_to_date_by_batches(spark, tmp_path):
+    """Random batches and revisions; after each, the stored runs are those of all events."""
+    import random
+
+    from tidegrid.operators.events import event_runs
+
+    rng, store, model = random.Random(5), Store(spark, str(tmp_path), buckets=2), {}
+    first = dt.date(2023, 12, 1)
+    waiting = [first + dt.timedelta(k) for k in range(60)]  # crosses a year's end, and so a partition's
+    rng.shuffle(waiting)
+    for step in range(9):
+        dates = [waiting.pop() for _ in range(8)] if step % 3 < 2 and len(waiting) >= 8 else rng.sample(sorted({d for d, _, _ in model}), 6)
+        model = {k: v for k, v in model.items() if k[0] not in dates}
+        rows = [(d, y, x, rng.randint(1, 5)) for d in dates for y, x in ((1, 1), (1, 2), (70, 3), (70, 90)) if rng.random() < 0.7]
+        model |= {r[:3]: r[3] for r in rows}
+        store.replace_days("mhw", spark.createDataFrame(rows, "date date, gy int, gx int, cat int"), dates)
+        store.update_runs(dates)
+        if step in (2, 5, 8):
+            got = {tuple(r) for r in store.read("mhw_runs").select("gy", "gx", "start", "end", "days", "peak").collect()}
+            want = set()
+            for y, x in {k[1:] for k in model}:
+                days = sorted(d for d, *cell in model if cell == [y, x])
+                begin = [d for d in days if d - dt.timedelta(1) not in days]
+                for b in begin:
+                    n = next(n for n in range(1, 99) if b + dt.timedelta(n) not in days)
+                    want.add((y, x, b, b + dt.timedelta(n - 1), n, max(model[b + dt.timedelta(k), y, x] for k in range(n))))
+            assert got == want and store.read("mhw_runs").count() == len(want)
+    assert {tuple(r) for r in event_runs(store.read("mhw_daily")).collect()} == got
+    assert {r.part for r in store.read("mhw_runs").select("part").distinct().collect()} == {2020, 2024}
+    store.update_runs([])

@@ -158,7 +158,10 @@ def main(argv: list[str] | None = None) -> int:
             done = session.checkpoint(daily.ingest_product(
                 store, p, selected(rows, args), files, now, box, force=args.force, batch_days=args.batch))
             failed |= outcomes(done)
-            store.merge_files(p, [r.date for r in done.filter("outcome = 'ingested'").collect()])
+            dates = [r.date for r in done.filter("outcome = 'ingested'").collect()]
+            store.merge_files(p, dates)
+            if p == "mhw":
+                store.update_runs(dates)
         store.compact("ingest_status")
         return failed
     if args.command == "prune-list":

@@ -3,20 +3,28 @@
 A run is a property of days, never of buckets, and it ends at a missing date.
 The windows below are partitioned by cell, and a cell has at most one row per
 day of the archive, so no partition grows with the number of cells.
+
+Stored runs carry the classes of their days, so that a batch of new or revised
+days changes the runs it touches and nothing else is read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .series import CELL, cell_keys
 
 
-def event_runs(events: DataFrame) -> DataFrame:
+def event_runs(events: DataFrame, *, classes: bool = False) -> DataFrame:
     """(gy, gx, start, end, days, peak) from (gy, gx, date, cat).
 
+    With `classes`, also the class of each of its days in order, so that the run
+    can be taken apart again.
+
     Consecutive dates minus their row number are constant, which names a run.
     Window and both groupings share one shuffle on the cell, and need none on a
     stored table, whose buckets hold whole cells.
@@ -32,11 +40,37 @@ def event_runs(events: DataFrame) -> DataFrame:
             F.max("date").alias("end"),
             F.count(F.lit(1)).alias("days"),
             F.max("cat").alias("peak"),
+            *([F.transform(F.array_sort(F.collect_list(F.struct("date", "cat"))), lambda d: d["cat"]).alias("classes")] if classes else []),
         )
         .drop("island", "block")
     )
 
 
+def run_days(runs: DataFrame) -> DataFrame:
+    """The days (gy, gx, date, cat) that runs with their classes consist of."""
+    day = F.posexplode("classes").alias("after", "cat")
+    return runs.select(*CELL, "start", day).select(*CELL, F.date_add("start", F.col("after")).alias("date"), "cat")
+
+
+def near(dates: list[dt.date]) -> Column:
+    """Whether a run holds one of these dates or ends beside one, so that a change of them may change it."""
+    return F.exists(F.array(*[F.lit(d) for d in dates]), lambda d: (d >= F.date_sub("start", 1)) & (d <= F.date_add("end", 1)))
+
+
+def renewed_runs(runs: DataFrame, events: DataFrame, dates: list[dt.date]) -> tuple[DataFrame, DataFrame]:
+    """(runs that stay, runs that are new) once the events of these dates are replaced by the given ones.
+
+    `runs` carries classes. Only runs at these dates are taken apart: days that
+    are gone split them, new days prolong or join them.
+    """
+    if not dates:
+        return runs, runs.filter(F.lit(False)).select(*CELL, "start", "end", "days", "peak", "classes")
+    listed = F.array(*[F.lit(d) for d in dates])
+    kept = run_days(runs.filter(near(dates))).filter(~F.array_contains(listed, F.col("date")))
+    fresh = events.filter(F.array_contains(listed, F.col("date"))).select(*CELL, "date", F.col("cat").cast("int").alias("cat"))
+    return runs.filter(~near(dates)), event_runs(kept.unionByName(fresh), classes=True)
+
+
 def run_summary(runs: DataFrame, daily: DataFrame) -> DataFrame:
     """One row per cell of `daily`: the run in progress, the longest, and totals.
 

@@ -234,6 +234,8 @@ def process_days(
         loaded[product] = [r.date for r in mine.filter("outcome = 'ingested'").collect()]
         results = results.unionByName(mine)
     update_rollup(store, loaded, updated_at, regions, grid)
+    if store.exists("mhw_runs"):
+        store.update_runs(loaded.get("mhw", []))
     return ig.date_outcome(results)
 
 

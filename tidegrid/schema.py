@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 SST_DAILY = "date date, gy int, gx int, sst_raw smallint, has_clim boolean"
 SST_CLIM = "mmdd int, gy int, gx int, clim_raw smallint"
 MHW_DAILY = "date date, gy int, gx int, cat tinyint"
+# Runs of event days by cell, with the class of each day.
+MHW_RUNS = "gy int, gx int, start date, end date, days bigint, peak int, classes array<int>"
 REGION_CELLS = "region string, gy int, gx int"
 REGION_CLIM = "region string, mmdd int, mean_clim double, n_cells bigint"
 REGION_DAILY = (

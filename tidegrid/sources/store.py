@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from .. import schema as sc
 from ..functions.calendar import part_key, part_of
 from ..functions.grid import block_of
+from ..operators.events import event_runs, near, renewed_runs
 from ..operators.ingest import latest_version, layout_mismatch, replaced_days
 from ..operators.ranking import archive_edges
+from ..session import checkpoint
 
 DAILY = {"sst": "sst_daily", "mhw": "mhw_daily"}
 SCHEMAS = {
-    "sst_daily": sc.SST_DAILY, "mhw_daily": sc.MHW_DAILY, "sst_clim": sc.SST_CLIM, "region_cells": sc.REGION_CELLS,
+    "sst_daily": sc.SST_DAILY, "mhw_daily": sc.MHW_DAILY, "mhw_runs": sc.MHW_RUNS, "sst_clim": sc.SST_CLIM, "region_cells": sc.REGION_CELLS,
     "region_clim": f"{sc.REGION_CLIM}, updated_at timestamp", "region_daily": f"{sc.REGION_DAILY}, updated_at timestamp",
     "region_parts": f"{sc.REGION_PARTS}, updated_at timestamp", "ingest_status": sc.INGEST_STATUS, "picture_list": sc.PICTURE_LIST,
 }
@@ -43,9 +45,11 @@ KEYS = {
 BUCKETED = {
     "sst_daily": ("part", ["block", "gy", "gx", "date"]), "mhw_daily": ("part", ["block", "gy", "gx", "date"]),
     "sst_clim": ("month", ["block", "gy", "gx", "mmdd"]),
+    "mhw_runs": ("part", ["block", "gy", "gx", "start"]),  # the part of the run's last day
 }
 # Of a new archive. A year of the whole Pacific is some 3 * 10^9 rows and wants about a thousand.
 BUCKETS = 16
+REBUILD_DAYS = 400  # new days from which event runs are built anew
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
@@ -171,7 +175,7 @@ class Store:
         """Add rows to a table's files at a path: one file for each partition and bucket that they touch."""
         key, order = BUCKETED[table]
         columns = [part.strip().rsplit(" ", 1)[0] for part in SCHEMAS[table].split(",")]
-        value = part_key("date") if key == "part" else F.expr("mmdd div 100").cast("int")
+        value = F.expr("mmdd div 100").cast("int") if key == "month" else part_key("end" if table == "mhw_runs" else "date")
         keyed = conform(rows, SCHEMAS[table]).select(*columns, block_of().alias("block"), value.alias(key))
         name = f"tidegrid_write_{uuid.uuid4().hex}"
         self._create(name, table, path)
@@ -255,6 +259,32 @@ class Store:
             self.recluster(product, [part])
         return many
 
+    def update_runs(self, dates: list[dt.date]) -> None:
+        """Bring the stored event runs up to date after days of the classes were loaded or replaced.
+
+        Reads these days and the runs beside them, and rewrites the partitions
+        that hold or held such a run. The first call builds all runs, as does
+        one after so many days that taking runs apart would not pay.
+        """
+        table = "mhw_runs"
+        if not self.exists(table) or len(dates) > REBUILD_DAYS:
+            staged = self._staging(table)
+            self._write_bucketed(table, event_runs(self.read("mhw_daily"), classes=True), staged)
+            if self._names(staged):
+                self._swap(staged, table)
+            return
+        if not dates:
+            return
+        # a run near these dates ends on the day before the first of them at the earliest
+        runs = self.read(table).filter(F.col("part") >= part_of(min(dates) - dt.timedelta(days=1)))
+        stay, new = renewed_runs(runs, self.days("mhw", dates), dates)
+        new = checkpoint(new)
+        touched = runs.filter(near(dates)).select("part").union(new.select(part_key("end"))).distinct()
+        parts = sorted(r.part for r in touched.collect())  # a few
+        if parts:
+            stay = stay.filter(F.col("part").isin(parts)).select(*new.columns)
+            self._rewrite(table, stay.unionByName(new), parts)
+
     def append(self, table: str, rows: DataFrame) -> None:
         conform(rows, SCHEMAS[table]).write.mode("append").parquet(self.path(table))
 
@@ -296,6 +326,8 @@ class Store:
             self.overwrite("ingest_status", self.read("ingest_status").filter(~F.col("product").isin(products)))
         for p in products:
             self._delete(self.path(DAILY[p]))
+        if "mhw" in products:
+            self._delete(self.path("mhw_runs"))
 
     def rewrite_layout(self, table: str, source: str) -> None:
         """Bring a daily table at `source`, in whatever layout, onto this one's.
