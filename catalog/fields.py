@@ -163,7 +163,7 @@ def _fill_sql(height: int, width: int, passes: int = 8) -> str:
     return f"""
         with {PICTURE_SQL.replace("'week'", "'month'")},
         k0 as materialized (select bucket, y, x, cast(round_even((value + 5.0::double)/0.01::double, 0) as int) as code
-                            from pic where cat = 5),
+                            from pic),
         med as (select bucket, cast(floor(quantile_cont(code, 0.5)) as int) as code from k0 group by 1), {', '.join(steps)}
         select m.bucket, g.y, g.x, coalesce(k.code, m.code) as code, o.code is not null as known
         from med m cross join (select cast(unnest(generate_series(0, {height - 1})) as int) as y) g0
@@ -175,7 +175,7 @@ def _fill_sql(height: int, width: int, passes: int = 8) -> str:
 
 @query("neighbour_fill", _fill_sql(20, 24))
 def neighbour_fill(fx):
-    known = _picture(fx, "month").filter("cat = 5").select("bucket", "y", "x", pk.quantise("value", SST).alias("code"))
+    known = _picture(fx, "month").select("bucket", "y", "x", pk.quantise("value", SST).alias("code"))
     return ra.neighbour_fill(known, ["bucket"], 20, 24, tile=16)
 
 

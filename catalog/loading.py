@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegrid.domain import Box, Grid
 from tidegrid.functions.calendar import part_key
 from tidegrid.operators import ingest as ig
 from tidegrid.operators import rollup as ru
+from tidegrid.session import shared_folder
 from tidegrid.sources import gridfiles as gf
+from tidegrid.sources.store import SCHEMAS, Store, conform
 
 from .areas import MEANS, REGION_DAILY_SQL, rounded
 from .fixtures import SMALL_SQL, day, small_rows, with_views
@@ -110,6 +115,24 @@ def clim_load_pending(fx):
     return ig.clim_pending(incoming, fx.clim.filter("clim_raw > 2400"))
 
 
+def scratch(fx) -> Store:
+    """A store of its own for a query that writes."""
+    return Store(fx.spark, f"{shared_folder(fx.spark)}/archive-{uuid.uuid4().hex}", buckets=8)
+
+
+@query("clim_load_stored", with_views(f"""
+    select mmdd, gy, gx, clim_raw from fx_clim where clim_raw > 2400
+    union all select mmdd, gy, gx, clim_raw from ({CLIM_SMALL}) where gy between 1 and 3 and gx between 2 and 6 and clim_raw is not null
+      and mmdd not in (select mmdd from fx_clim where clim_raw > 2400)""", "fx_clim"))
+def clim_load_stored(fx):
+    """The stored climatology after the calendar days it lacked have been added."""
+    store = scratch(fx)
+    store.append_climatology(fx.clim.filter("clim_raw > 2400"))
+    new = ig.clim_pending(gf.clim_cells(small_rows(fx, "sst", key="mmdd"), CUT, SMALL), store.read("sst_clim"))
+    store.replace_climatology(store.read("sst_clim").select(*new.columns).unionByName(new))
+    return store.read("sst_clim").select("mmdd", "gy", "gx", F.col("clim_raw").cast("int").alias("clim_raw"))
+
+
 @query("daily_has_clim", with_views("select date, gy, gx, sst_raw, has_clim from fx_sst", "fx_sst", grid="wide"))
 def daily_has_clim(fx):
     return fx.on("wide").sst
@@ -145,8 +168,54 @@ def replace_day(fx):
     select cast(year(date) as int) as year, count(*) as old_rows, count(*) filter (where has_clim) as new_rows, false as same_rows
     from fx_sst group by 1 having count(*) <> count(*) filter (where has_clim)""", "fx_sst", grid="wide"))
 def layout_verify(fx):
-    wide = fx.on("wide")
-    return ig.layout_mismatch(wide.sst, wide.sst.filter("has_clim"))
+    """A table of days against a written copy that lost some rows."""
+    wide, store = fx.on("wide"), scratch(fx)
+    store.append_days("sst", wide.sst.filter("has_clim"))
+    whole = conform(wide.sst, SCHEMAS["sst_daily"])
+    return ig.layout_mismatch(whole, store.read("sst_daily").drop("block", "part"))
+
+
+@query("replace_day_stored", with_views(f"""
+    select date, gy, gx, sst_raw, cast(case when year(date) >= 2024 then year(date) else year(date)//10*10 end as int) as part from (
+      select date, gy, gx, sst_raw from fx_cells where date not in (select cast(o_orderdate as date) from orders where {URGENT})
+      union all
+      select cast(o_orderdate as date), cast(900 + 500*(o_custkey % 4) as int), cast(2400 + 600*(o_custkey % 5) as int),
+             max(cast(floor(o_totalprice/200) as int)) from orders where {URGENT} group by 1, 2, 3)""", "fx_cells"))
+def replace_day_stored(fx):
+    """The same through the store: days appended, then replaced in their partitions."""
+    store = scratch(fx)
+    store.append_days("sst", fx.cells.withColumn("has_clim", F.lit(True)))
+    incoming = (
+        fx.table("orders").filter(URGENT)
+        .select(F.col("o_orderdate").cast("date").alias("date"), *fx._cell("o_custkey", "o_custkey"),
+                F.expr("cast(floor(o_totalprice/200) as int)").alias("v"))
+        .groupBy("date", "gy", "gx").agg(F.max("v").alias("sst_raw")).withColumn("has_clim", F.lit(True))
+    )
+    dates = [r.date for r in incoming.select("date").distinct().collect()]  # days of the archive
+    store.replace_days("sst", incoming, dates)
+    return store.read("sst_daily").select("date", "gy", "gx", F.col("sst_raw").cast("int").alias("sst_raw"), "part")
+
+
+@query("drop_regions", with_views(REGION_DAILY_SQL + " where region not in ('south', 'east')", "fx_region_daily"))
+def drop_regions(fx):
+    """A stored rollup after two regions were removed from it."""
+    store = scratch(fx)
+    store.append("region_daily", fx.rollup.withColumn("updated_at", F.lit(dt.datetime(2024, 1, 1))))
+    store.drop_regions("region_daily", ["south", "east"])
+    return rounded(store.latest("region_daily").drop("updated_at"), *MEANS)
+
+
+@query("fresh_reload", with_views("""
+    select product, date, status, n_rows, remote_size, (select count(*) from fx_cells where false) as sst_rows from fx_latest where product <> 'sst'""",
+    "fx_latest", "fx_cells"))
+def fresh_reload(fx):
+    """The status that is left after one product was emptied for a fresh load, and its rows, which are gone."""
+    store = scratch(fx)
+    store.append_days("sst", fx.cells.withColumn("has_clim", F.lit(True)))
+    empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in ("filename string", "file_size bigint", "source_url string", "remote_modified string", "message string")}
+    store.append("ingest_status", _latest(fx).withColumns(empty))
+    store.reset(["sst"])
+    return store.status().select("product", "date", "status", "n_rows", "remote_size", F.lit(store.read("sst_daily").count()).alias("sst_rows"))
 
 
 # ------------------------------------------------------------------------ status

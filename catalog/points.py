@@ -233,18 +233,23 @@ def value_rank(fx):
 
 
 @query("series_summary", with_views("""
-    select count(*) as n, round(avg(value), 6) as mean,
-           (select value from s where bucket = date '1998-05-01') as current_value,
-           (select 1 + count(*) from s where value > (select value from s where bucket = date '1998-05-01')) as rank,
-           round((select avg(value) from s where bucket > date_add((select max(bucket) from s), -365)), 6)
-             as recent_mean
-    from s""", "fx_anom", extra=CELL_MONTHS.replace("from fx_anom", f"from fx_anom where {AT}")))
+    select gy, gx, n, round(mean, 6) as mean, max_bucket, max_value, min_bucket, min_value, round(trend, 6) as trend_per_decade,
+           round(recent, 6) as recent_mean, cast(null as bigint) as active_hits, cast(null as bigint) as active_of,
+           current_bucket, current_value, case when current_value is not null then over + 1 end as rank, round(recent - mean, 6) as recent_vs_mean, last_bucket
+    from (
+      select s.gy, s.gx, count(*) as n, avg(value) as mean, max(bucket) as last_bucket,
+             arg_max(bucket, (value, -epoch(cast(bucket as timestamp)))) as max_bucket, max(value) as max_value,
+             arg_min(bucket, (value, epoch(cast(bucket as timestamp)))) as min_bucket, min(value) as min_value,
+             case when min(bucket) < max(bucket) then regr_slope(value, cast(date_diff('day', date '1970-01-01', bucket) as double))*3652.5 end as trend,
+             avg(value) filter (where bucket > date_add(b, -365)) as recent,
+             any_value(c.bucket_) as current_bucket, any_value(c.value_) as current_value, count(*) filter (where value > c.value_) as over
+      from s join (select gy, gx, max(bucket) as b from s group by 1, 2) l using (gy, gx)
+      left join (select gy, gx, bucket as bucket_, value as value_ from s where bucket = date '1998-05-01') c using (gy, gx)
+      group by 1, 2)""", "fx_anom", extra=CELL_MONTHS))
 def series_summary(fx):
-    one = se.point_series(fx.archive, *POINT, "anom", "monthly").select("bucket", "value")
-    out = st.summarise(one, [], day("1998-05-01"))
-    return out.select(
-        "n", F.round("mean", 6).alias("mean"), "current_value", "rank", F.round("recent_mean", 6).alias("recent_mean")
-    )
+    out = st.summarise(_months(fx), KEYS, day("1998-05-01"))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "trend_per_decade", "recent_mean", "recent_vs_mean")})
+
 
 
 @query("whole_classes", with_views("""

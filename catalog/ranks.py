@@ -150,8 +150,14 @@ def same_month_rank(fx):
 
 
 @query("index_state", with_views("""
-    select r.region, round(r.idx, 6) as "index", cast(r.n as bigint) as seasons, m.month as latest_month,
-           round(m.anom, 6) as latest_value, m.n_days as latest_days,
+    select r.region, concat(list_element(['DJF','JFM','FMA','MAM','AMJ','MJJ','JJA','JAS','ASO','SON','OND','NDJ'],
+                               month(r.season_end)), ' ', year(r.season_end)) as season,
+           r.season_end, round(r.idx, 6) as "index",
+           case r.sign when 1 then 'el_nino' when -1 then 'la_nina' else 'neutral' end as phase,
+           case when r.sign = 0 then null when abs(r.idx) >= 2 then 'very strong' when abs(r.idx) >= 1.5 then 'strong'
+                when abs(r.idx) >= 1 then 'moderate' else 'weak' end as strength,
+           cast(r.n as bigint) as seasons, r.n >= 5 as episode, m.month as latest_month,
+           round(m.anom, 6) as latest_value, m.n_days as latest_days, m.n_days < day(last_day(m.month)) as latest_partial,
            (select cast(1 + count(*) as int) from fx_monthly x where x.region = m.region and month(x.month) = month(m.month)
               and x.anom > m.anom) as latest_rank,
            (select count(*) from fx_monthly x where x.region = m.region and month(x.month) = month(m.month)) as latest_of
@@ -159,10 +165,7 @@ def same_month_rank(fx):
      and m.month = (select max(month) from fx_monthly x where x.region = r.region)""",
     "fx_monthly", extra=f"{SEASONS}, {EPISODE}"))
 def index_state(fx):
-    out = sa.index_state(fx.rollup, fx.normals)
-    return rounded(out, "index", "latest_value").select(
-        "region", "index", "seasons", "latest_month", "latest_value", "latest_days", "latest_rank", "latest_of"
-    )
+    return rounded(sa.index_state(fx.rollup, fx.normals), "index", "latest_value")
 
 
 @query("doy_normal", with_views(f"""

@@ -223,8 +223,27 @@ def point_report(fx):
 
 
 @query("extent_report", with_views("""
-    select region, max(date) as date, round(arg_max(extent, date), 1) as extent, count(*) as "of", '1991-2020' as baseline
-    from (select region, date, mhw_area_frac*100 as extent from fx_region_daily where region = 'pacific') group by region""",
-    "fx_region_daily"))
+    select region, date, round(extent, 1) as extent, round(normal, 1) as normal, rank, "of", round(extent/nullif(normal, 0), 1) as ratio,
+           case when round(extent/nullif(normal, 0), 1) is null then 'rank'
+                when round(extent/nullif(normal, 0), 1) >= 1.15 then 'above' when round(extent/nullif(normal, 0), 1) <= 0.85 then 'below' else 'about normal' end as wording,
+           '1991-2020' as baseline, 7 as window_days
+    from (select s.region, l.date, l.extent,
+                 avg(s.extent) filter (where year(s.date) between 1991 and 2020 and
+                   least(abs(dayofyear(s.date) - dayofyear(l.date)), 366 - abs(dayofyear(s.date) - dayofyear(l.date))) <= 7) as normal,
+                 1 + count(*) filter (where s.extent > l.extent) as rank, count(*) as "of"
+          from x s join (select region, max(date) as date, arg_max(extent, date) as extent from x group by region) l on l.region = s.region
+          group by s.region, l.date, l.extent)""", "fx_region_daily",
+    extra="x as (select region, date, round(mhw_area_frac*100, 9) as extent from fx_region_daily where region = 'pacific')"))
 def extent_report(fx):
-    return rp.extent_report(fx.rollup).select("region", "date", "extent", "of", "baseline")
+    return rp.extent_report(fx.rollup.withColumn("mhw_area_frac", F.round("mhw_area_frac", 11)))
+
+
+@query("ranking_export_annual", with_views("""
+    select year, rank, printf('%.6f', mean) as "mean_anom_degC", printf('%.6f', sd) as sd, n as days, cast(partial as varchar) as partial
+    from (""" + _ranking_sql("(select date, raw as value from fx_anom where gy = 1900 and gx = 3600)", scale="0.01")
+    + ") where month = 0", "fx_anom", extra=EDGES))
+def ranking_export_annual(fx):
+    days = se.daily_values(fx.archive, "anom", cell=CELL).select("date", F.col("raw").alias("value"))
+    ranking = rk.ranked_periods(days, rk.archive_edges(fx.sst), scale=0.01)
+    ranking = ranking.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+    return ex.ranking_rows(ranking, "anom", precision=6, basis="year")

@@ -27,17 +27,21 @@ def build(app: str = "tidegrid", master: str | None = None, **extra: str) -> Spa
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage on reliable storage, so a lost executor costs nothing.
-
-    The folder is the one the cluster names. On one machine, as in tests, a
-    temporary one does where none is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one the cluster names. On one
+    machine, as in tests, a temporary one does where none is set."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not folder and not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage on reliable storage, so a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
