@@ -9,16 +9,21 @@ from array import array
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"  # a file of the public tokenizers' folder, or a path of one's own
-CACHE_WORDS = 400_000  # words whose ids a worker keeps at most in each of two generations
+CACHE_BYTES = 80 << 20  # what a worker keeps of words and their ids in each of two generations, about
+ENTRY_BYTES = 200  # of an entry, besides the word's own length
 # The vocabulary's word rule, for the characters below U+0180 (fixed: contractions, letters, single numbers, other marks).
 LATIN = [chr(c) for c in range(33, 0x180)]
 LETTERS, NUMBERS, MARKS = ("".join(c for c in LATIN if unicodedata.category(c)[0] in kinds) for kinds in ("L", "N", "PS"))
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PARTS = re.compile(f"{CONTRACTIONS}|[{re.escape(LETTERS)}]+|[{re.escape(NUMBERS)}]|[{re.escape(MARKS)}]+")
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN_WORD = re.compile(rb"[!-;=-~]+")  # visible ASCII without the beginning of a special token
+# The alphabet of bytes: visible ones stand for themselves, the others for U+0100, U+0101, ... in order (fixed).
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in VISIBLE)}
 PLAIN = re.compile(f"[{re.escape((LETTERS + NUMBERS + MARKS).replace(chr(0x130), ''))}]+")
 
 _encoders: dict[str, "Encoder"] = {}
@@ -45,32 +50,38 @@ class Encoder:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[bytes | str, bytes] = {}
+        self.size = 0
 
     def _part(self, part: bytes | str) -> bytes:
+        """Ids of a part of a word."""
         ids = self.parts.get(part)
         if ids is None:
-            # visible ASCII stands for itself in the vocabulary's alphabet of bytes
-            written = part.decode() if isinstance(part, bytes) else self.bytewise.pre_tokenize_str(part)[0][0]
+            written = part.decode() if isinstance(part, bytes) else part.encode().decode("latin-1").translate(ALPHABET)
             ids = self.parts[part] = array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
+            self.size += ENTRY_BYTES + len(part)
         return ids
 
     def _word(self, word: bytes) -> bytes:
         """Ids of a word that the young generation does not hold, as 16-bit integers."""
-        if len(self.words) >= CACHE_WORDS:
-            self.words, self.older, self.parts = {}, self.words, {}
+        self.size += ENTRY_BYTES + len(word)
+        if self.size > CACHE_BYTES:
+            self.words, self.older, self.parts, self.size = {}, self.words, {}, 0
         found = self.older.get(word)
         if found is None:
-            text = word.decode()
-            if b"<|" in word or not PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
-                found = array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-            elif text.isascii():
+            if PLAIN_WORD.fullmatch(word):  # letters and marks of ASCII, which stand for themselves in the alphabet
                 found = b"".join([self._part(p) for p in ASCII_PARTS.findall(word.lower())])
             else:
-                found = b"".join([self._part(p) for p in WORD_PARTS.findall(text.lower())])
+                text = word.decode()
+                if b"<|" in word or not PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+                    found = array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+                else:
+                    found = b"".join([self._part(p) for p in WORD_PARTS.findall(text.lower())])
         self.words[word] = found
         return found
 
