@@ -611,3 +611,23 @@ def test_runs_are_kept_up_to_date_by_batches(spark, tmp_path):
     assert {tuple(r) for r in event_runs(store.read("mhw_daily")).collect()} == got
     assert {r.part for r in store.read("mhw_runs").select("part").distinct().collect()} == {2020, 2024}
     store.update_runs([])
+
+
+def test_a_replayed_batch_changes_nothing(spark, store, day, monkeypatch):
+    d, clock, drawn = day("2024-02-28"), iter(T0 + dt.timedelta(hours=i) for i in range(20)), []
+    monkeypatch.setattr(stream, "redraw", lambda s, done, width, **where: drawn.append(({r.date for r in done.filter("outcome = 'ingested'").collect()}, width)))
+    load = stream.loader(store, "sst", ALL, "s", regions=REGIONS, grid=G, clock=lambda: next(clock), width=8)
+    batch = lambda v: grid_rows(spark, d, lambda r, c: v).selectExpr("*", "'f' as filename", "cast(1 as long) as size", "'m' as modified")
+    state = lambda: ({r.sst_raw for r in store.read("sst_daily").collect()}, store.read("region_daily").count(), len(drawn), store.read("stream_ledger").count())
+    real = Store.append
+    monkeypatch.setattr(Store, "append", lambda self, t, rows: (_ for _ in ()).throw(OSError("lost")) if t == "stream_ledger" else real(self, t, rows))
+    with pytest.raises(OSError):
+        load(batch(5), 0)  # broken off before it was noted
+    monkeypatch.setattr(Store, "append", real)
+    load(batch(5), 0)
+    first = state()
+    assert first[0] == {5} and first[3] == 1 and drawn == [({d}, 8)] * 2
+    load(batch(6), 0)
+    assert state() == first
+    load(batch(7), 1)
+    assert state()[0] == {7} and state()[3] == 2

@@ -29,6 +29,8 @@ INGEST_STATUS = (
 )
 # One row for each time a picture was written.
 PICTURE_LIST = "variable string, period string, bucket date"
+# One row for each micro-batch of a stream that has taken effect.
+STREAM_LEDGER = "stream string, epoch bigint, updated_at timestamp"
 # Full-grid source file, one row per grid row.
 GRID_ROWS = "date date, row int, values array<smallint>"
 

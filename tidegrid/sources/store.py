@@ -37,6 +37,7 @@ SCHEMAS = {
     "sst_daily": sc.SST_DAILY, "mhw_daily": sc.MHW_DAILY, "mhw_runs": sc.MHW_RUNS, "sst_clim": sc.SST_CLIM, "region_cells": sc.REGION_CELLS,
     "region_clim": f"{sc.REGION_CLIM}, updated_at timestamp", "region_daily": f"{sc.REGION_DAILY}, updated_at timestamp",
     "region_parts": f"{sc.REGION_PARTS}, updated_at timestamp", "ingest_status": sc.INGEST_STATUS, "picture_list": sc.PICTURE_LIST,
+    "stream_ledger": sc.STREAM_LEDGER,
 }
 KEYS = {
     "region_clim": ["region", "mmdd"], "region_daily": ["region", "date"], "region_parts": ["region", "date", "product"], "ingest_status": ["product", "date"],
