@@ -631,3 +631,20 @@ def test_a_replayed_batch_changes_nothing(spark, store, day, monkeypatch):
     assert state() == first
     load(batch(7), 1)
     assert state()[0] == {7} and state()[3] == 2
+
+
+def test_an_outline_is_brought_in_and_rolled_up(spark, store, day, tmp_path):
+    import json
+
+    square = [[[0.0, -80.0], [200.0, -80.0], [200.0, 80.0], [0.0, 80.0], [0.0, -80.0]]]
+    (tmp_path / "o.json").write_text(json.dumps({"type": "Feature", "geometry": {"type": "Polygon", "coordinates": square}}))
+    with pytest.raises(ValueError):
+        pl.store_outline(store, str(tmp_path / "o.json"), "nino34", G)
+    pl.store_outline(store, str(tmp_path / "o.json"), "mine", G)
+    assert {r.region for r in store.read("region_cells").select("region").distinct().collect()} == {"tri", "mine"}
+    assert pl.region_names(store)[-2:] == ["mine", "tri"] and pl.region_names(store, REGIONS) == list(REGIONS)
+    d = day("2024-02-28")
+    store.append_days("sst", ig.flag_climatology(gf.sst_cells(grid_rows(spark, d), ALL, G), store.read("sst_clim")))
+    only = {"mine": outlined("mine", "Mine", (((0.0, -80.0), (200.0, -80.0), (200.0, 80.0), (0.0, 80.0)),))}
+    pl.build_region_daily(store, T0, only, grid=G)
+    assert rolled(store)["mine", "2024-02-28"].n_cells == store.read("region_cells").filter("region = 'mine'").count() > 0

@@ -57,6 +57,9 @@ def parser() -> argparse.ArgumentParser:
     back.add_argument("--limit", type=int, help="load so many files that are not loaded yet")
     back.add_argument("--newest-first", action="store_true", help="with --limit")
     command("prune-list", "print the landed files that no open week or month needs any more", dates=True, products=True)
+    outline = command("outline", "bring in the outline of a polygon region")
+    outline.add_argument("--name", required=True)
+    outline.add_argument("--geojson", required=True)
     command("mask", "rebuild the cells of polygon regions", regions=True)
     roll = command("rollup", "build the daily means of all regions", dates=True, regions=True)
     roll.add_argument("--clim", action="store_true")
@@ -171,15 +174,20 @@ def main(argv: list[str] | None = None) -> int:
         for p in args.product or ["sst", "mhw"]:
             print_rows(ig.retention_list(daily.landed(store, args.landing, p)[1], args.date).select("product", "date", "filename").orderBy("date"))
         return 0
+    if args.command == "outline":
+        daily.store_outline(store, args.geojson, args.name)
+        print_rows(store.read("region_cells").filter(F.col("region") == args.name).groupBy("region").count())
+        return 0
     if args.command == "mask":
         daily.build_region_cells(store, chosen)
         print_rows(store.read("region_cells").groupBy("region").count().orderBy("region"))
         return 0
     if args.command == "rollup":
         daily.build_region_cells(store, chosen)
+        named = chosen if args.region else None  # without names, stored outlines too
         if args.clim:
-            daily.build_region_clim(store, now, chosen)
-        daily.build_region_daily(store, now, chosen, args.date or args.start, args.date or args.end, fresh=args.fresh)
+            daily.build_region_clim(store, now, named)
+        daily.build_region_daily(store, now, named, args.date or args.start, args.date or args.end, fresh=args.fresh)
         for table in ("region_daily", "region_parts"):
             store.compact(table)
         return 0

@@ -27,14 +27,23 @@ log = logging.getLogger(__name__)
 BATCH_DAYS = 30
 
 
+def region_names(store: Store, regions: dict[str, Region] | None = None) -> list[str]:
+    """These regions; if none are given, the configured ones and all whose outline has been stored."""
+    if regions is not None:
+        return list(regions)
+    stored = [r.region for r in store.read("region_cells").select("region").distinct().collect()]
+    return [*REGIONS, *sorted(set(stored) - set(REGIONS))]
+
+
 def region_dimension(store: Store, regions: dict[str, Region] | None = None, grid: Grid = GLOBAL) -> rg.RegionRows:
     """Boxes from the configuration, polygons from the stored cells."""
+    names = region_names(store, regions)
     regions = REGIONS if regions is None else regions
     dims = []
     boxes = {k: r.box(grid) for k, r in regions.items() if not r.masked}
     if boxes:
         dims.append(rg.box_rows(store.spark, boxes, grid))
-    masked = [k for k, r in regions.items() if r.masked]
+    masked = [k for k in names if k not in boxes]
     if masked:
         cells = store.read("region_cells").filter(F.col("region").isin(masked))
         dims.append(rg.interval_rows(rg.cell_intervals(cells), grid))
@@ -47,6 +56,14 @@ def build_region_cells(store: Store, regions: dict[str, Region] | None = None, g
     store.set_region_cells(rg.interval_cells(rg.polygon_intervals(edges, grid)), list(regions))
 
 
+def store_outline(store: Store, path: str, region: str, grid: Grid = GLOBAL) -> None:
+    """Bring in a polygon region from a GeoJSON feature, in place of an earlier outline of that name."""
+    if region in REGIONS and not REGIONS[region].masked:
+        raise ValueError(f"{region} is a box")
+    edges = rg.ring_edges(rg.rings_from_geojson(store.spark, path, region))
+    store.set_region_cells(rg.interval_cells(rg.polygon_intervals(edges, grid)), [region])
+
+
 def load_climatology(store: Store, rows: DataFrame, box: Box, *, force: bool = False, grid: Grid = GLOBAL) -> None:
     """Load the calendar days that are not there yet, or everything again.
 
@@ -88,15 +105,15 @@ def build_region_daily(
     fresh: bool = False, grid: Grid = GLOBAL,
 ) -> None:
     """Roll up a range for all regions in one pass."""
-    regions = REGIONS if regions is None else regions
+    names = region_names(store, regions)
     if fresh:
         for table in ("region_daily", "region_parts"):
-            store.drop_regions(table, list(regions))
+            store.drop_regions(table, names)
     dim = region_dimension(store, regions, grid)
     for product, table in DAILY.items():
         parts = ru.region_parts(date_range(store.read(table), start, end), product, dim)
         store.append("region_parts", parts.withColumn("updated_at", F.lit(updated_at)))
-    parts = date_range(store.latest("region_parts"), start, end).filter(F.col("region").isin(list(regions)))
+    parts = date_range(store.latest("region_parts"), start, end).filter(F.col("region").isin(names))
     store.append("region_daily", ru.rollup_of(parts).withColumn("updated_at", F.lit(updated_at)))
 
 
@@ -109,7 +126,7 @@ def update_rollup(
     stored parts. Days whose other product was loaded without a rollup, as by a
     backfill, have no parts yet, and get them now.
     """
-    names = list(REGIONS if regions is None else regions)
+    names = region_names(store, regions)
     changed = sorted({d for dates in loaded.values() for d in dates})
     if not changed or not names:
         return
