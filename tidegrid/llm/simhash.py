@@ -20,9 +20,12 @@ SIMILARITY. The bits are those of the set, so repeated lines do not move them.
 Blocks are of texts that agree in a band of BAND minima of their sets under
 different hashes, which a pair does with its similarity to the power of BAND,
 whatever the size of the table: a pair at 0.8 misses all BANDS with a chance of
-3 in a million. Blocks propose a spanning forest of their near pairs first. Its true links make
-sets; then all near pairs between different sets are proposed and decided, so
-that no link is lost behind a false one.
+3 in a million. Blocks propose a spanning forest of their near pairs, which the
+texts confirm or not. What the forest holds together is a cluster; where its
+true links leave several sets in one, the cluster is dealt into tiles of a
+bounded number of shingles, and for every two tiles one task counts exactly what
+their texts share, so that no link is lost behind a false one. What leaves a
+task is links; no pairs are listed.
 
 Results in special cases: no words (or a null text) give the fingerprint zero,
 which links like any other; fewer words than a shingle has give one shingle of
@@ -46,7 +49,11 @@ SIMILARITY = (4, 5)  # of two sets of shingles, as a fraction
 BUDGET = 76  # of 256 bits: a pair of texts at 0.8 differs in 39 of them (48 at most, in the shortest texts), give or take 6
 CHUNK_ROWS = 250_000  # fingerprints a task joins at once, a larger block apart
 BANDS, BAND = 24, 4  # blocks of a text in a table of wide fingerprints, and the minima that make one
+WIDE_ROWS = 65_536  # the same of wide ones
+TILE_SHINGLES, SET_SHINGLES = 1 << 17, 128  # of a tile, about, where a set counts as some more; a larger text has its own
+COLUMNS_AT_ONCE = 4096  # shingles that are counted together
 PAIRS_AT_ONCE = 500_000  # node pairs that go down together
+LEAF_PAIRS, WIDE_LEAF_PAIRS = 4, 16_384  # pairs of rows under two nodes that are compared at once; a wide budget prunes late
 PAIRS_IN_BATCH = 65_536  # proposed pairs in a batch that leaves a task
 SHINGLES_AT_ONCE = 65_536
 
@@ -157,12 +164,10 @@ def spanning(labels: np.ndarray, p: np.ndarray, q: np.ndarray, off: np.ndarray):
         labels[:] = joined_roots(labels, p[pick], q[pick])
 
 
-def near_pairs(prints: np.ndarray, group: np.ndarray, budget: int, labels: np.ndarray, sizes: np.ndarray | None = None, join: bool = True):
-    """Pairs of rows (sorted by group and print) within the budget whose sets, as `labels` names them by their smallest row, differ.
+def near_pairs(prints: np.ndarray, group: np.ndarray, budget: int, labels: np.ndarray, sizes: np.ndarray | None = None):
+    """Join in `labels`, which name sets by their smallest row, rows (sorted by group and print) within the budget.
 
-    With `join`, sets are joined in `labels` as pairs are met; with `sizes` (of
-    the rows' sets of shingles) too, what comes out is a spanning forest. Without
-    `join`, all pairs between the given sets come out.
+    With `sizes` (of the rows' sets of shingles), the pairs that joined come out, a spanning forest.
 
     The nodes of a group's trie are ranges of its rows. Levels are the bits of the
     first word, then leaves: what is left of a pair is then counted at once.
@@ -182,23 +187,16 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, budget: int, labels: np.nd
         lo1, hi1, lo2, hi2, off = (x[keep] for x in (lo1, hi1, lo2, hi2, off))
         if not len(lo1):
             continue
-        leaves = ((hi1 - lo1) * (hi2 - lo2) <= 4) | (level == 64)
+        leaves = ((hi1 - lo1) * (hi2 - lo2) <= (LEAF_PAIRS if sizes is None else WIDE_LEAF_PAIRS)) | (level == 64)
         if leaves.any():
-            n1, n2 = (hi1 - lo1)[leaves], (hi2 - lo2)[leaves]
-            which = rows_of_items(n1 * n2)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(n1 * n2) - n1 * n2, n1 * n2)
-            i, j = lo1[leaves][which] + place // n2[which], lo2[leaves][which] + place % n2[which]
-            i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), PAIRS_AT_ONCE):
-                p, q = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
+            for i, j in pairs_under(lo1[leaves], hi1[leaves], lo2[leaves], hi2[leaves]):
+                p, q = i[i < j], j[i < j]
                 if sizes is not None:
                     able = (labels[p] != labels[q]) & similar_sizes(sizes[p], sizes[q])
                     p, q = p[able], q[able]
                 off_by = np.bitwise_count(prints[p] ^ prints[q]).sum(axis=1, dtype=np.int32)
                 near = off_by <= budget
-                if not join:
-                    yield p[near], q[near]
-                elif sizes is not None:
+                if sizes is not None:
                     yield from spanning(labels, p[near], q[near], off_by[near])
                 else:
                     labels[:] = joined_roots(labels, p[near], q[near])
@@ -221,6 +219,20 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, budget: int, labels: np.nd
             todo.append((*(np.concatenate([s[k] for s in side]) for k in range(5)), level + 1))
 
 
+def pairs_under(lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray):
+    """All pairs of rows of each two ranges, in parts of about PAIRS_AT_ONCE."""
+    n2, size = hi2 - lo2, (hi1 - lo1) * (hi2 - lo2)
+    ends, start = np.cumsum(size), 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + PAIRS_AT_ONCE, "right")))
+        for first in range(0, int(size[start : stop].sum()), PAIRS_AT_ONCE):  # one pair of ranges may hold more
+            place = np.arange(first, min(first + PAIRS_AT_ONCE, int(size[start:stop].sum())))
+            which = start + np.searchsorted(ends[start:stop] - ends[start] + size[start], place, "right")
+            place -= (ends[which] - size[which]) - (ends[start] - size[start])
+            yield lo1[which] + place // n2[which], lo2[which] + place % n2[which]
+        start = stop
+
+
 def split_at(word: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
     """In each sorted range, the first row whose bit at this level is set (rows agree on the bits before)."""
     bit = np.uint64(1) << np.uint64(63 - level)
@@ -318,12 +330,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def whole_blocks(batches):
-    """Tables of about CHUNK_ROWS rows, cut where the block changes (rows come by block)."""
+    """Tables of about WIDE_ROWS rows, cut where the block changes (rows come by block)."""
     held, count = [], 0
     for batch in batches:
         held.append(batch)
         count += batch.num_rows
-        if count >= CHUNK_ROWS:
+        if count >= WIDE_ROWS:
             table = pa.Table.from_batches(held).combine_chunks()
             block = table["block"].to_numpy()
             stop = int(np.flatnonzero(block[1:] != block[:-1]).max(initial=-1)) + 1
@@ -336,12 +348,7 @@ def whole_blocks(batches):
 
 
 def proposed(dealt: DataFrame, bits: int, budget: int) -> DataFrame:
-    """Pairs of keys (a, b) of the same block whose fingerprints and sizes are near.
-
-    Of rows without a column `known`, a spanning forest in each block; with it, all
-    pairs whose `known` differs.
-    """
-    again = "known" in dealt.columns
+    """Pairs of keys (a, b), a spanning forest of those of the same block whose fingerprints and sizes are near."""
 
     def join(batches):
         for table in whole_blocks(batches):
@@ -349,13 +356,9 @@ def proposed(dealt: DataFrame, bits: int, budget: int) -> DataFrame:
             words = np.ascontiguousarray(raw).view(">u8").astype(np.uint64)
             block, sizes, labels = table["block"].to_numpy(), table["n"].to_numpy(), np.arange(len(words))
             group = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
-            if again:
-                known = table["known"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
-                _, first, own = np.unique(group * (known.max() + 1) + known, return_index=True, return_inverse=True)
-                labels = first[own]
             keys = table["key"].combine_chunks()
             held, count = [], 0
-            for pair in near_pairs(words, group, budget, labels, sizes, not again):
+            for pair in near_pairs(words, group, budget, labels, sizes):
                 held.append(pair)
                 count += len(pair[0])
                 if count >= PAIRS_IN_BATCH:
@@ -376,18 +379,64 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(shared * (part + whole) >= (F.size("of_a") + F.size("of_b")) * part).select("a", "b")
 
 
+def shared_counts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many ids each two of some sets share; the sets' ids lie end to end."""
+    row = rows_of_items(counts)
+    _, column, n = np.unique(ids, return_inverse=True, return_counts=True)
+    common = n > 1  # what only one set has is shared by no two
+    number = np.cumsum(common) - 1
+    row, column = row[common[column]], number[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(counts), len(counts)), np.float64)
+    for first in range(0, int(common.sum()), COLUMNS_AT_ONCE):
+        a, z = np.searchsorted(column, [first, first + COLUMNS_AT_ONCE])
+        there = np.zeros((len(counts), COLUMNS_AT_ONCE), np.float32)
+        there[row[a:z], column[a:z] - first] = 1  # sums of ones below 2^24 are exact
+        out += there @ there.T
+    return out
+
+
+def links_between(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different `known` sets of each cluster.
+
+    sets: key, shingles, cluster, known. A spanning forest of the links that two
+    tiles have between them is returned.
+    """
+    whole = sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles") + SET_SHINGLES) / TILE_SHINGLES).cast("int").alias("tiles"), F.countDistinct("known").alias("sets"))
+    rows = sets.join(whole.where("sets > 1"), "cluster").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    rows = rows.select("cluster", "key", "known", "shingles", "tile", partner.alias("other"))
+    rows = rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+
+    def decide(table: pa.Table) -> pa.Table:
+        column = table["shingles"].combine_chunks()
+        counts = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        known = table["known"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        _, first, own = np.unique(known, return_index=True, return_inverse=True)
+        part, both = SIMILARITY
+        shared = shared_counts(column.flatten().to_numpy(), counts)
+        p, q = np.nonzero(np.triu((shared * (part + both) >= (counts[:, None] + counts) * part) & (known[:, None] != known), 1))
+        labels, found = first[own], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found += list(spanning(labels, p, q, np.zeros(len(p), np.int64)))
+        keys = table["key"].combine_chunks()
+        return pa.table([keys.take(pa.array(np.concatenate(x))) for x in zip(*found)], ["a", "b"])
+
+    return rows.select("cluster", "low", "high", "key", "known", "shingles").groupBy("cluster", "low", "high").applyInArrow(decide, "a string, b string")
+
+
 def similar_groups(docs: DataFrame, width: int, bits: int, budget: int) -> DataFrame:
     """doc_id, fingerprint and component_id of each row: links are pairs that the fingerprints propose and the texts confirm."""
     found = stored(sketches(docs, width, bits))
     classes = stored(found.groupBy("key", "n", "fingerprint", "blocks").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")))
-    dealt = classes.select("key", "n", "fingerprint", F.explode("blocks").alias("block"))
-    chosen = stored(proposed(dealt, bits, budget))
+    chosen = stored(proposed(classes.select("key", "n", "fingerprint", F.explode("blocks").alias("block")), bits, budget))
     nodes = stored(chosen.select(F.col("a").alias("key")).union(chosen.select("b")).distinct())
     sets = stored(shingle_sets(docs, stored(classes.join(nodes, "key").select("text_key").distinct()), width))
     sure = stored(verified(chosen, sets))
     known = nodes.join(components(sure), F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("known"))
-    more = stored(proposed(dealt.join(stored(known), "key"), bits, budget).join(chosen, ["a", "b"], "left_anti"))
-    reach = components(stored(sure.union(verified(more, sets))))
+    clusters = components(chosen).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    more = links_between(sets.join(clusters, "key").join(stored(known), "key"))
+    reach = components(stored(sure.union(more)))
     named = stored(classes.join(reach, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component")))
     least = stored(named.groupBy("component").agg(F.min("first").alias("component_id")))
     named = stored(named.join(least, "component").select("key", "component_id"))
