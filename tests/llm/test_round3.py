@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.llm import covertree, divergence, templates
+from tidegrid.llm import covertree, divergence, langid, simhash, suffixes, templates
 
 
 def with_clashes(df, *names):
@@ -251,3 +251,75 @@ def test_trees_cover():
         compared += len(start)
     assert (found == covertree.squared_distances(tree.points, entries).argmin(1)).all()
     assert compared <= 2600  # equal vectors go as one
+
+
+# Additions to the tests of earlier operators
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of 50 to 200 words in several documents: each of 400 bytes and more goes whole, no other byte does."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passages = [own(n) for n in (50, 55, 60, 65, 70, 80, 100, 150, 200) for _ in range(2)]
+    assert min(len(p) for p in passages) < 400 < max(len(p) for p in passages)
+    rows, planted = [], {}
+    for k, passage in enumerate(passages):
+        for copy in range(2 + k % 4):
+            doc = 100 * k + copy
+            # different letters on both sides, so that the shared run is the passage and nothing more
+            rows.append((doc, f"{own(20 + copy)}{'ABCDEF'[copy]}{passage}{'ghijkl'[copy].upper()}{own(15)}"))
+            planted[doc] = len(passage)
+    rows += [(10_000 + k, own(rng.randint(1, 300))) for k in range(60)]
+    got = {r.doc_id: r for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.n_removed for k, r in got.items()} == {k: planted[k] if planted.get(k, 0) >= 400 else 0 for k, _ in rows}
+    assert all(r.n_spans == (r.n_removed > 0) for r in got.values())
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.op9_language_mixture(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", F.col("lang").alias("own")), "doc_id").where("own is not null").collect()
+    assert len(got) > 150 and np.mean([r.own == r.lang_pred for r in got]) > 0.95
+
+
+def test_pairs_under_ranges(monkeypatch):
+    rng = random.Random(6)
+    for at_once in (1, 7, 10_000):
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+        ranges = [(a, a + rng.randint(1, 6), b, b + rng.randint(1, 6)) for a, b in ((rng.randint(0, 50), rng.randint(0, 50)) for _ in range(20))]
+        parts = list(simhash.pairs_under(*np.array(ranges).T))
+        assert [(a, b) for i, j in parts for a, b in zip(i.tolist(), j.tolist())] == [(a, b) for p, q, r, t in ranges for a in range(p, q) for b in range(r, t)]
+        assert all(len(i) <= max(at_once, 36) for i, _ in parts)
+
+
+def test_groups_of_many_near_texts(spark, monkeypatch):
+    """Texts of one cluster, many of them near but not linked, in many tiles: the same groups as by comparing all pairs."""
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 2000)
+    monkeypatch.setattr(simhash, "COLUMNS_AT_ONCE", 50)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for k in rng.sample(range(0, 120, 4), rng.randint(1, 6)):
+            words[k] = f"new{rng.randint(0, 400)}"
+        texts.append(" ".join(words))
+    sets = [set(tuple(t.split()[k : k + 5]) for k in range(116)) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert 10 < len(set(group)) < 140
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(group))
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS_AT_ONCE", 16)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 200, rng.integers(0, 60))) for _ in range(40)]
+    got = simhash.shared_counts(np.concatenate(sets), np.array([len(x) for x in sets]))
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (np.triu(got, 1) == np.triu(want, 1)).all()
