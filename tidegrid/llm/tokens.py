@@ -12,7 +12,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"  # a file of the public tokenizers' folder, or a path of one's own
-CACHE_BYTES = 80 << 20  # what a worker keeps of words and their ids in each of two generations, about
+CACHE_BYTES = 32 << 20  # what a worker keeps of words and their ids in each of two generations, about
+SEEN_SLOTS = 1 << 22  # marks of words met once: only a second time makes a word worth keeping
 ENTRY_BYTES = 200  # of an entry, besides the word's own length
 # The vocabulary's word rule, for the characters below U+0180 (fixed: contractions, letters, single numbers, other marks).
 LATIN = [chr(c) for c in range(33, 0x180)]
@@ -57,21 +58,32 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[bytes | str, bytes] = {}
         self.size = 0
+        self.seen, self.marks = bytearray(SEEN_SLOTS), 0
+
+    def _again(self, number: int) -> bool:
+        """Whether a word or part of this number has been met before; marks are wiped when half the slots have one."""
+        slot = number & (SEEN_SLOTS - 1)
+        if self.seen[slot]:
+            return True
+        self.seen[slot] = 1
+        self.marks += 1
+        if self.marks > SEEN_SLOTS // 2:
+            self.seen, self.marks = bytearray(SEEN_SLOTS), 0
+        return False
 
     def _part(self, part: bytes | str) -> bytes:
         """Ids of a part of a word."""
         ids = self.parts.get(part)
         if ids is None:
             written = part.decode() if isinstance(part, bytes) else part.encode().decode("latin-1").translate(ALPHABET)
-            ids = self.parts[part] = array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
-            self.size += ENTRY_BYTES + len(part)
+            ids = array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
+            if self._again(hash(part) >> 20):
+                self.parts[part] = ids
+                self.size += ENTRY_BYTES + len(part)
         return ids
 
     def _word(self, word: bytes) -> bytes:
         """Ids of a word that the young generation does not hold, as 16-bit integers."""
-        self.size += ENTRY_BYTES + len(word)
-        if self.size > CACHE_BYTES:
-            self.words, self.older, self.parts, self.size = {}, self.words, {}, 0
         found = self.older.get(word)
         if found is None:
             if PLAIN_WORD.fullmatch(word):  # letters and marks of ASCII, which stand for themselves in the alphabet
@@ -82,7 +94,11 @@ class Encoder:
                     found = array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
                 else:
                     found = b"".join([self._part(p) for p in WORD_PARTS.findall(text.lower())])
-        self.words[word] = found
+        if self._again(hash(word)):
+            self.size += ENTRY_BYTES + len(word)
+            if self.size > CACHE_BYTES:
+                self.words, self.older, self.parts, self.size = {}, self.words, {}, 0
+            self.words[word] = found
         return found
 
     def ids(self, text: bytes) -> np.ndarray:
