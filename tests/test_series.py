@@ -165,3 +165,19 @@ def test_ranking(frame, day):
 def test_empty_series_gives_empty_ranking(frame):
     s = frame("date date, value int", [])
     assert rk.ranked_periods(s, rk.archive_edges(s)).count() == 0
+
+
+def test_equal_days_in_another_order_are_a_tie_and_rank_by_year(frame):
+    days = {2001: (0.1, 0.2, 0.3), 2002: (0.3, 0.2, 0.1)}  # as doubles, 0.6000000000000001 and 0.6 in all
+    rows = [(f"{y}-05-{d + 1:02}", v) for y, vs in sorted(days.items(), reverse=True) for d, v in enumerate(vs)]
+    for order in (rows, rows[::-1], sorted(rows)):
+        s = frame("date date, value double", order).coalesce(1)
+        out = rk.ranked_periods(s, rk.archive_edges(s)).collect()
+        assert {(r.month, r.year): r["rank"] for r in out} == {(m, y): 1 + (y == 2002) for m in (0, 5) for y in days}
+        assert len({r.mean for r in out}) == 1
+
+
+def test_values_without_decimals_are_still_averaged(frame):
+    s = frame("date date, value double", [("2001-05-01", float("inf")), ("2001-05-02", 1.0), ("2002-05-01", 1e20), ("2002-05-02", None)])
+    out = {(r.month, r.year): (r.mean, r.n) for r in rk.ranked_periods(s, rk.archive_edges(s)).collect()}
+    assert out == {(m, 2001): (float("inf"), 2) for m in (0, 5)} | {(m, 2002): (1e20, 1) for m in (0, 5)}

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.calendar import days_in_month, days_in_year
 from ..functions.wording import month_name, partial_note
-from .stats import with_single_row
+from .stats import exact_mean, with_single_row
 
 
 def archive_edges(daily: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def ranked_periods(
 
     `series` is (keys..., date, value). Month 0 stands for the whole year, whose
     mean is that of its days. Both groupings come off one scan. With `scale`
-    the values are integer counts, summed exactly and scaled once. Warmest
+    the values are integer counts, summed exactly and scaled once; without it,
+    means do not depend on the order of the days (stats.exact_mean). Warmest
     first; equal means are ordered by year. `top` marks rows and drops none.
 
     Only the archive's two edge periods can be partial. A missing day inside is
@@ -34,7 +35,7 @@ def ranked_periods(
         *keys, F.month("date").alias("month"), F.year("date").alias("year"), F.col("value").alias("v")
     ).filter(F.col("v").isNotNull())
     factor = F.lit(1.0 if scale is None else scale)
-    total = F.sum("v") if scale is None else F.sum(F.col("v").cast("long")).cast("double")
+    counted = F.sum(F.col("v").cast("long")).cast("double") / F.count(F.lit(1)) * factor
     by_month, by_year = [*keys, "month", "year"], [*keys, "year"]
     means = (
         dated.groupingSets(
@@ -42,7 +43,7 @@ def ranked_periods(
         )
         .agg(
             F.grouping("month").alias("whole_year"),
-            (total / F.count(F.lit(1)) * factor).alias("mean"),
+            (exact_mean(F.col("v").cast("double")) if scale is None else counted).alias("mean"),
             (F.stddev_samp("v") * factor).alias("sd"),
             F.count(F.lit(1)).alias("n"),
         )

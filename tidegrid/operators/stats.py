@@ -25,6 +25,17 @@ def with_single_row(df: DataFrame, facts: DataFrame) -> DataFrame:
     return df.withColumn("_f", packed).select(*df.columns, *[F.col(f"_f.{c}").alias(c) for c in facts.columns])
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of doubles that is the same for every order of the rows, so that equal series have equal means.
+
+    Values are summed as decimals of twelve places. Where one is not finite or
+    has more than sixteen digits before the point, doubles are summed.
+    """
+    fixed = value.try_cast("decimal(28,12)")
+    total = F.when(F.count(fixed) == F.count(value), F.sum(fixed).cast("double")).otherwise(F.sum(value))
+    return total / F.count(value)
+
+
 def _points(series: DataFrame, keys: list[str]) -> DataFrame:
     return series.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, "bucket", "value")
 
