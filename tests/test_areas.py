@@ -246,6 +246,15 @@ def test_same_month_rank_shares_ties(spark):
     assert jan == {"2020-01-01": (3, 3), "2021-01-01": (1, 3), "2022-01-01": (1, 3)}
 
 
+def test_months_of_equal_days_in_another_order_share_a_rank(frame):
+    days = {2001: (0.1, 0.2, 0.3), 2002: (0.3, 0.2, 0.1)}  # as doubles, 0.6000000000000001 and 0.6 in all
+    rows = [("r", f"{y}-05-{d + 1:02}", v, 1) for y, vs in days.items() for d, v in enumerate(vs)]
+    roll = frame("region string, date date, mean_sst_clim double, n_cells_clim bigint", rows).coalesce(1)
+    normals = frame("region string, mmdd int, mean_clim double", [("r", 501 + d, 0.0) for d in range(3)]).coalesce(1)
+    out = sa.same_month_rank(sa.monthly_index(roll, normals)).collect()
+    assert [(r["rank"], r.of, r.n_days) for r in out] == [(1, 2, 3), (1, 2, 3)]
+
+
 def test_normal_wraps_the_year(frame):
     days = [("1996-12-28", 0.2), ("1997-01-05", 0.4), ("1997-07-01", 0.9), ("1997-01-10", 0.8), ("2021-01-02", 0.6)]
     roll = frame("region string, date date, mhw_area_frac double, n_cells bigint", [("r", d, v, 1) for d, v in days])

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions.calendar import days_in_month, doy_gap
 from ..functions.wording import EPISODE_SEASONS, INDEX_THRESHOLD, phase, phase_sign, season, strength
 from .rollup import region_values
+from .stats import exact_mean
 
 # Half-width of the normal's window and its base years.
 NORMAL_WINDOW_DAYS = 7
@@ -20,11 +21,11 @@ NORMAL_YEARS = (1991, 2020)
 
 
 def monthly_index(rollup: DataFrame, normals: DataFrame) -> DataFrame:
-    """(region, month, anom, n_days): monthly means of the daily region anomaly."""
+    """(region, month, anom, n_days): monthly means of the daily region anomaly, the same for every order of the days."""
     return (
         region_values(rollup, normals, "anom")
         .groupBy("region", F.trunc("date", "month").alias("month"))
-        .agg(F.avg("value").alias("anom"), F.count(F.lit(1)).alias("n_days"))
+        .agg(exact_mean(F.col("value")).alias("anom"), F.count(F.lit(1)).alias("n_days"))
     )
 
 
