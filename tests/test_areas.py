@@ -291,3 +291,25 @@ def test_days_without_cells_have_rows_of_zeros(spark):
     out = {(r.region, r.date.day): (r.mean_sst, r.mean_mhw, r.n_cells, r.n_cells_mhw) for r in ru.rollup_of(parts, keep_empty=True).collect()}
     assert out["a", 1] == (1.0, 0.0, 1, 0) and out["b", 2] == (None, None, 0, 0) and len(out) == 4
     assert ru.rollup_of(parts).count() == 1
+
+
+def test_regions_of_the_same_rows_are_summed_once_and_reported_each(spark):
+    random.seed(5)
+    cells = {(dt.date(2024, 1, 1 + k % 3), random.randrange(40), random.randrange(40)): k for k in range(900)}
+    sst = spark.createDataFrame([(*c, k % 300, k % 4 > 0) for c, k in cells.items()], "date date, gy int, gx int, sst_raw int, has_clim boolean")
+    mhw = sst.filter("sst_raw % 4 = 1").selectExpr("date", "gy", "gx", "cast(1 + sst_raw % 5 as int) as cat")
+    clim = sst.filter("has_clim and date = date'2024-01-01'").selectExpr("101 as mmdd", "gy", "gx", "sst_raw as clim_raw")
+    arc = Archive(sst, clim, mhw)
+    one = [(gy, 3 + gy % 5, 20 - gy % 3) for gy in range(5, 25)]
+    other = [*one, (30, 0, 1)]
+    rows = [(name, *r) for name, shape in (("b", one), ("a", one), ("c", other), ("d", one)) for r in shape]
+    listed = spark.createDataFrame(rows, "region string, gy int, gx0 int, gx1 int")
+    dim = rg.interval_rows(listed)
+    assert dim.rows == len(one) + len(other)
+    plain = rg.RegionRows(listed.withColumn("weight", rg.area_weight("gy")), len(rows), Box(0, 39, 0, 39))
+    boxes = rg.box_rows(spark, {"box": Box(5, 8, 3, 20)})
+    both, apart = rg.combine(boxes, dim), rg.combine(boxes, plain)
+    for rollup in (lambda d: ru.region_daily(arc, d), lambda d: ru.region_clim(clim, d), lambda d: ru.region_parts(sst, "sst", d), lambda d: ru.region_parts(mhw, "mhw", d)):
+        got = sorted(map(tuple, rollup(both).collect()), key=str)
+        assert got == sorted(map(tuple, rollup(apart).collect()), key=str) and {r[0] for r in got} == {"a", "b", "c", "d", "box"}
+    assert rg.interval_rows(listed.filter("false")).rows == 0

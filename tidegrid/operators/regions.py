@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from ..domain import GLOBAL, Box, Grid, Region
 from ..functions.grid import area_weight, lat_of, lon_of
+from ..session import checkpoint
 
 # About 60 bytes a row: 60 MB on each executor at most.
 BROADCAST_ROWS = 1_000_000
@@ -26,9 +27,14 @@ BLOCK = 64
 
 @dataclass(frozen=True)
 class RegionRows:
+    """The dimension. With `members` (region, like), `frame` holds each set of rows once, under the name `like`
+    of one region, and what is summed for it counts for all regions like it, `names` in all (see `for_all_regions`)."""
+
     frame: DataFrame
     rows: int
     hull: Box | None = None
+    members: DataFrame | None = None
+    names: int = 0
 
     @property
     def broadcastable(self) -> bool:
@@ -170,24 +176,57 @@ def box_rows(spark: SparkSession, boxes: dict[str, Box], grid: Grid = GLOBAL) ->
 
 
 def interval_rows(intervals: DataFrame, grid: Grid = GLOBAL) -> RegionRows:
-    """The dimension for polygon regions. Its size is counted, since it grows with
-    the number and detail of the polygons; pass a stored table here."""
-    frame = intervals.select("region", "gy", "gx0", "gx1").withColumn("weight", area_weight("gy", grid))
+    """The dimension for polygon regions. Regions of the same rows share them, so
+    that rollups do their work once however many there are. Its size is counted,
+    since it grows with the number and detail of the different polygons.
+
+    Grouped by the rows themselves, not by a hash of them. A row of the stored
+    table holds the rows of a polygon and the names of the regions like it.
+    """
+    spans = F.array_sort(F.collect_set(F.struct("gy", "gx0", "gx1"))).alias("spans")
+    shapes = checkpoint(
+        intervals.groupBy("region").agg(spans).groupBy("spans").agg(F.collect_list("region").alias("regions"))
+    )
+    like = F.array_min("regions")
+    frame = shapes.select(like.alias("region"), F.explode("spans").alias("s")).select("region", "s.*")
+    frame = frame.withColumn("weight", area_weight("gy", grid))
     facts = frame.agg(
         F.count(F.lit(1)), F.min("gy"), F.max("gy"), F.min("gx0"), F.max("gx1")
     ).first()
-    return RegionRows(frame, facts[0], Box(*facts[1:]) if facts[0] else None)
+    members = shapes.select(F.explode("regions").alias("region"), like.alias("like"))
+    names = shapes.agg(F.sum(F.size("regions"))).first()[0] or 0
+    return RegionRows(frame, facts[0], Box(*facts[1:]) if facts[0] else None, members, names)
+
+
+def _members(dim: RegionRows) -> DataFrame:
+    if dim.members is not None:
+        return dim.members
+    return dim.frame.select("region", F.col("region").alias("like")).distinct()
 
 
 def combine(*dims: RegionRows) -> RegionRows:
-    frame = dims[0].frame
+    frame, members = dims[0].frame, None
     for d in dims[1:]:
         frame = frame.unionByName(d.frame)
+    if any(d.members is not None for d in dims):
+        members = _members(dims[0])
+        for d in dims[1:]:
+            members = members.unionByName(_members(d))
     hulls = [d.hull for d in dims if d.hull]
     hull = Box(
         min(h.gy0 for h in hulls), max(h.gy1 for h in hulls), min(h.gx0 for h in hulls), max(h.gx1 for h in hulls)
     ) if hulls else None
-    return RegionRows(frame, sum(d.rows for d in dims), hull)
+    names = sum(d.rows if d.members is None else d.names for d in dims)
+    return RegionRows(frame, sum(d.rows for d in dims), hull, members, names)
+
+
+def for_all_regions(sums: DataFrame, dim: RegionRows) -> DataFrame:
+    """Rows (region, ...) found for the frame's regions, for all regions like them."""
+    if dim.members is None:
+        return sums
+    found = sums.withColumnRenamed("region", "like")
+    members = F.broadcast(dim.members) if dim.names <= BROADCAST_ROWS else dim.members
+    return found.join(members, "like").select(*sums.columns)
 
 
 def assign_regions(facts: DataFrame, dim: RegionRows) -> DataFrame:

@@ -26,7 +26,7 @@ from ..domain import GLOBAL, Box, Grid, series_quantity, variable
 from ..functions.calendar import bucket_start, date_range, mmdd
 from ..functions.grid import UNIT_BITS, area_weight, in_box, weight_units
 from ..schema import REGION_PARTS, Archive
-from .regions import RegionRows, assign_regions
+from .regions import RegionRows, assign_regions, for_all_regions
 
 COUNT = 0.01  # degrees per stored count
 PERCENT = 100.0
@@ -87,7 +87,7 @@ def region_daily(
         *_sums("clim_total", F.col("sst_raw"), clim), *_sums("clim_area", one, clim), F.count_if(clim).alias("n_cells_clim"),
         *_sums("cat_total", F.col("cat").cast("long"), warm), *_sums("cat_area", one, warm), F.count_if(warm).alias("n_cells_mhw"),
     )
-    return _means(sums).filter("n_cells > 0")
+    return for_all_regions(_means(sums).filter("n_cells > 0"), dim)
 
 
 def _means(sums: DataFrame) -> DataFrame:
@@ -113,7 +113,8 @@ def region_parts(cells: DataFrame, product: str, dim: RegionRows) -> DataFrame:
         *_sums("clim_total", F.col("value"), clim), *_sums("clim_area", one, clim), F.count_if(clim).alias("n_cells_clim"),
     )
     zero = F.lit(0).cast("long")
-    return sums.select("region", "date", F.lit(product).alias("product"), *[F.coalesce(c, zero).alias(c) for c in PARTS])
+    parts = sums.select("region", "date", F.lit(product).alias("product"), *[F.coalesce(c, zero).alias(c) for c in PARTS])
+    return for_all_regions(parts, dim)
 
 
 def whole_days(parts: DataFrame, regions: list[str], dates: DataFrame, product: str) -> DataFrame:
@@ -161,12 +162,13 @@ def refresh(archive: Archive, dim: RegionRows, changed: DataFrame) -> DataFrame:
 
 def region_clim(clim: DataFrame, dim: RegionRows) -> DataFrame:
     """(region, mmdd, mean_clim, n_cells)."""
-    return (
+    sums = (
         _assigned(clim.select("mmdd", "gy", "gx", F.col("clim_raw").cast("long").alias("value")), dim)
         .groupBy("region", "mmdd")
         .agg(*_box_sums(), F.count(F.lit(1)).alias("n_cells"))
         .select("region", "mmdd", (_ratio("total", "area") * COUNT).alias("mean_clim"), "n_cells")
     )
+    return for_all_regions(sums, dim)
 
 
 def _box_sums() -> list[Column]:
