@@ -181,3 +181,17 @@ def test_values_without_decimals_are_still_averaged(frame):
     s = frame("date date, value double", [("2001-05-01", float("inf")), ("2001-05-02", 1.0), ("2002-05-01", 1e20), ("2002-05-02", None)])
     out = {(r.month, r.year): (r.mean, r.n) for r in rk.ranked_periods(s, rk.archive_edges(s)).collect()}
     assert out == {(m, 2001): (float("inf"), 2) for m in (0, 5)} | {(m, 2002): (1e20, 1) for m in (0, 5)}
+
+
+def test_runs_near_many_dates_are_looked_up_not_compared_with_each(frame):
+    random.seed(11)
+    first = dt.date(2020, 1, 1)
+    spans = sorted({(random.randrange(400), random.randrange(1, 9)) for _ in range(150)})
+    rows = [(1, k, first + dt.timedelta(a), first + dt.timedelta(a + n - 1)) for k, (a, n) in enumerate(spans)]
+    runs = frame("gy int, gx int, start date, end date", rows)
+    for count in (1, 12, 60):
+        dates = [first + dt.timedelta(d) for d in sorted(random.sample(range(-2, 410), count))]
+        found = runs.filter(ev.near(dates))
+        one = dt.timedelta(1)
+        assert {r.gx for r in found.collect()} == {k for _, k, a, b in rows if any(a - one <= d <= b + one for d in dates)}
+    assert "INSET" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -53,8 +53,11 @@ def run_days(runs: DataFrame) -> DataFrame:
 
 
 def near(dates: list[dt.date]) -> Column:
-    """Whether a run holds one of these dates or ends beside one, so that a change of them may change it."""
-    return F.exists(F.array(*[F.lit(d) for d in dates]), lambda d: (d >= F.date_sub("start", 1)) & (d <= F.date_add("end", 1)))
+    """Whether a run holds one of these dates or ends beside one, so that a change of them may change it.
+
+    The run's own days are looked up among the dates, so that the work does not grow with their number.
+    """
+    return F.exists(F.sequence(F.date_sub("start", 1), F.date_add("end", 1)), lambda d: d.isin(dates))
 
 
 def renewed_runs(runs: DataFrame, events: DataFrame, dates: list[dt.date]) -> tuple[DataFrame, DataFrame]:
@@ -65,9 +68,8 @@ def renewed_runs(runs: DataFrame, events: DataFrame, dates: list[dt.date]) -> tu
     """
     if not dates:
         return runs, runs.filter(F.lit(False)).select(*CELL, "start", "end", "days", "peak", "classes")
-    listed = F.array(*[F.lit(d) for d in dates])
-    kept = run_days(runs.filter(near(dates))).filter(~F.array_contains(listed, F.col("date")))
-    fresh = events.filter(F.array_contains(listed, F.col("date"))).select(*CELL, "date", F.col("cat").cast("int").alias("cat"))
+    kept = run_days(runs.filter(near(dates))).filter(~F.col("date").isin(dates))
+    fresh = events.filter(F.col("date").isin(dates)).select(*CELL, "date", F.col("cat").cast("int").alias("cat"))
     return runs.filter(~near(dates)), event_runs(kept.unionByName(fresh), classes=True)
 
 
