@@ -599,3 +599,27 @@ def test_language_stage_goes_by_the_inference(spark):
     # where nothing can be learnt, letters are enough
     got = pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
     assert sorted(r.doc_id for r in got) == sorted([k for k, *_ in own + rest if k != 1002]) and {r.lang for r in got} == {None}
+
+
+def test_first_weights_come_from_all_training_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [(k, " ".join(rng.choice(WORDS["en" if k % 2 else "de"]) for _ in range(rng.randrange(1, 60)))) for k in range(700)]
+    lines.append((700, "long " * 20000))  # longer than 64 KB
+    docs = common.documents_of(spark.createDataFrame(lines, "doc_id long, text string"))
+    seen, fitted = [], []
+    plain = lmscore.Mixer.fit
+
+    def fit(self, cell, n, true, codes):
+        seen.append(n.sum())
+        plain(self, cell, n, true, codes)
+        fitted.append((self.weights.tobytes(), self.refined.tobytes()))
+
+    monkeypatch.setattr(lmscore.Mixer, "fit", fit)
+    for parts in (1, 5):
+        training = docs.repartition(parts).select("doc_id", "text")
+        model, *_ = lmscore.trained(training, lmscore.word_counts(training))
+        m = model.value
+        raw = [t.encode() for _, t in lines]
+        symbols, *_ = m.texts(b"".join(raw), np.cumsum([0, *map(len, raw)]), True)
+        assert seen[-1] == m.word_tree[1][symbols].sum()  # each decision of each document, once
+    assert fitted[0] == fitted[1]
