@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents_of, shared_folder, stored, text_slices
-from .tokens import VOCABULARY, crc_of, encoder
+from .tokens import LARGE_CACHE, VOCABULARY, crc_of, encoder
 
 SCALE_BITS = 20
 LANES = 64
@@ -47,10 +47,9 @@ def token_rows(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """The ids of each document, as little-endian 16-bit integers."""
 
     def encode(batches):
-        ids_of, end = encoder(vocabulary).ids, np.array([end_id], np.uint16)
+        encoded, end = encoder(vocabulary, LARGE_CACHE).texts, np.array([end_id], np.uint16)
         for batch, data, at in text_slices(batches):
-            raw = data.tobytes()
-            ids = [np.concatenate([ids_of(raw[at[k] : at[k + 1]]), end]) for k in range(batch.num_rows)]
+            ids = [np.concatenate([x, end]) for x in encoded(data.tobytes(), at)]
             columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([crc_of(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in IDS.split(", ")])
 
