@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegrid.llm import tokens
+from tidegrid.llm import packing, tokens
 
 
 class Counting:
@@ -53,3 +53,8 @@ def test_odd_words_among_plain_ones_and_small_caches_change_nothing(texts, cache
     whole = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
     for _ in range(3):
         assert own_ids(own, mixed) == [x.ids for x in whole.encode_batch(mixed, add_special_tokens=False)]
+
+
+def test_only_the_query_keeps_many_words():
+    assert packing.encoder(tokens.VOCABULARY, packing.LARGE_CACHE).cache_bytes == 1 << 27
+    assert packing.encoder(tokens.VOCABULARY).cache_bytes == tokens.CACHE_BYTES == 32 << 20  # as in the pipeline

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents_of, stored, text_slices
-from .tokens import VOCABULARY, crc_of, encoder
+from .tokens import LARGE_CACHE, VOCABULARY, crc_of, encoder
 
 CAPACITY = 4096
 GRAIN = 64
@@ -50,16 +50,15 @@ def piece_lengths(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[
     return out + [rest] if rest else out
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN, cache_bytes: int | None = None) -> DataFrame:
     """One row per piece: where it starts in its document, its length and the CRC-32 of its ids."""
 
     def cut(batches):
-        encode = encoder(vocabulary).ids
+        encode = encoder(vocabulary, cache_bytes).texts
         for batch, data, at in text_slices(batches):
-            raw, doc_ids = data.tobytes(), batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for k, doc_id in enumerate(doc_ids):
-                ids = np.append(encode(raw[at[k] : at[k + 1]]), np.uint16(end_id))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(data.tobytes(), at)):
+                ids = np.append(ids, np.uint16(end_id))
                 start = 0
                 for n in piece_lengths(len(ids), capacity, grain):
                     rows.append((doc_id, start, n, crc_of(ids[start : start + n]), len(ids)))
@@ -113,11 +112,11 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN, cache_bytes: int | None = None) -> DataFrame:
     """Pieces of all documents with their sequence and place; see the module's text."""
-    return packed(pieces(docs, vocabulary, end_id, capacity, grain), capacity, grain)
+    return packed(pieces(docs, vocabulary, end_id, capacity, grain, cache_bytes), capacity, grain)
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY, cache_bytes=LARGE_CACHE)
