@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents_of, mixed, stored, text_slices
+from .common import documents_of, lean, mixed, stored, text_slices
 
 GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 ODDS = 4  # a blank ends a chunk with one chance in so many
@@ -82,6 +82,7 @@ def pair_digests(raw: bytes, start: int, ends: list[int]) -> list[int]:
 def digest_rows(docs: DataFrame) -> DataFrame:
     """The different digests of each document: (digest, doc_id)."""
 
+    @lean
     def emit(batches):
         for batch, data, at in text_slices(batches):
             raw, ends, ids = data.tobytes(), chunk_ends(data, at), batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -105,6 +106,7 @@ def without_repeats(docs: DataFrame, within: bool = False) -> DataFrame:
     schema = "doc_id long, text string, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long"
     whole = StructType([*StructType.fromDDL(schema), row.schema["row"]])
 
+    @lean
     def remove(batches):
         for batch, data, at in text_slices(batches):
             raw, ends = data.tobytes(), chunk_ends(data, at)

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, stored, text_slices
-from .tokens import LARGE_CACHE, VOCABULARY, crc_of, encoder
+from .common import documents_of, lean, stored, text_slices
+from .tokens import LARGE_CACHE, VOCABULARY, crc_of, encoder, forget_encoders
 
 CAPACITY = 4096
 GRAIN = 64
@@ -51,9 +51,20 @@ def piece_lengths(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN, cache_bytes: int | None = None) -> DataFrame:
-    """One row per piece: where it starts in its document, its length and the CRC-32 of its ids."""
+    """One row per piece: where it starts in its document, its length and the CRC-32 of its ids.
 
+    Without a size of the cache, a task leaves nothing of its encoder in its worker, which other stages use after it.
+    """
+
+    @lean
     def cut(batches):
+        try:
+            yield from cut_up(batches)
+        finally:
+            if cache_bytes is None:
+                forget_encoders()
+
+    def cut_up(batches):
         encode = encoder(vocabulary, cache_bytes).texts
         for batch, data, at in text_slices(batches):
             rows: list[tuple] = []

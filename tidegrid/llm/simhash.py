@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents_of, joined_roots, mixed, rows_of_items, stored, text_slices
+from .common import components, documents_of, give_back, joined_roots, lean, mixed, rows_of_items, stored, text_slices
 
 SEED = 42
 SIMILARITY = (4, 5)  # of two sets of shingles, as a fraction
@@ -98,6 +98,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarr
 def fingerprints(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
     """doc_id and fingerprint (hex digits) of each row."""
 
+    @lean
     def prints(batches):
         for batch, data, at in text_slices(batches):
             raw = data.tobytes()
@@ -253,6 +254,7 @@ def links(prints: DataFrame, bits: int, budget: int) -> DataFrame:
     dealt = prints.select("fingerprint", F.explode(keys).alias("block")).repartition("block").sortWithinPartitions("block", "fingerprint")
     width = bits // 8
 
+    @lean
     def join(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
@@ -300,6 +302,7 @@ def set_key(own: np.ndarray) -> str:
 def sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Of each row: doc_id, text_key (hash of the text), key (of its set of shingles), n (size of the set), the set's fingerprint and its blocks."""
 
+    @lean
     def sketch(batches):
         for batch, data, at in text_slices(batches):
             raw = data.tobytes()
@@ -317,6 +320,7 @@ def sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """key and shingles (array) of the texts whose text_key is wanted."""
 
+    @lean
     def hashed(batches):
         for batch, data, at in text_slices(batches):
             raw = data.tobytes()
@@ -350,6 +354,7 @@ def whole_blocks(batches):
 def proposed(dealt: DataFrame, bits: int, budget: int) -> DataFrame:
     """Pairs of keys (a, b), a spanning forest of those of the same block whose fingerprints and sizes are near."""
 
+    @lean
     def join(batches):
         for table in whole_blocks(batches):
             raw = np.frombuffer(bytes.fromhex("".join(table["fingerprint"].to_pylist())), np.uint8).reshape(-1, bits // 8)
@@ -420,6 +425,7 @@ def links_between(sets: DataFrame) -> DataFrame:
         labels, found = first[own], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         found += list(spanning(labels, p, q, np.zeros(len(p), np.int64)))
         keys = table["key"].combine_chunks()
+        give_back()
         return pa.table([keys.take(pa.array(np.concatenate(x))) for x in zip(*found)], ["a", "b"])
 
     return rows.select("cluster", "low", "high", "key", "known", "shingles").groupBy("cluster", "low", "high").applyInArrow(decide, "a string, b string")

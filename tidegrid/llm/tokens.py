@@ -46,6 +46,11 @@ def encoder(path: str, cache_bytes: int | None = None) -> "Encoder":
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Drop the encoders of this worker process with all they keep, for stages that have no use for them."""
+    _encoders.clear()
+
+
 class Encoder:
     """Ids of texts, equal to encode(text, add_special_tokens=False) of the library.
 
