@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegrid.llm import packing, tokens
+from tidegrid.llm import packing, rans, tokens
 
 
 class Counting:
@@ -58,3 +58,19 @@ def test_odd_words_among_plain_ones_and_small_caches_change_nothing(texts, cache
 def test_only_the_query_keeps_many_words():
     assert packing.encoder(tokens.VOCABULARY, packing.LARGE_CACHE).cache_bytes == 1 << 27
     assert packing.encoder(tokens.VOCABULARY).cache_bytes == tokens.CACHE_BYTES == 32 << 20  # as in the pipeline
+
+
+@pytest.mark.parametrize("sizes", [[4096 * 9 + 5], [rans.BLOCK_IDS, rans.BLOCK_IDS, 77], [1], [64], [rans.BLOCK_IDS, 65]])
+def test_blocks_that_end_earlier_keep_their_states_to_the_end(sizes):
+    rng = np.random.default_rng(3)
+    cuts = [rng.zipf(1.3, n).clip(1, 40_000).astype(np.uint16) for n in sizes]
+    counts = np.bincount(np.concatenate(cuts), minlength=1 << 16)
+    coder = rans.Coder(rans.shares(np.flatnonzero(counts), counts[counts > 0]))
+    steps = -(-max(sizes) // rans.LANES)
+    grid = np.full((len(cuts), steps * rans.LANES), -1, np.int32)
+    for row, ids in zip(grid, cuts):
+        row[: len(ids)] = ids
+    coded = coder.encode(grid.reshape(len(cuts), steps, rans.LANES), len(cuts), steps)
+    alone = [coder.encode(g[: -(-n // rans.LANES) * rans.LANES].reshape(1, -1, rans.LANES), 1, -(-n // rans.LANES))[0] for g, n in zip(grid, sizes)]
+    assert [x[0] for x in coded] == [x[0] for x in alone]
+    assert all(np.array_equal(a, b) for a, b in zip(coder.decode([(n, *x) for n, x in zip(sizes, coded)]), cuts))

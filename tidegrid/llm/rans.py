@@ -93,30 +93,28 @@ class Coder:
         """Code blocks side by side: ids has the shape (blocks, steps, LANES), unused places hold -1.
 
         Coding runs from the last step to the first and the words are then turned
-        round, so that decoding reads forward.
+        round, so that decoding reads forward. An unused place is a symbol with all
+        shares, the last of the tables here, which leaves a state as it is.
         """
-        state = np.full((blocks, LANES), LOW, np.uint64)
+        freq = np.append(self.freq, np.uint64(1 << SCALE_BITS))
+        start, rest = np.append(self.start, np.uint64(0)), np.uint64(1 << SCALE_BITS) - freq
+        bound = ((LOW >> np.uint64(SCALE_BITS)) << WORD) * freq
+        state = np.full(blocks * LANES, LOW, np.uint64)
         count, states, marks = np.zeros(blocks, np.int64), [], []
-        limit = (LOW >> np.uint64(SCALE_BITS)) << WORD
         words, where = [], []
         for step in range(steps - 1, -1, -1):
-            now = ids[:, step]
-            real = now >= 0
-            sym = np.where(real, now, 0)
-            f, s = np.where(real, self.freq[sym], 1), self.start[sym]
-            f = f.astype(np.uint64)
-            spill = real & (state >= limit * f)
-            if spill.any():
+            now = ids[:, step].reshape(-1)
+            spill = np.flatnonzero(state >= bound[now])
+            if len(spill):
                 # within a step, lanes are read in ascending order; the stream is being built backwards
-                block, lane = np.nonzero(spill)
-                words.append((state[block, lane] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[::-1])
+                full, block = state[spill], spill // LANES
+                words.append(full.astype(np.uint32)[::-1])
                 where.append(block[::-1])
-                state[spill] >>= WORD
-                count += spill.sum(axis=1)
-            q, r = state // f, state % f
-            state = np.where(real, (q << np.uint64(SCALE_BITS)) + r + s, state)
+                state[spill] = full >> WORD
+                count += np.bincount(block, minlength=blocks)
+            state += state // freq[now] * rest[now] + start[now]
             if step % CHECKPOINT_STEPS == 0:
-                states.append(state.copy())
+                states.append(state.reshape(blocks, LANES).copy())
                 marks.append(count.copy())
         words = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
         where = np.concatenate(where)[::-1] if where else np.zeros(0, np.int64)
@@ -131,25 +129,26 @@ class Coder:
         streams = [np.frombuffer(r[1], "<u4") for r in rows]
         base = np.cumsum([0, *map(len, streams)])
         words = np.append(np.concatenate(streams), np.zeros(1, np.uint32)).astype(np.uint64)
-        state = np.stack([np.frombuffer(r[2], "<u8").reshape(-1, LANES)[first] for r in rows]).astype(np.uint64)
+        state = np.concatenate([np.frombuffer(r[2], "<u8").reshape(-1, LANES)[first] for r in rows]).astype(np.uint64)
         at = base[:-1] + np.array([np.frombuffer(r[3], "<i8")[first] for r in rows])
         begin = first * CHECKPOINT_STEPS
         steps = -(-int(sizes.max()) // LANES)
         out = np.zeros((len(rows), steps - begin, LANES), np.uint16)
         mask, lanes = np.uint64((1 << SCALE_BITS) - 1), np.arange(LANES)
         for step in range(begin, steps):
-            real = step * LANES + lanes < sizes[:, None]
             slot = state & mask
             sym = self.symbol[slot]
-            out[:, step - begin] = sym
+            out[:, step - begin] = sym.reshape(-1, LANES)
             new = self.freq[sym] * (state >> np.uint64(SCALE_BITS)) + slot - self.start[sym]
-            state = np.where(real, new, state)
-            short = real & (state < LOW)
-            if short.any():
-                seen = np.cumsum(short, axis=1)
-                block, lane = np.nonzero(short)
-                state[block, lane] = (state[block, lane] << WORD) | words[at[block] + seen[block, lane] - 1]
-                at += seen[:, -1]
+            if (step + 1) * LANES > sizes.min():  # a block that has ended keeps its state
+                new = np.where((step * LANES + lanes < sizes[:, None]).reshape(-1), new, state)
+            state = new
+            short = np.flatnonzero(state < LOW)  # no state that has ended is
+            if len(short):
+                block = short // LANES
+                read = np.bincount(block, minlength=len(rows))
+                state[short] = (state[short] << WORD) | words[(at - (np.cumsum(read) - read))[block] + np.arange(len(short))]
+                at += read
         return [out[b].reshape(-1)[: max(0, sizes[b] - begin * LANES)] for b in range(len(rows))]
 
 

@@ -7,6 +7,7 @@ import os
 import re
 import unicodedata
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -139,15 +140,19 @@ class Encoder:
         for a, b in runs(at, TEXT_BYTES):
             bounds = at[a : b + 1].tolist()
             split = [raw[x:y].split() for x, y in zip(bounds, bounds[1:])]
-            words = list(set().union(*split))
-            found = dict(zip(words, map(self.words.get, words)))
-            new = [word for word, ids in found.items() if ids is None]
-            kept = {word: self.older[word] for word in self.older.keys() & new}
-            found |= kept
-            new = [word for word in new if word not in kept]
-            found |= self._encoded(new)
-            self._keep(kept | {word: found[word] for word, again in zip(new, self._again(new)) if again})
-            out += [np.frombuffer(b"".join(map(found.__getitem__, own)), np.uint16) for own in split]
+            words = list(chain.from_iterable(split))
+            found = list(map(self.words.get, words))
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            new = dict.fromkeys(map(words.__getitem__, missing))
+            kept = {word: self.older[word] for word in self.older.keys() & new.keys()}
+            unknown = [word for word in new if word not in kept]
+            new |= kept
+            new |= self._encoded(unknown)
+            self._keep(kept | {word: new[word] for word, again in zip(unknown, self._again(unknown)) if again})
+            for k in missing:
+                found[k] = new[words[k]]
+            rest = iter(found)
+            out += [np.frombuffer(b"".join(islice(rest, len(own))), np.uint16) for own in split]
         return out
 
     def ids(self, text: bytes) -> np.ndarray:
